@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quoin.llm import chat_quotes, exact_dedup, packing, sharding, token_counts
+from quoin.llm import chat_quotes, exact_dedup, line_dedup, packing, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_chat_quotes": chat_quotes.op2_chat_quotes,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_chat_quotes": chat_quotes.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
