@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quoin.llm import chat_quotes, exact_dedup, line_dedup, packing, sharding, token_counts
+from quoin.llm import chat_quotes, exact_dedup, line_dedup, near_dup, packing, sharding, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_chat_quotes": chat_quotes.op2_chat_quotes,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
+    "op9_near_dup": near_dup.op9_near_dup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
 }
