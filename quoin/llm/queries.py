@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quoin.llm import chat_quotes, exact_dedup, line_dedup, near_dup, packing, sharding, token_counts
+from quoin.llm import chat_quotes, decontam, exact_dedup, line_dedup, near_dup, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_chat_quotes": chat_quotes.op2_chat_quotes,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op6_decontam": decontam.op6_decontam,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
     "op9_near_dup": near_dup.op9_near_dup,
