@@ -1,13 +1,64 @@
-"""The corpus pipeline; its stages are added as their operators come."""
+"""From raw documents to packed training sequences, in five stages.
+
+Every stage takes all documents that the one before kept; run() writes each stage's result to the shared folder and
+reads it back, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quoin.llm import common, decontam, line_dedup, near_dup, packing, toxicity
+
+#: Ids (8 bytes each) up to which the ids of dropped documents are broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 500_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the operator's threshold."""
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model).where(F.col("_score") < toxicity.PREDICT_AT).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the lines that an earlier document holds; n_chars follows the text.  No document goes."""
+    found = line_dedup.dedup_lines(docs).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates; documents without words stand alone and stay."""
+    gone = common.settle(near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    hits = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    gone = common.settle(hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(common.text_or_empty()) == F.col("_hash"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences, sources mixed in the proportions of what is left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("packing", pack),
+]
+#: The classifier, MinHash confirmation, tiling and tokenizer can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
