@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quoin.llm import chat_quotes, decontam, exact_dedup, line_dedup, near_dup, packing, sharding, token_counts, toxicity
+from quoin.llm import chat_quotes, decontam, exact_dedup, line_dedup, near_dup, packing, sharding, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontam": decontam.op6_decontam,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op9_near_dup": near_dup.op9_near_dup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
