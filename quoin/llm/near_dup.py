@@ -7,8 +7,11 @@ similarity.  BANDS bands of four values: two sets at the threshold 0.75 share no
 
 Equal sets are one class, and only class representatives go on.  Buckets never emit all their pairs: a round links
 every member to its bucket's leader, confirms the links on full sets, and merges classes into components.  Later rounds
-only see buckets that still hold several components, with other leaders; what is left after STAR_ROUNDS is compared
-between different components, so no link that a shared band shows is lost.
+only see buckets that still hold several components, with other leaders.  After STAR_ROUNDS, buckets of SMALL members at
+most are compared pair by pair between different components.  Larger ones are joined into groups where they share
+members, and a group is compared in BLOCK x BLOCK blocks, each counting common shingles through an inverted index in one
+task and returning only links that merge components.  So no link that a shared band shows is lost, and no pair that
+fails is ever a row.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from quoin.llm import common
 SHINGLE, PERMUTATIONS, ROWS = 5, 80, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Members of a bucket that are paired off; documents of a block of a large group.
+SMALL, BLOCK = 8, 1000
 #: Ids (8 bytes each) up to which a semi-join's side is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 500_000
 SIGNED = "doc_id long, n_shingles long, set_digest binary, bands array<long>"
@@ -199,10 +204,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_ = common.settle(buckets.where("low < high"), "open")
         left = common.settle(labelled.join(open_.select("key"), "key", "left_semi"), "left")
         if round_ < STAR_ROUNDS:
-            leaders = open_.select("key", *([F.col("first.id").alias("a"), F.col("first.component").alias("ca"), F.col("first.n").alias("na")] if round_ == 0 else [F.col("pick.id").alias("a"), F.col("pick.component").alias("ca"), F.col("pick.n").alias("na")]))
+            lead = "first" if round_ == 0 else "pick"
+            leaders = open_.select("key", F.col(f"{lead}.id").alias("a"), F.col(f"{lead}.component").alias("ca"), F.col(f"{lead}.n").alias("na"))
             pairs = common.lookup(left, leaders, ["key"], ["id"]).where("ca <> component").select("a", "na", F.col("id").alias("b"), "n")
         else:
-            pairs = _across(left)
+            sizes = common.settle(left.groupBy("key", common.run_of("id").alias("run")).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).groupBy("key").agg(F.sum("c").alias("c"), F.min("least").alias("least")), "sizes")
+            found = _large_groups(left, sizes.where(F.col("c") > SMALL), texts)
+            if found is not None:
+                edges = common.settle(edges.unionByName(found), "edges")
+                labels = components(nodes, edges)
+            pairs = _across(left.join(sizes.where(F.col("c") <= SMALL).select("key"), "key", "left_semi"))
         alike = (F.least("na", "n") * 100 >= F.greatest("na", "n") * PERCENT)
         new = pairs.where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = common.settle(new.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -227,11 +238,76 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _across(left: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components: those are still unlinked, pairs in one are never made."""
+    """Pairs of a small bucket's members in different components."""
     a = left.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     return a.join(left, "key").where("ca < component").select("a", "na", F.col("id").alias("b"), "n")
 
 
+def _large_groups(left: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Confirmed links (a, b) between components in buckets of more than SMALL members; None if there are no such."""
+    if not large.limit(1).count():
+        return None
+    held = common.settle(common.lookup(left, large.select("key", "least"), ["key"], ["id"]).where("least is not null"), "held")
+    members = held.select("id", "component").distinct()
+    groups = components(members.select("id"), held.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    grouped = common.settle(members.join(groups.withColumnRenamed("component", "grp"), "id"), "grouped")
+    leaves = grouped.groupBy("grp", common.run_of("id").alias("run")).agg(F.count(F.lit(1)).alias("c"))
+    blocks = leaves.groupBy("grp").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    mine = common.lookup(grouped, blocks, ["grp"], ["id"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    # A document goes to the pairs of its block with each block of its group: once a block, not once a member.
+    dealt = mine.join(texts.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "text")
+
+    def run(key, part):
+        import pandas as pd
+
+        rows = part.sort_values("id")
+        return pd.DataFrame(links_of(rows["id"].tolist(), rows["component"].tolist(), rows["block"].tolist(), rows["text"].tolist(), key[1] != key[2]), columns=["a", "b"])
+
+    return dealt.groupBy("grp", "low", "high").applyInPandas(run, "a long, b long")
+
+
+def links_of(ids: list, components_: list, blocks: list, texts: list, across: bool) -> list[tuple]:
+    """Links that merge components, between members of one block, or of two different blocks (across).
+
+    Common shingles are counted document by document over the postings of its shingles: memory is that of the sets.
+    """
+    import numpy as np
+
+    sets = [shingle_hashes(t) for t in texts]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(column))])
+    start = np.concatenate([[0], np.cumsum(size)])
+    block = np.array(blocks)
+    root = {c: c for c in components_}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i in range(len(sets)):
+        mine = column[start[i] : start[i + 1]]
+        low, n = begin[mine], begin[mine + 1] - begin[mine]
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(posting[at], minlength=len(sets))
+        good = 100 * both >= PERCENT * (size[i] + size - both)
+        good[: i + 1] = False
+        if across:
+            good &= block != block[i]
+        for j in np.flatnonzero(good).tolist():
+            x, y = find(components_[i]), find(components_[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
 def _own_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches):
         import hashlib
