@@ -82,7 +82,8 @@ class LineIndex:
         """Live references (digest, doc_id), of some digests or all."""
         log = self.log()
         if digests is not None:
-            log = log.join(digests.select("digest").distinct(), "digest", "left_semi")
+            wanted = digests.select("digest", F.lit(True).alias("_wanted")).distinct()
+            log = common.lookup(log, wanted, ["digest"], ["doc_id"]).where("_wanted")
         return log.groupBy("digest", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def counts(self, digests: DataFrame | None = None) -> DataFrame:
@@ -176,10 +177,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     index = index or LineIndex(docs.sparkSession)
     refs = common.settle(references(docs), "refs")
     seen = index.insert(refs)
-    mine = common.settle(refs.join(seen, "digest", "left_semi"), "seen")
-    owners = index.counts(seen).where("n_docs > 1").select("digest", "owner")
+    owners = common.settle(index.counts(seen).where("n_docs > 1").select("digest", "owner"), "owners")
     drops = (
-        common.lookup(mine, owners, ["digest"], ["doc_id"])
+        common.lookup(refs, owners, ["digest"], ["doc_id"])
         .where("owner <> doc_id")
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
         .agg(F.flatten(F.collect_list("lines")).alias("_drop"))
