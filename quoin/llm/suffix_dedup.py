@@ -199,7 +199,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     if shared.count() <= BROADCAST_HASHES:
         import numpy as np
 
-        wanted = spark.sparkContext.broadcast(np.sort(shared.toPandas()["hash"].to_numpy(dtype=np.int64)))
+        wanted = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("hash").to_numpy()))
         found = found_anchors(long_, wanted)
     else:
         found = found_anchors(long_).join(shared, "hash", "left_semi").select(*[f.split()[0] for f in ANCHORS.split(", ")])
