@@ -65,7 +65,9 @@ def token_counts(docs: DataFrame, cache_path: str, json_path: str | None = None,
     wanted = texts.join(
         missing, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("missing_digest")), "left_semi"
     )
-    fresh = encode_misses(wanted.select("digest", "text"), json_path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
+    # Rows that repeat an id and its text are all first rows; the cache takes one of them.
+    counted = encode_misses(wanted.select("digest", "text"), json_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    fresh = counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     fresh.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     found = common.lookup(listed, counts, ["digest"], ["doc_id"])
