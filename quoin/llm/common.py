@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts spell it: space and \x09 to \x0D.
 WHITE = " \t\n\x0b\f\r"
+ROWS_A_BATCH = 1_000
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -37,11 +38,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df once to the shared folder and read it back, so that later steps neither recompute nor lose it."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts may be long: an Arrow batch takes ROWS_A_BATCH rows, which bounds what a Python worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

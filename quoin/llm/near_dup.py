@@ -27,6 +27,8 @@ PERCENT = 75
 STAR_ROUNDS = 2
 #: Members of a bucket that are paired off; documents of a block of a large group.
 SMALL, BLOCK = 8, 1000
+#: Word hashes (about 180 bytes each) that a Python worker keeps.
+WORDS_HELD = 200_000
 #: Ids (8 bytes each) up to which a semi-join's side is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 500_000
 SIGNED = "doc_id long, n_shingles long, set_digest binary, bands array<long>"
@@ -42,7 +44,7 @@ def shingle_hashes(text: str | None):
     if not words:
         return np.zeros(0, dtype=np.uint64)
     known, digest = _WORDS, xxhash.xxh3_64_intdigest
-    if len(known) > 1_000_000:
+    if len(known) > WORDS_HELD:
         known.clear()
     for word in set(words).difference(known):
         known[word] = digest(word)
