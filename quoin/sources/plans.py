@@ -33,7 +33,7 @@ def _fields() -> list[str]:
 
 def unknown_fields(spark: SparkSession, path: str) -> DataFrame:
     """(plan, field): top-level names that the schema doesn't have."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("plan"), F.explode(F.json_object_keys("value")).alias("field"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("plan"), F.explode(F.json_object_keys("value")).alias("field"))
     return raw.where(~F.col("field").isin(_fields()))
 
 
