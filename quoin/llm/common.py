@@ -74,7 +74,7 @@ class ByteBpe:
     #: A space before one of these may belong to a longer run of white space.
     RUNS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
     WIDE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
-    CACHED = 1_000_000
+    CACHED = 400_000
 
     def __init__(self, json_path: str, ranks_path: str | None = None):
         self.json_path, self._slow = json_path, None
