@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry, text
-from quoin.operators import grouped, intervals, rules, scale
+from quoin.operators import grouped, intervals, polygons, rules, scale
 from quoin.sources import plans
 from quoin.streaming import jobs
 
@@ -136,3 +137,38 @@ def test_job_stream_is_the_batch(spark, tmp_path):
     run.awaitTermination(120)
     last = spark.sql("select * from jobs order by taken + refused desc").first()
     assert tuple(last) == tuple(batch)
+
+
+SQUARE = [(0.0, 0.0, 4.0, 0.0), (4.0, 0.0, 4.0, 4.0), (4.0, 4.0, 0.0, 4.0), (0.0, 4.0, 0.0, 0.0)]
+
+
+def test_faces():
+    assert [polygons.ring_area(r) for r in polygons.faces(SQUARE)] == [16.0]
+    assert [polygons.ring_area(r) for r in polygons.faces([*SQUARE, (2.0, 0.0, 2.0, 4.0)])] == [8.0, 8.0]
+    assert len(polygons.faces([*SQUARE, (2.0, 0.0, 2.0, 3.0)])) == 1
+    assert len(polygons.faces([*SQUARE, (2.0, -1.0, 2.0, 5.0), (-1.0, 2.0, 5.0, 2.0)])) == 4
+    assert len(polygons.faces([*SQUARE, (2.0, 0.0, 2.0, 4.0), (2.05, 0.0, 2.05, 4.0)])) == 2
+    assert polygons.faces(SQUARE[:3]) == []
+
+
+def test_overlay():
+    a = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    b = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
+    assert polygons.convex_overlap(a, b) == 1.0 and polygons.convex_overlap(a, [(x + 5, y) for x, y in b]) == 0.0
+    assert polygons.covered_area([(0, 0, 2, 2), (1, 1, 3, 3)]) == 7.0 and polygons.covered_area([]) == 0.0
+
+
+def test_masks():
+    mask = np.zeros((6, 6), dtype=bool)
+    mask[0, 0] = mask[1, 1] = mask[5, 5] = True
+    assert polygons.labelled(mask)[1] == 2
+    assert polygons.dilated(mask, 1)[:3, :3].all() and not polygons.dilated(mask, 1)[3, 3]
+    assert polygons.drawn([(1.0, 1.0, 5.0, 1.0, 0.5)], 6, 1.0)[0:2, 1:5].any()
+
+
+def test_suppression_and_merging():
+    items = [(0, "a", 0.0, 0.0, 2.0, 2.0), (1, "a", 0.1, 0.0, 1.0, 1.0), (2, "b", 0.1, 0.0, 1.0, 1.0)]
+    assert grouped.suppressed(items, True, False, 100) == [0, 2] and grouped.suppressed(items, False, True, 80) == [0]
+    walls = [(0, 0.0, 0.0, 1.0, 0.1), (1, 0.1, 1.1, 2.0, 0.3), (2, 3.0, 0.0, 1.0, 0.1)]
+    assert [m[:2] for m in grouped.merged(walls, 0.2, 0.15)] == [(0, 2), (2, 1)]
+    assert grouped.pulled([(0, 0), (1, 0), (2, 0)], lambda p, q: True) == [(0, 0), (2, 0)]
