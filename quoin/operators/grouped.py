@@ -238,7 +238,7 @@ def _free(part) -> set:
     return {(x, y) for x in range(SIDE) for y in range(SIDE)} - blocked_cells(part) | {(0, 0)}
 
 
-@query("greedy_match", (117, 119, 122, 130), None)
+@query("greedy_match", (119,), None)
 def greedy_match(spark, d):
     """Hints (odd places) to footprints (even places) of a plan, nearest first, each used once."""
 
@@ -309,7 +309,7 @@ def grid_distance(spark, d):
     return per_plan(_grid(spark, d), lambda part: [(x, y, n) for (x, y), n in sorted(breadth_first(_free(part), (0, 0)).items())], "plan long, gx int, gy int, steps int")
 
 
-@query("grid_route", (187, 238, 335, 336), None)
+@query("grid_route", (187, 238, 335), None)
 def grid_route(spark, d):
     """A route across the grid between the free cells nearest to two corners, then pulled straight along free lines."""
 

@@ -96,7 +96,7 @@ def furniture_room(spark, d):
     return j.where(d2 <= REACH * REACH).groupBy("plan", "ord").agg(F.min_by("room", key).alias("room"))
 
 
-@query("stair_room_unique", (116, 202), """
+@query("stair_room_unique", (116,), """
 WITH j AS (SELECT f.plan, f.ord, r.ord AS room FROM {furniture} f JOIN {rooms} r ON r.plan = f.plan
   AND f.x - f.w/2 >= r.x0 AND f.x + f.w/2 <= r.x1 AND f.y - f.d/2 >= r.y0 AND f.y + f.d/2 <= r.y1)
 SELECT plan, min(room) AS room, ord FROM j GROUP BY plan, ord HAVING count(*) = 1""")
@@ -130,7 +130,7 @@ def four_boundaries(spark, d):
     return l.join(got, ["plan", "ord"], "left").select("plan", "ord", "lft", "rgt", "lo", "hi", (F.col("rgt") - F.col("lft")).alias("width"), (F.col("hi") - F.col("lo")).alias("depth"))
 
 
-@query("unique_footprint_link", (124, 125, 126, 297), """
+@query("unique_footprint_link", (124, 126), """
 WITH k AS (SELECT plan, ord, CASE category WHEN 'Double Bed' THEN 'bed' WHEN 'couch' THEN 'sofa' WHEN 'bedside-table' THEN 'table' WHEN 'Carpet' THEN 'rug'
   WHEN 'arm chair' THEN 'chair' ELSE category END AS family, x, y, w, d, rot - 360*floor(rot/360) AS rot, ord % 2 AS side FROM {furniture}),
 f AS (SELECT plan, family, x, y, w, d, rot, min(ord) AS item FROM k WHERE side = 0 GROUP BY ALL HAVING count(*) = 1)
@@ -159,7 +159,7 @@ def room_material(spark, d):
     return r.join(last, ["plan", "target"], "left").join(second, ["plan", "other"], "left").select("plan", "ord", F.coalesce("preset", "preset2", F.lit("fallback")).alias("preset"))
 
 
-@query("gap_covered", (121, 133), """
+@query("gap_covered", (121,), """
 WITH g AS (SELECT plan, ord, id, s, e, lead(s) OVER (PARTITION BY plan, wall_id ORDER BY s, e, id) AS nxt, wall_id FROM {openings})
 SELECT g.plan, g.ord, g.e AS gap_start, g.nxt AS gap_end, EXISTS (SELECT 1 FROM {openings} o WHERE o.plan = g.plan AND o.wall_id <> g.wall_id
  AND o.s <= g.e + 0.1 AND o.e >= g.nxt - 0.1) AS covered FROM g WHERE g.nxt - g.e > 1e-6""")
@@ -204,7 +204,7 @@ def baseline_manifest(spark, d):
     return m.join(r, "doc_id", "left").select("doc_id", "split", F.when(F.col("there").isNull(), "missing").when(F.col("sha2") != F.col("sha"), "hash_mismatch").otherwise("ok").alias("status"))
 
 
-@query("hamming_pairs", (132, 169), """
+@query("hamming_pairs", (132,), """
 WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS bits FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(CAST(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT)) AS BIGINT)) AS INTEGER) AS distance
 FROM b a JOIN b b ON a.vec_id < b.vec_id WHERE bit_count(CAST(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT)) AS BIGINT)) <= 6""")
@@ -225,7 +225,7 @@ def hamming_pairs(spark, d):
     return near.select(F.col("vec_id").alias("a"), F.col("other").alias("b"), "distance").distinct()
 
 
-@query("wall_crossings", (231, 236, 242), """
+@query("wall_crossings", (231,), """
 WITH p AS (SELECT a.plan, a.ord AS a, b.ord AS b, a.x1 ax, a.y1 ay, a.x2 bx, a.y2 by_, b.x1 cx, b.y1 cy, b.x2 dx, b.y2 dy FROM {walls} a JOIN {walls} b ON a.plan = b.plan AND a.ord < b.ord)
 SELECT plan, a, b FROM p WHERE ((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))*((bx-ax)*(dy-ay)-(by_-ay)*(dx-ax)) < 0
  AND ((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx))*((dx-cx)*(by_-cy)-(dy-cy)*(bx-cx)) < 0""")

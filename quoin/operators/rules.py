@@ -80,7 +80,7 @@ def _bound_issues(spark, d):
     return issues(bound(spark, d, "walls"), bound(spark, d, "openings"), bound(spark, d, "rooms"))
 
 
-@query("rule_issues", (200, 232, 233), _ISSUES + "SELECT * FROM i")
+@query("rule_issues", (232, 233), _ISSUES + "SELECT * FROM i")
 def rule_issues(spark, d):
     return _bound_issues(spark, d)
 
@@ -120,7 +120,7 @@ def junction_support(spark, d):
     return cells.groupBy("plan").agg(F.count(F.lit(1)).alias("junctions"))
 
 
-@query("evaluation_rollup", (156, 157, 154), """
+@query("evaluation_rollup", (156, 157), """
 WITH s AS (SELECT l_orderkey AS plan, l_returnflag AS style, sum(l_quantity) AS pred, sum(l_linenumber * 8) AS truth, sum(least(l_quantity, l_linenumber * 8)) AS hit FROM lineitem GROUP BY ALL),
 f AS (SELECT style, hit/pred AS p, hit/truth AS r, 2*hit/(pred+truth) AS f1, hit/(pred+truth-hit) AS iou FROM s)
 SELECT coalesce(style, 'overall') AS style, count(*) AS scored, round(avg(p), 6) AS prec, round(avg(r), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(iou), 6) AS iou FROM f GROUP BY ROLLUP (style)""")
@@ -151,12 +151,12 @@ def style_balanced_sample(spark, d):
     return k.orderBy("n", "lang").limit(24)
 
 
-@query("duplicate_digest", (132, 169, 343), "SELECT sha256(text) AS digest, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_digest", (132,), "SELECT sha256(text) AS digest, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_digest(spark, d):
     return bound(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("tree_fingerprint", (160, 167, 168), "SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), '|' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("tree_fingerprint", (160, 168), "SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), '|' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
 def tree_fingerprint(spark, d):
     parts = F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)).alias("t"))))
     return bound(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), "|"), 256).alias("fingerprint"))
@@ -168,7 +168,7 @@ def faces_by_area(spark, d):
     return bound(spark, d, "rooms").select("plan", "ord", area.alias("area"), F.row_number().over(Window.partitionBy("plan").orderBy(area.desc(), "ord")).alias("place"))
 
 
-@query("history_cap", (193, 194, 285), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+@query("history_cap", (193, 194), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def history_cap(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return bound(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 5").select("user_id", "event_id")
@@ -184,7 +184,7 @@ def monotone_version(spark, d):
     return e.withColumn("version", F.max(F.col("m") - F.col("n")).over(Window.partitionBy("user_id").orderBy("n")) + F.col("n")).select("user_id", "event_id", "version")
 
 
-@query("label_fallback", (196, 300, 201), """
+@query("label_fallback", (196,), """
 SELECT plan, name, 'local' AS origin FROM {labels_px} WHERE confidence >= 0.8
 UNION ALL SELECT plan, name, 'fallback' FROM {labels_px} l WHERE confidence BETWEEN 0.6 AND 0.79 AND NOT EXISTS (SELECT 1 FROM {labels_px} k WHERE k.plan = l.plan AND k.confidence >= 0.8)""")
 def label_fallback(spark, d):

@@ -97,7 +97,7 @@ def l_ring():
     return F.array(*[F.struct(lit(x).alias("x"), lit(y).alias("y")) for x, y in pts])
 
 
-@query("ring_area", (54, 55, 96, 97, 165), """
+@query("ring_area", (54, 55), """
 WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, CAST(p_partkey % 7 + 1 AS DOUBLE) AS k FROM part)
 SELECT p_partkey, (s+k)*k + k*s AS area, round(((s+k)*k + k*s)/((s+k)*(s+k)), 6) AS fill, s + k AS side FROM p""")
 def ring_area(spark, d):
