@@ -26,7 +26,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
 STAR_ROUNDS = 2
 #: Members of a bucket that are paired off; documents of a block of a large group.
-SMALL, BLOCK = 8, 1000
+SMALL, BLOCK = 8, 500
 #: Word hashes (about 180 bytes each) that a Python worker keeps.
 WORDS_HELD = 200_000
 #: Ids (8 bytes each) up to which a semi-join's side is broadcast; beyond, it is shuffled.
