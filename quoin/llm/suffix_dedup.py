@@ -6,7 +6,7 @@ string can only occur again in a segment with the same anchor hash.  This splits
 
 1. anchors whose hash occurs once are done: nothing of their segment occurs again;
 2. equal segments form a class; in a class of two or more, every start occurs again;
-3. one segment of each class, where a hash has several classes, goes to the shard of its hash.  Each shard is suffix
+3. one segment of each class, where a hash has several classes and one of them is single, goes to the shard of its hash.  Each shard is suffix
    sorted, and neighbours in the suffix array that share LENGTH bytes are marked.  Shards hold about SHARD_BYTES.
    A hash with more than HOT classes (a passage with a different surrounding in every document) would make a shard
    that no machine can hold: its strings are compared by 128-bit digests instead, spread over all tasks.
@@ -206,7 +206,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = common.settle(found, "anchors")
     first = F.min(F.struct("doc_id", "text_hash", "a", "n")).alias("first")
     classes = common.settle(found.groupBy("hash", "seg").agg(F.count(F.lit(1)).alias("c"), first), "classes")
-    per_hash = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    # Where every class has two members or more, every start is known to occur again: nothing is left to sort.
+    per_hash = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("classes"), F.min("c").alias("least")).where("classes > 1 and least = 1").drop("least")
     # A hash with many classes has one row here for each, so the look-up is spread.
     several = common.lookup(classes, per_hash, ["hash"], ["seg"]).where("classes > 1")
     wanted = common.settle(
