@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from quoin.llm import common
 
 LENGTH, GRAM = 200, 32
-SHARD_BYTES, HOT = 2_000_000, 1_000
+SHARD_BYTES, HOT = 2_000_000, 10_000
 #: Anchor hashes (8 bytes each) and requested segments (about 50) up to which they are broadcast; beyond, they are joined.
-BROADCAST_HASHES, BROADCAST_SEGMENTS = 4_000_000, 400_000
+BROADCAST_HASHES, BROADCAST_SEGMENTS = 4_000_000, 50_000
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 19
 ANCHORS = "doc_id long, text_hash long, a int, n int, off int, hash long, seg long"
