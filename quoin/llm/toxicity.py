@@ -10,9 +10,9 @@ A text is scored by length-normalised log-likelihood ratios, log P(toxic)/P(ordi
 of the TOP best words, the mean of the whole text, and the logarithm of its length, weighed by a logistic fit.  The models see FIT_PARTS of PARTS
 of the labelled sample, the weights the rest, so that the weights aren't fit on words learned by heart.
 
-The sample is bounded: MAX_ROWS labelled rows of each class, chosen by hash.  The corpus-wide word counts that the
-backoff uses cover every document.  The driver holds at most MAX_WORDS words, MAX_NODES
-prefixes and MAX_BIGRAMS bigrams (about 30 MB); prefixes and bigrams are what is broadcast.
+Only the sample is bounded: MAX_ROWS labelled rows of each class, chosen by hash.  The shared counts are those of every
+word of every document.  Words, prefixes, bigrams and backoff weights are Parquet tables without a limit.  Documents ask
+them in blocks of BLOCK rows: a block's distinct words and bigrams fetch their ratios by joins and then meet its texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from quoin.llm import common
 
 MAX_ROWS = {1: 8_000, 0: 16_000}
-MAX_WORDS, MAX_NODES, MAX_BIGRAMS = 50_000, 120_000, 60_000
+#: Rows of a block are a power of two; words that a worker counts before it hands them on; bits of the filter of bigrams.
+BLOCK_BITS, HELD, FILTER_BITS = 10, 200_000, 24
+#: Prefixes of up to SHORT letters, which many words share, are looked up in RUNS runs.
+SHORT = 3
 #: Letters of a prefix at most, and what ends a word.
 DEPTH, STOP = 12, "$"
 #: A word or bigram enters the tables with this many contexts or documents; rarer ones are the unseen.
@@ -46,52 +49,89 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _longest(known: dict, w: str):
-    """What is known of the whole word, or else of its longest prefix, or None."""
-    found = known.get(w[:DEPTH] + STOP)
-    for n in range(min(len(w), DEPTH), 0, -1):
-        if found is not None:
-            break
-        found = known.get(w[:n])
-    return found
-
-
 @dataclass
 class Model:
-    """Log ratios: of prefixes, of bigrams in whole, of the weights with which contexts back off; logistic weights."""
+    """Log ratios by word (w, r), of bigrams in whole (v, w, r), of the weights with which contexts back off (w, b).
+
+    The words are those of the documents that the model was fit on, which score_texts() takes.  `filter` has a bit for
+    each bigram's hash: others are asked for in vain at times, no bigram is missed.
+    """
 
-    prefix: dict
-    bigram: dict
-    backoff: dict
+    words: DataFrame
+    pairs: DataFrame
+    leads: DataFrame
+    filter: bytes
     weights: list
 
-    def word(self, w: str) -> float:
-        """The log ratio of the longest known prefix."""
-        return _longest(self.prefix, w) or 0.0
 
-    def features(self, text: str | None) -> list[float]:
-        """Best word, mean of the TOP best, mean of all, log of the length; zeros without words."""
-        import numpy as np
+class _Ids(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self)
+        return n
+
 
-        words = words_of(text)
-        if not words:
-            return [0.0] * 4
-        memo = self.__dict__.setdefault("_memo", {})
-        if len(memo) > 200_000:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.word(w)
-        bigram, backoff = self.bigram, self.backoff
-        before = ["", *words[:-1]]
-        ratio = np.array([bigram[vw] if vw in bigram else memo[vw[1]] + backoff.get(vw[0], 0.0) for vw in zip(before, words)])
-        top = np.partition(ratio, len(ratio) - min(TOP, len(ratio)))[-TOP:]
-        return [float(ratio.max()), float(top.mean()), float(ratio.mean()), float(np.log1p(len(ratio)))]
+class _Known(dict):
+    """Numbers of known words; all others have the next one."""
+
+    def __missing__(self, w: str) -> int:
+        return len(self)
+
+
+def _places(text: str | None, ids: dict):
+    """The numbers of a text's words, and of its bigrams; that of '' is the context of the first."""
+    import numpy as np
+
+    at = np.array([ids[""], *map(ids.__getitem__, words_of(text))], dtype=np.int64)
+    return at[1:], at[:-1] << 32 | at[1:]
+
+
+def _pair_bits(v, w):
+    """Places in the filter of bigrams, of the hashes of their words."""
+    import numpy as np
 
-    def score(self, features: list[float]) -> float:
-        import math
+    return ((v * np.uint64(0x9E3779B97F4A7C15) ^ w) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FILTER_BITS)
 
-        z = sum(w * x for w, x in zip(self.weights, [1.0, *features]))
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+def _hashes(words):
+    import hashlib
+
+    import numpy as np
+
+    return np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words), dtype=np.uint64)
+
+
+def features_of(texts: list, asked):
+    """Of each text: best word, mean of the TOP best, mean of all, log of the length; zeros without words.
+
+    asked: v, w, r, b of the words (v is null) and bigrams that the texts hold; r and b are null where nothing is known.
+    """
+    import numpy as np
+
+    ids = _Ids()
+    single = asked["v"].isna().to_numpy()
+    words, pairs = asked[single], asked[~single]
+    at = np.array([ids[w] for w in words["w"]], dtype=np.int64)
+    code = np.array([ids[v] << 32 | ids[w] for v, w in zip(pairs["v"], pairs["w"])], dtype=np.int64)
+    ids[""]
+    ids = _Known(ids)
+    ratio, back = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
+    ratio[at], back[at] = words["r"].fillna(0.0), words["b"].fillna(0.0)
+    code, first = np.unique(code, return_index=True)
+    whole = pairs["r"].to_numpy(dtype=float)[first]
+    out = np.zeros((len(texts), 4))
+    for i, text in enumerate(texts):
+        w, vw = _places(text, ids)
+        if not len(w):
+            continue
+        got = ratio[w] + back[vw >> 32]
+        if len(code):
+            place = np.minimum(np.searchsorted(code, vw), len(code) - 1)
+            got = np.where(code[place] == vw, whole[place], got)
+        top = np.partition(got, len(got) - min(TOP, len(got)))[-TOP:]
+        out[i] = got.max(), top.mean(), got.mean(), np.log1p(len(got))
+    return out
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,81 +160,83 @@ def bigrams(rows: DataFrame) -> DataFrame:
     return rows.select("toxic", "text").mapInPandas(run, "toxic int, v string, w string").groupBy("toxic", "v", "w").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def corpus_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
-    """In how many documents each of these words is, over all documents; the unlisted together are ''."""
-    number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(w, n): in how many documents each word is, over all words of all documents."""
 
     def run(batches):
-        import numpy as np
+        from collections import Counter
+
         import pandas as pd
 
-        get = number.value.get
-        counts = np.zeros(len(number.value) + 1, dtype=np.int64)
+        held = Counter()
         for batch in batches:
             for text in batch["text"]:
-                ids = np.array([get(w, -1) for w in set(words_of(text))], dtype=np.int64)
-                known = ids[ids >= 0]
-                counts[known] += 1
-                counts[-1] += len(ids) - len(known)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"word": at, "n": counts[at]})
+                held.update(set(words_of(text)))
+                if len(held) > HELD:
+                    yield pd.DataFrame(held.items(), columns=["w", "n"])
+                    held = Counter()
+        yield pd.DataFrame(held.items(), columns=["w", "n"])
 
-    got = docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # MAX_WORDS + 1 rows at most
-    names = [*words, ""]
-    return {names[r["word"]]: r["n"] for r in got}
+    return docs.select("text").mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _class_sum(column: str, c: int):
     return F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col(column))), F.lit(0)).alias(f"{column[0]}{c}")
 
 
-def prefix_logs(per_word: DataFrame, corpus: dict[str, int], discounts: dict) -> dict[str, tuple]:
-    """Log probability of each prefix in both classes; per_word: toxic, w, contexts."""
-    import math
-
+def _nodes():
+    """Column: (node, parent) of the prefixes of w, and of its end."""
     lengths = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(DEPTH)))
-    nodes = F.concat(
+    return F.concat(
         F.transform(lengths, lambda n: F.struct(F.substring("w", F.lit(1), n).alias("node"), F.substring("w", F.lit(1), n - 1).alias("parent"))),
         F.array(F.struct(F.concat(F.substring("w", 1, DEPTH), F.lit(STOP)).alias("node"), F.substring("w", 1, DEPTH).alias("parent"))),
     )
-    each = per_word.where("w <> ''").select("toxic", "contexts", F.explode(nodes).alias("x")).select("toxic", "contexts", "x.node", "x.parent")
+
+
+def _by_node(rows: DataFrame, spread: str, table: DataFrame) -> DataFrame:
+    """rows JOIN table (unique by node), where a short node may be that of a tenth of all rows."""
+    short = F.length("node") <= SHORT
+    runs = F.when(short, F.sequence(F.lit(0), F.lit(common.RUNS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("_run", F.when(short, common.run_of(spread)).otherwise(0))
+    return dealt.join(table.withColumn("_run", F.explode(runs)), ["node", "_run"]).drop("_run")
+
+
+def word_logs(per_word: DataFrame, corpus: DataFrame, discounts: dict) -> DataFrame:
+    """(w, l0, l1): log probability in both classes of each word of `corpus` (w, n), or else of its longest known prefix.
+
+    per_word: toxic, w, contexts.  A word without a known prefix has no row.
+    """
+    spark = per_word.sparkSession
+    each = per_word.where("w <> ''").select("toxic", "contexts", F.explode(_nodes()).alias("x")).select("toxic", "contexts", "x.node", "x.parent")
     summed = common.settle(each.groupBy("node", "parent").agg(_class_sum("contexts", 0), _class_sum("contexts", 1)), "nodes")
-    types = summed.groupBy(F.col("parent").alias("p")).agg(*[F.sum((F.col(f"c{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)])
-    pooled = F.col("c0") + F.col("c1")
-    rows = summed.where(pooled >= LEAST).orderBy(pooled.desc(), F.length("node"), "node").limit(MAX_NODES)
-    rows = sorted(rows.collect(), key=lambda r: len(r["node"]))
-    inner = summed.where(pooled >= LEAST).select(F.col("node").alias("p")).unionByName(per_word.sparkSession.createDataFrame([("",)], "p string"))
-    kids = {r["p"]: (r["t0"], r["t1"]) for r in types.join(inner, "p", "left_semi").orderBy((F.col("t0") + F.col("t1")).desc(), "p").limit(MAX_NODES).collect()}
-    shared: dict[str, int] = {}
-    for w, n in corpus.items():
-        if w:
-            for k in range(min(len(w), DEPTH) + 1):
-                shared[w[:k]] = shared.get(w[:k], 0) + n
-            shared[w[:DEPTH] + STOP] = shared.get(w[:DEPTH] + STOP, 0) + n
-    total = {"": [sum(r[f"c{c}"] for r in rows if len(r["node"]) == 1) for c in (0, 1)]}
-    total |= {r["node"]: [r["c0"], r["c1"]] for r in rows}
-    out = {"": (0.0, 0.0)}
-    for r in rows:
-        node, parent = r["node"], r["parent"]
-        if parent not in out:
-            continue
-        of, (k0, k1) = total[parent], kids.get(parent, (0, 0))
-        share = (shared.get(node, 0) + r["c0"] + r["c1"]) / (shared.get(parent, 0) + sum(of))
-        p = []
-        for c, k in ((0, k0), (1, k1)):
-            if of[c] <= 0:
-                p.append(share)
-            else:
-                p.append(max(r[f"c{c}"] - discounts[c], 0) / of[c] + min(1.0, discounts[c] * max(k, 1) / of[c]) * share)
-        out[node] = tuple(x + math.log(y) for x, y in zip(out[parent], p))
-    del out[""]
-    return out
+    known = summed.where(F.col("c0") + F.col("c1") >= LEAST)
+    each = corpus.where("w <> ''").select("w", "n", F.explode(_nodes()).alias("x")).select("w", "n", "x.node")
+    hits = common.settle(_by_node(each, "w", known.select("node")), "hits")
+    root = summed.where("parent = ''").agg(F.lit("").alias("parent"), *[F.coalesce(F.sum(f"c{c}"), F.lit(0)).alias(f"o{c}") for c in (0, 1)])
+    of = summed.select(F.col("node").alias("parent"), F.col("c0").alias("o0"), F.col("c1").alias("o1")).unionByName(root)
+    kids = summed.groupBy("parent").agg(*[F.sum((F.col(f"c{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)])
+    # The parent of a known node is known, as it has its counts; that of the first letters is the root.
+    shared = hits.groupBy("node").agg(F.sum("n").alias("n"))
+    shared = common.settle(shared.unionByName(corpus.where("w <> ''").agg(F.lit("").alias("node"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))), "shared")
+    rows = known.join(of, "parent").join(kids, "parent").join(shared, "node", "left")
+    rows = rows.join(shared.select(F.col("node").alias("parent"), F.col("n").alias("m")), "parent", "left")
+    n, m = (F.coalesce(F.col(x), F.lit(0)) for x in "nm")
+    share = (n + F.col("c0") + F.col("c1")) / (m + F.col("o0") + F.col("o1"))
+    step = []
+    for c in (0, 1):
+        d, total = F.lit(float(discounts[c])), F.col(f"o{c}")
+        seen = F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / total + F.least(F.lit(1.0), d * F.greatest(F.col(f"t{c}"), F.lit(1)) / total) * share
+        step.append(F.log(F.when(total > 0, seen).otherwise(share)).alias(f"s{c}"))
+    steps = common.settle(rows.select("node", *step), "steps")
+    chain = F.transform(F.sequence(F.lit(1), F.length("node")), lambda k: F.substring("node", F.lit(1), k))
+    chained = _by_node(steps.select(F.col("node").alias("last"), F.explode(chain).alias("node")), "last", steps)
+    logs = common.settle(chained.groupBy(F.col("last").alias("node")).agg(F.sum("s0").alias("l0"), F.sum("s1").alias("l1")), "logs")
+    longest = hits.groupBy("w").agg(F.max_by("node", F.length("node")).alias("node"))
+    return common.settle(_by_node(longest, "w", logs).select("w", "l0", "l1"), "words")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """None if a class has no rows to learn from."""
-    import math
-
     rows = common.settle(sample(docs, labels), "sample")
     grams = common.settle(bigrams(rows.where(F.col("part") < FIT_PARTS)), "bigrams")
     per_word = common.settle(grams.groupBy("toxic", F.col("w")).agg(F.count(F.lit(1)).alias("contexts")), "continuations")
@@ -204,40 +246,102 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             discounts.setdefault(kind, {})[r["toxic"]] = min(0.95, max(0.1, r["n1"] / (r["n1"] + 2 * r["n2"]))) if r["n1"] else 0.5
     if set(discounts.get("w", ())) != {0, 1}:
         return None
-    common_words = per_word.groupBy("w").agg(F.sum("contexts").alias("n")).where(F.col("n") >= LEAST)
-    words = [r["w"] for r in common_words.orderBy(F.col("n").desc(), "w").limit(MAX_WORDS).collect()]
-    logs = prefix_logs(per_word, corpus_counts(docs, words), discounts["w"])
+    words = word_logs(per_word, common.settle(corpus_words(docs), "corpus-words"), discounts["w"])
     leads = grams.groupBy("v").agg(_class_sum("docs", 0), _class_sum("docs", 1), *[F.sum((F.col("toxic") == c).cast("long")).alias(f"t{c}") for c in (0, 1)])
     pooled = F.col("d0") + F.col("d1")
-    lead = {r["v"]: r for r in leads.where(pooled >= LEAST).orderBy(pooled.desc(), "v").limit(MAX_WORDS).collect()}
-    d = discounts["vw"]
-    spare = {v: [d[c] * r[f"t{c}"] / r[f"d{c}"] if r[f"d{c}"] else 1.0 for c in (0, 1)] for v, r in lead.items()}
+    spare = [F.when(F.col(f"d{c}") > 0, discounts["vw"][c] * F.col(f"t{c}") / F.col(f"d{c}")).otherwise(1.0).alias(f"x{c}") for c in (0, 1)]
+    leads = common.settle(leads.where(pooled >= LEAST).select("v", F.col("d0").alias("o0"), F.col("d1").alias("o1"), *spare), "leads")
     pairs = grams.groupBy("v", "w").agg(_class_sum("docs", 0), _class_sum("docs", 1)).where(pooled >= LEAST)
-    pairs = pairs.orderBy(pooled.desc(), "v", "w").limit(MAX_BIGRAMS).collect()
-    model = Model({k: x[1] - x[0] for k, x in logs.items()}, {}, {v: math.log(x[1] / x[0]) for v, x in spare.items()}, [])
-    for r in pairs:
-        v, w = r["v"], r["w"]
-        low = _longest(logs, w)
-        if v in lead and low is not None:
-            p = [(max(r[f"d{c}"] - d[c], 0) / lead[v][f"d{c}"] if lead[v][f"d{c}"] else 0.0) + spare[v][c] * math.exp(low[c]) for c in (0, 1)]
-            model.bigram[v, w] = math.log(p[1] / p[0])
-    featured = common.settle(_features(rows.where(F.col("part") >= FIT_PARTS).select("doc_id", "text", "toxic"), model), "features")
-    model.weights = _logistic(featured.select("f0", "f1", "f2", "f3", "toxic").collect())  # bounded as the sample is
+    p = []
+    for c in (0, 1):
+        of = F.col(f"o{c}")
+        own = F.when(of > 0, F.greatest(F.col(f"d{c}") - discounts["vw"][c], F.lit(0.0)) / of).otherwise(0.0)
+        p.append(own + F.col(f"x{c}") * F.exp(f"l{c}"))
+    pairs = common.settle(pairs.join(leads, "v").join(words, "w").select("v", "w", F.log(p[1] / p[0]).alias("r")), "pairs")
+    ratios = words.select("w", (F.col("l1") - F.col("l0")).alias("r"))
+    model = Model(ratios, pairs, leads.select(F.col("v").alias("w"), F.log(F.col("x1") / F.col("x0")).alias("b")), pair_filter(pairs), [])
+    featured = with_features(rows.where(F.col("part") >= FIT_PARTS).select("text", "toxic"), model, None)
+    model.weights = _logistic(common.settle(featured.select("f0", "f1", "f2", "f3", "toxic"), "features").collect())  # bounded as the sample is
     return model
 
 
-def _features(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def pair_filter(pairs: DataFrame) -> bytes:
+    """A bit for the hash of each bigram."""
+    import numpy as np
+
+    def run(batches):
+        import pandas as pd
+
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            if len(batch):
+                bits[_pair_bits(_hashes(batch["v"]), _hashes(batch["w"]))] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in pairs.select("v", "w").coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():  # 2 MB a row, four rows
+        out |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.tobytes()
+
+
+def asked(blocked: DataFrame, model: Model) -> DataFrame:
+    """(_block, v, w, r, b): what is known of each block's words (v is null) and bigrams."""
+    shared = blocked.sparkSession.sparkContext.broadcast(model.filter)  # of a fixed size
+
+    def wanted(block, ids, codes, bits):
+        import numpy as np
+        import pandas as pd
+
+        names, code = np.array(list(ids), dtype=object), np.unique(np.concatenate(codes))
+        hashed = _hashes(ids)
+        code = code[bits[_pair_bits(hashed[code >> 32], hashed[code & 0xFFFFFFFF])]]
+        v, w = [None] * len(names) + list(names[code >> 32]), list(names) + list(names[code & 0xFFFFFFFF])
+        return pd.DataFrame({"_block": block, "v": v, "w": w})
 
     def run(batches):
+        import numpy as np
+
+        bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).astype(bool)
+        at, ids, codes = None, _Ids(), []
         for batch in batches:
-            got = [shared.value.features(t) for t in batch["text"]]
-            out = batch[["toxic"]].copy()
-            for i in range(4):
-                out[f"f{i}"] = [x[i] for x in got]
-            yield out
+            for block, text in zip(batch["_block"], batch["text"]):
+                if block != at and codes:
+                    yield wanted(at, ids, codes, bits)
+                    ids, codes = _Ids(), []
+                at = block
+                codes.append(np.unique(_places(text, ids)[1]))
+        if codes:
+            yield wanted(at, ids, codes, bits)
+
+    rows = common.settle(blocked.select("_block", "text").mapInPandas(run, "_block long, v string, w string"), "asked")
+    words = rows.where("v IS NULL").join(model.words, "w", "left").join(model.leads, "w", "left")
+    pairs = rows.where("v IS NOT NULL").join(model.pairs, ["v", "w"]).withColumn("b", F.lit(None).cast("double"))
+    return words.where("r IS NOT NULL OR b IS NOT NULL").select("_block", "v", "w", "r", "b").unionByName(pairs.select("_block", "v", "w", "r", "b"))
+
+
+def with_features(docs: DataFrame, model: Model, weights: list | None) -> DataFrame:
+    """The input rows with f0 to f3, or with _score if there are weights."""
+    from pyspark.sql.types import DoubleType, StructType
+
+    blocked = common.settle(docs.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocked")
+    names = ["_score"] if weights else [f"f{i}" for i in range(4)]
+    schema = StructType(docs.schema.fields)
+    for name in names:
+        schema = schema.add(name, DoubleType())
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
 
-    return rows.mapInPandas(run, "toxic int, f0 double, f1 double, f2 double, f3 double")
+        got = features_of(left.column("text").to_pylist(), right.select(["v", "w", "r", "b"]).to_pandas())
+        if weights:
+            got = 1 / (1 + np.exp(-np.clip(weights[0] + got @ np.array(weights[1:]), -700, 700)))[:, None]
+        out = left.drop_columns(["_block"])
+        for i, name in enumerate(names):
+            out = out.append_column(name, pa.array(got[:, i], type=pa.float64()))
+        return out
+
+    return blocked.groupBy("_block").cogroup(asked(blocked, model).groupBy("_block")).applyInArrow(run, schema)
 
 
 def _logistic(rows, penalty: float = 1e-2, rounds: int = 60) -> list[float]:
@@ -265,16 +369,7 @@ def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
     """The input rows with _score (0 to 1); without a model every score is 0."""
     if model is None:
         return docs.withColumn("_score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        m = shared.value
-        return pd.Series([m.score(m.features(t)) for t in texts], dtype="float64")
-
-    return docs.withColumn("_score", scored("text"))
+    return with_features(docs, model, model.weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

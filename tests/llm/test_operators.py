@@ -329,6 +329,15 @@ def test_toxicity_without_labels(spark, none):
     assert toxicity.toxicity(none, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_tables_have_no_limit(spark):
+    """More words, prefixes and bigrams than any of the limits that the model once had."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = " ".join(f"w{i * 7919 % 1000003}" for i in range(70_000))
+    docs = spark.createDataFrame([(i, text) for i in ids[:12]], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids[:12])], "doc_id long, toxic int"))
+    assert model.pairs.count() == 70_000 and model.words.count() == 70_000 and model.leads.count() == 70_000
+
+
 CHAT = "conv_id long, turn int, role string, text string, source string"
 
 
