@@ -338,6 +338,44 @@ def test_toxicity_tables_have_no_limit(spark):
     assert model.pairs.count() == 70_000 and model.words.count() == 70_000 and model.leads.count() == 70_000
 
 
+def test_toxicity_shares_every_word(spark):
+    """Counts and log probabilities against plain Python, with words of the corpus that no labelled text has."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 16))) for _ in range(400)]
+    docs = [None, "", "Zq zq zq1", *(" ".join(r.choices(words, k=30)) for _ in range(60))]
+    corpus = toxicity.corpus_words(spark.createDataFrame([(t,) for t in docs], "text string"))
+    counts = Counter(w for t in docs for w in set(toxicity.words_of(t)))
+    assert {r.w: r.n for r in corpus.collect()} == counts and counts["zq"] == 1
+    per_word = [(c, w, r.randint(1, 5)) for c in (0, 1) for w in r.sample(words, 150)]
+    discounts = {0: 0.6, 1: 0.8}
+
+    def ends(w):
+        return [w[:k] for k in range(1, min(len(w), toxicity.DEPTH) + 1)] + [w[: toxicity.DEPTH] + toxicity.STOP]
+
+    own, shared, kids = ({0: Counter(), 1: Counter()}, Counter(), {0: defaultdict(set), 1: defaultdict(set)})
+    for c, w, n in per_word:
+        own[c][""] += n
+        for x in ends(w):
+            own[c][x] += n
+            kids[c][x[:-1]].add(x)
+    for w, n in counts.items():
+        shared.update(dict.fromkeys(["", *ends(w)], n))
+    known = {x for x in own[0] | own[1] if own[0][x] + own[1][x] >= toxicity.LEAST}
+
+    def log(x, c):
+        if not x:
+            return 0.0
+        of, up = own[c][x[:-1]], x[:-1]
+        share = (shared[x] + own[0][x] + own[1][x]) / (shared[up] + own[0][up] + own[1][up])
+        d = discounts[c]
+        return log(up, c) + float(np.log(max(own[c][x] - d, 0) / of + min(1, d * max(len(kids[c][up]), 1) / of) * share if of else share))
+
+    want = {w: next((x for x in reversed(ends(w)) if x in known), None) for w in counts}
+    got = {r.w: (r.l0, r.l1) for r in toxicity.word_logs(spark.createDataFrame(per_word, "toxic int, w string, contexts long"), corpus, discounts).collect()}
+    assert set(got) == {w for w, x in want.items() if x} and set(got) - {w for _, w, _ in per_word}
+    assert all(np.allclose(got[w], [log(want[w], c) for c in (0, 1)]) for w in got)
+
+
 CHAT = "conv_id long, turn int, role string, text string, source string"
 
 
