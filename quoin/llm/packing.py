@@ -9,6 +9,10 @@ has; then the shares of the others grow in proportion (a new phase; at most one
 
 A document needs only its place in its queue: its running sum in its own task, plus the totals of the tasks before.
 Token ids are encoded once and written to the shared folder; only per-task totals are shuffled.
+
+With more than MAX_QUEUES sources the same stream is laid out by shuffles: a document's runs, one a round, find their
+places by running sums over rounds and within a round, so that no task holds the weights of all queues.  The driver
+holds each queue's total and weights.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ from quoin.llm import common
 
 #: Token that ends each document.
 END = 1
-#: With more sources than this, sources share queues by hash, which bounds the phase table.
+#: Queues whose phases every task holds; with more, runs are laid out by shuffles, to the same result.
 MAX_QUEUES = 1024
+#: Rounds that one task adds up.
+ROUNDS = 10_000
 #: Rows of the table of per-task bases (about 60 bytes each) up to which it is broadcast; beyond, it is joined.
 BROADCAST_ROWS = 200_000
 TOKENS = "doc_id long, queue string, part int, start_in_part long, n_tokens long, ids binary"
+RUNS = "doc_id long, start long, length long, doc_tokens long, queue string, place long, phase int, round long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
@@ -140,15 +147,15 @@ def pack(docs: DataFrame, window: int = 2048, targets: dict[str, float] | None =
     spark = docs.sparkSession
     json_path = json_path or common.default_tokenizer()
     source = F.coalesce(F.col("source").cast("string"), F.lit("\x00"))
-    if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        source = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), common.text_or_empty().alias("text"))
     tokens = common.settle(encode(base, json_path), "tokens")
     sums = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES at most
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row a source
     plan = phases(totals, window, targets)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = common.settle(sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    if len(totals) > MAX_QUEUES:
+        return laid_out(tokens, bases, plan, window)
     placed = tokens.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, ["part", "queue"])
 
     def run(batches):
@@ -172,6 +179,74 @@ def pack(docs: DataFrame, window: int = 2048, targets: dict[str, float] | None =
     return placed.select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("place"), "n_tokens", "ids").mapInPandas(run, PIECES)
 
 
+def runs(place: int, n: int, plan, window: int):
+    """(start in document, length, phase, round) of the tokens [place, place + n) of a queue with these phases."""
+    start = 0
+    for p in plan:
+        weight, total = int(p["weight"]), int(p["total"])
+        full = p["rounds"] * window * weight // total
+        while start < n and place - p["before"] < full + p["last"]:
+            y = place - p["before"]
+            w, high = p["rounds"], full + p["last"]
+            if y < full:
+                w = ((y + 1) * total + window * weight - 1) // (window * weight) - 1
+                high = (w + 1) * window * weight // total
+            run = min(n - start, high - y)
+            yield start, run, p["phase"], w
+            start, place = start + run, place + run
+        if start == n:
+            return
+
+
+def laid_out(tokens: DataFrame, bases: DataFrame, plan: list[Phase], window: int) -> DataFrame:
+    """PIECES of any number of queues: rounds follow each other, and in a round the queues in the order of their names."""
+    spark = tokens.sparkSession
+    rows = [(q, k, str(p.weights[i]), str(p.total), p.rounds, p.before[i], p.last[i]) for k, p in enumerate(plan) for q, i in p.index.items()]
+    table = spark.createDataFrame(rows, "queue string, phase int, weight string, total string, rounds long, before long, last long")
+    table = table.groupBy("queue").agg(F.sort_array(F.collect_list(F.struct("phase", "weight", "total", "rounds", "before", "last"))).alias("plan"))
+    bases = common.settle(bases.join(table, "queue"), "planned")
+    placed = tokens.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS // 10 else bases, ["part", "queue"])
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        names = ["doc_id", "start", "length", "doc_tokens", "queue", "place", "phase", "round", "ids"]
+        for batch in batches:
+            rows, at = [], []
+            for i, (queue, place, n, ids, phased) in enumerate(zip(batch["queue"], batch["place"], batch["n_tokens"], batch["ids"], batch["plan"])):
+                wide = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+                for start, length, phase, w in runs(place, n, phased, window):
+                    rows.append((None, start, length, n, queue, place + start, phase, w, wide[4 * start : 4 * (start + length)]))
+                    at.append(i)
+                if len(rows) >= 20_000:
+                    yield _framed(pd.DataFrame(rows, columns=names), batch, at)
+                    rows, at = [], []
+            yield _framed(pd.DataFrame(rows, columns=names), batch, at)
+
+    found = placed.select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("place"), "n_tokens", "ids", "plan").mapInPandas(run, RUNS)
+    found = common.settle(found, "runs")
+    sums = found.groupBy("phase", "round").agg(F.sum("length").alias("n")).withColumn("block", F.floor(F.col("round") / ROUNDS))
+    sums = common.settle(sums, "rounds")
+    before = Window.orderBy("phase", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("phase", "block").agg(F.sum("n").alias("n")).select("phase", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("phase", "block").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("n", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["phase", "block"])
+    starts = starts.select("phase", "round", (F.col("base") + F.col("n")).alias("at"))
+    ahead = Window.partitionBy("phase", "round").orderBy("queue", "place").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = found.withColumn("ahead", F.coalesce(F.sum("length").over(ahead), F.lit(0))).join(starts, ["phase", "round"])
+    dealt = dealt.withColumn("at", F.col("at") + F.col("ahead")).withColumn("end", F.col("at") + F.col("length"))
+    number = lambda x: F.floor(x / window).cast("long")
+    cut = dealt.withColumn("sequence_id", F.explode(F.sequence(number(F.col("at")), number(F.col("end") - 1))))
+    low = F.greatest("at", F.col("sequence_id") * window)
+    cut = cut.withColumn("low", low).withColumn("length", F.least("end", (F.col("sequence_id") + 1) * window) - F.col("low")).withColumn("skip", F.col("low") - F.col("at"))
+    return cut.select(
+        "doc_id", (F.col("start") + F.col("skip")).alias("start"), "length", "doc_tokens", "sequence_id",
+        (F.col("low") - F.col("sequence_id") * window).alias("offset"), F.when(F.col("queue") != "\x00", F.col("queue")).alias("source"),
+        F.substring("ids", (4 * F.col("skip") + 1).cast("int"), (4 * F.col("length")).cast("int")).alias("ids"),
+    )
+
+
 def _framed(out, batch, at):
     out["doc_id"] = batch["doc_id"].astype("Int64").take(at).to_numpy()
     return out

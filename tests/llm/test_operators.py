@@ -122,6 +122,18 @@ def test_packing_mixture():
         assert sum(held[w].values()) == 512 and all(abs(held[w][s] - 512 * n / 40_000) <= 4 for s, n in totals.items())
 
 
+@pytest.mark.parametrize("targets", [None, {"s7": 3.0, "s8": 1.0}])
+def test_packing_many_sources(spark, targets, monkeypatch):
+    """More than MAX_QUEUES sources: each is a queue of its own, to the result that one table of phases gives."""
+    rows = [(i if i % 90 else None, f"text {i} of words " * (1 + i % 9), f"s{i}" if i < 1100 else "s7" if i % 4 else None) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    docs.count()
+    got = Counter(tuple(r) for r in packing.pack(docs, 512, targets).collect())
+    monkeypatch.setattr(packing, "MAX_QUEUES", 10_000)
+    assert got == Counter(tuple(r) for r in packing.pack(docs, 512, targets).collect())
+    assert {r[6] for r in got} == {r[2] for r in rows}
+
+
 def test_packing_empty(none):
     assert packing.pack(none).count() == 0
 
