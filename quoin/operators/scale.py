@@ -72,7 +72,7 @@ j AS (SELECT *, coalesce(CASE WHEN rank > best THEN concat('superseded_by_', sou
 """
 
 
-@query("constraint_audit", (137, 139, 140, 141, 195, 299), _CTE + "SELECT plan, ord, round(ppm + 1e-6, 3) AS ppm, round(residual, 6) AS residual, reason IS NULL AS accepted, reason FROM j")
+@query("constraint_audit", (137, 195, 299), _CTE + "SELECT plan, ord, round(ppm + 1e-6, 3) AS ppm, round(residual, 6) AS residual, reason IS NULL AS accepted, reason FROM j")
 def constraint_audit(spark, d):
     a = audit(bound(spark, d, "constraints"))
     return a.select("plan", "ord", F.round(F.col("ppm") + 1e-6, 3).alias("ppm"), F.round("residual", 6).alias("residual"), F.col("reason").isNull().alias("accepted"), "reason")

@@ -80,7 +80,7 @@ def job_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("job"), "ts", "event_id", F.get(names, which.cast("int")).alias("event"))
 
 
-@query("job_fsm", (275, 276, 277, 278, 280, 281, 306, 307), None)
+@query("job_fsm", (275, 276, 277, 278, 281, 306), None)
 def job_fsm(spark, d):
     return fold(job_events(bound(spark, d, "events")))
 
