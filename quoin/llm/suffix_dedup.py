@@ -6,10 +6,16 @@ string can only occur again in a segment with the same anchor hash.  This splits
 
 1. anchors whose hash occurs once are done: nothing of their segment occurs again;
 2. equal segments form a class; in a class of two or more, every start occurs again;
-3. one segment of each class, where a hash has several classes and one of them is single, goes to the shard of its hash.  Each shard is suffix
-   sorted, and neighbours in the suffix array that share LENGTH bytes are marked.  Shards hold about SHARD_BYTES.
-   A hash with more than HOT classes (a passage with a different surrounding in every document) would make a shard
-   that no machine can hold: its strings are compared by 128-bit digests instead, spread over all tasks.
+3. a string has SIDE bytes before its anchor or SIDE bytes after it.  A class whose anchor has neither the bytes before
+   nor the bytes after in common with another class has no string in common with it and is done;
+4. where a hash keeps several classes and one of them is single, one segment of each goes to the shard of its hash.  Each
+   shard is suffix sorted, and neighbours in the suffix array that share LENGTH bytes are marked.
+
+A hash whose classes have more than GROUP_BYTES (a passage with other surroundings in every document) is split before
+that: its segments fall into pieces of a few starts, by distance to the anchor (SPANS, ever fewer).  All strings of such
+a piece hold the same core of bytes, so a piece only meets pieces with an equal core, and steps 2 and 4 hold for pieces
+with the core in place of the anchor.  A task packs the groups of its shard into sorts of SHARD_BYTES at most, or one
+group.
 
 Common prefixes are measured on neighbours of the finished array, up to LENGTH, not carried through the recursion.
 """
@@ -22,57 +28,76 @@ from pyspark.sql import functions as F
 from quoin.llm import common
 
 LENGTH, GRAM = 200, 32
-SHARD_BYTES, HOT = 2_000_000, 10_000
+SIDE = (LENGTH - GRAM) // 2
+SHARD_BYTES, GROUP_BYTES = 1_000_000, 250_000
+#: Starts of a piece; at one start, equal cores are equal strings.
+SPANS = (24, 4, 1)
 #: Anchor hashes (8 bytes each) and requested segments (about 50) up to which they are broadcast; beyond, they are joined.
 BROADCAST_HASHES, BROADCAST_SEGMENTS = 4_000_000, 50_000
-#: Bytes of a text that are hashed at a time.
+#: Bytes of texts that are hashed at a time.
 CHUNK = 1 << 19
-ANCHORS = "doc_id long, text_hash long, a int, n int, off int, hash long, seg long"
+ROWS = "doc_id long, text_hash long, a int, n int, off int, hash long, seg long, many boolean"
+ANCHORS = ROWS + ", before long, after long"
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
-    """Arrays (first start, number of starts, place of the anchor after the first start, anchor hash), in order.
+def anchors(texts: list[bytes]):
+    """Arrays (text, first start, number of starts, place of the anchor after the first start, anchor hash), in order.
 
-    Each start of `length` bytes belongs to one anchor.
+    Each start of LENGTH bytes of each text belongs to one anchor.
     """
     import numpy as np
 
-    out = []
-    for begin in range(0, max(0, len(data) - length + 1), CHUNK):
-        part = np.frombuffer(data, dtype=np.uint8, count=min(CHUNK + length - 1, len(data) - begin), offset=begin)
-        out.append(_chunk(part, begin, length, gram))
+    out, held, size = [], [], 0
+    for i, data in enumerate(texts):
+        for begin in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
+            held.append((i, begin, data[begin : begin + CHUNK + LENGTH - 1]))
+            size += len(held[-1][2])
+            if size >= CHUNK // 2:
+                out.append(_anchors_of(held))
+                held, size = [], 0
+    if held:
+        out.append(_anchors_of(held))
     if not out:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _chunk(part, begin: int, length: int, gram: int):
+def _anchors_of(parts: list[tuple]):
     import numpy as np
 
-    padded = np.concatenate([part, np.zeros(8, dtype=np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (len(part), 8), (1, 1)).copy().view("<u8").ravel()
-    count = len(part) - gram + 1
+    size = np.array([len(p[2]) for p in parts])
+    begins = np.cumsum(size) - size
+    data = np.frombuffer(b"".join([p[2] for p in parts]) + bytes(8), dtype=np.uint8)
+    words = np.lib.stride_tricks.as_strided(data, (len(data) - 8, 8), (1, 1)).copy().view("<u8").ravel()
+    count = len(words) - GRAM + 1
     with np.errstate(over="ignore"):
         h = np.zeros(count, dtype=np.uint64)
-        for k in range(0, gram, 8):
+        for k in range(0, GRAM, 8):
             h = (h ^ words[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    window = length - gram + 1
-    low = np.uint64((1 << 20) - 1)
-    key = (h & ~low) | np.arange(count, dtype=np.uint64)
+    window = LENGTH - GRAM + 1
+    low = np.uint64((1 << 21) - 1)
     # Sliding minimum from block-wise running minima; the low bits tell the leftmost place.
-    size = -(-count // window) * window
-    full = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
-    full[:count] = key
+    full = np.full(-(-count // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
+    full[:count] = (h & ~low) | np.arange(count, dtype=np.uint64)
     blocks = full.reshape(-1, window)
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = count - window + 1
     place = (np.minimum(right[:starts], left[window - 1 : window - 1 + starts]) & low).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    n = np.diff(np.append(first, starts))
-    at = place[first]
-    return first + begin, n, at - first, h[at].view(np.int64)
+    inside = np.arange(starts) + LENGTH <= np.repeat(begins + size, size)[:starts]  # within one text
+    new = inside.copy()
+    new[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new)
+    upto = np.cumsum(inside)
+    n = np.diff(np.append(upto[first] - 1, upto[-1]))
+    part = np.searchsorted(begins, first, "right") - 1
+    text, offset = np.array([p[0] for p in parts])[part], np.array([p[1] for p in parts])[part]
+    return text, first - begins[part] + offset, n, place[first] - first, h[place[first]].view(np.int64)
+
+
+def _encoded(texts) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
 def found_anchors(docs: DataFrame, only=None) -> DataFrame:
@@ -83,27 +108,29 @@ def found_anchors(docs: DataFrame, only=None) -> DataFrame:
         import pandas as pd
         import xxhash
 
-        digest, empty = xxhash.xxh3_64_intdigest, np.zeros(0, dtype=np.int64)
+        digest = xxhash.xxh3_64_intdigest
+
+        def signed(values):
+            return pd.arrays.IntegerArray(np.array([v or 0 for v in values], dtype=np.uint64).view(np.int64), np.array([v is None for v in values], dtype=bool))
+
         for batch in batches:
-            parts, rows = [], []
-            for i, text in enumerate(batch["text"]):
-                data = text.encode("utf-8", "surrogatepass")
-                a, n, off, h = anchors(data)
-                if only is not None and len(h):
-                    wanted = only.value
-                    at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-                    keep = np.flatnonzero(wanted[at] == h) if len(wanted) else empty
-                    a, n, off, h = a[keep], n[keep], off[keep], h[keep]
-                if len(a):
-                    view = memoryview(data)
-                    seg = [digest(view[x : x + m + LENGTH - 1], seed=o) for x, m, o in zip(a.tolist(), n.tolist(), off.tolist())]
-                    parts.append((a, n, off, h, np.array(seg, dtype=np.uint64).view(np.int64)))
-                    rows.append(np.full(len(a), i))
-            cols = [np.concatenate(x) for x in zip(*parts)] if parts else [empty] * 5
-            out = pd.DataFrame(dict(zip(["a", "n", "off", "hash", "seg"], cols)))
-            at = np.concatenate(rows) if rows else empty
-            out.insert(0, "text_hash", batch["text_hash"].to_numpy()[at])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").take(at).to_numpy())
+            data = _encoded(batch["text"])
+            i, a, n, off, h = anchors(data)
+            if only is not None and len(h):
+                wanted = only.value
+                at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                keep = np.flatnonzero(wanted[at] == h) if len(wanted) else np.zeros(0, dtype=np.int64)
+                i, a, n, off, h = i[keep], a[keep], n[keep], off[keep], h[keep]
+            seg, before, after = [], [], []
+            views = [memoryview(d) for d in data]
+            for k, x, m, o in zip(i.tolist(), a.tolist(), n.tolist(), off.tolist()):
+                view, anchor, end = views[k], x + o, x + m + LENGTH - 1
+                seg.append(digest(view[x:end], seed=o))
+                before.append(digest(view[anchor - SIDE : anchor + GRAM]) if o >= SIDE else None)
+                after.append(digest(view[anchor : anchor + GRAM + SIDE]) if end - anchor >= GRAM + SIDE else None)
+            out = pd.DataFrame({"a": a, "n": n, "off": off, "hash": h, "seg": signed(seg), "many": False, "before": signed(before), "after": signed(after)})
+            out.insert(0, "text_hash", batch["text_hash"].to_numpy()[i])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").take(i).to_numpy())
             yield out
 
     return docs.mapInPandas(run, ANCHORS)
@@ -113,34 +140,66 @@ def _hashes(docs: DataFrame) -> DataFrame:
     """Every anchor's hash, a row each."""
 
     def run(batches):
-        import numpy as np
         import pandas as pd
 
         for batch in batches:
-            parts = [anchors(t.encode("utf-8", "surrogatepass"))[3] for t in batch["text"]]
-            yield pd.DataFrame({"hash": np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)})
+            yield pd.DataFrame({"hash": anchors(_encoded(batch["text"]))[4]})
 
     return docs.select("text").mapInPandas(run, "hash long")
 
 
-def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted segments (doc_id, text_hash, a, n, hash, seg, many, hot)."""
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("a", "n", "hash", "seg", "many", "hot")).alias("parts"))
+def _with_parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text and the parts (ROWS less the id) that are wanted of it."""
+    parts = F.collect_list(F.struct("a", "n", "off", "hash", "seg", "many")).alias("parts")
+    by_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(parts)
     by_doc = common.settle(by_doc, "wanted")  # a document's list is bounded by its length
     small = wanted.count() <= BROADCAST_SEGMENTS
     joined = docs.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    return joined.select("doc_id", "text_hash", "text", "parts")
+
+
+def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted segments or pieces."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             rows = []
-            for text, parts in zip(batch["text"], batch["parts"]):
-                data = text.encode("utf-8", "surrogatepass")
-                rows += [(p["hash"], p["seg"], p["many"], p["hot"], data[p["a"] : p["a"] + p["n"] + LENGTH - 1]) for p in parts]
-            yield pd.DataFrame(rows, columns=["hash", "seg", "many", "hot", "data"])
+            for data, parts in zip(_encoded(batch["text"]), batch["parts"]):
+                rows += [(p["hash"], p["seg"], data[p["a"] : p["a"] + p["n"] + LENGTH - 1]) for p in parts]
+            yield pd.DataFrame(rows, columns=["hash", "seg", "data"])
 
-    return joined.select("text", "parts").mapInPandas(run, "hash long, seg long, many boolean, hot boolean, data binary")
+    return _with_parts(docs, wanted).mapInPandas(run, "hash long, seg long, data binary")
+
+
+def _pieces(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """ROWS of the pieces of `span` starts at most of the wanted segments; `off` still leads to the anchor."""
+
+    def run(batches):
+        import pandas as pd
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        names = [f.split()[0] for f in ROWS.split(", ")]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            rows = []
+            for doc_id, text_hash, data, parts in zip(batch["doc_id"].astype("Int64"), batch["text_hash"], _encoded(batch["text"]), batch["parts"]):
+                view = memoryview(data)
+                for p in parts:
+                    a, n, anchor = p["a"], p["n"], p["a"] + p["off"]
+                    for q in range((anchor - a - n + 1) // span, (anchor - a) // span + 1):
+                        # Starts whose distance to the anchor is q * span to q * span + span - 1.
+                        x, end = max(a, anchor - q * span - span + 1), min(a + n - 1, anchor - q * span) + LENGTH
+                        core = anchor - q * span
+                        h = digest(view[core : core + LENGTH + 1 - span], seed=(p["hash"] ^ q) & (2**64 - 1))
+                        rows.append((doc_id, text_hash, x, end - LENGTH + 1 - x, anchor - x, signed(h), signed(digest(view[x:end], seed=core - x)), p["many"]))
+            out = pd.DataFrame(rows, columns=names)
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return _with_parts(docs, wanted).mapInPandas(run, ROWS)
 
 
 def _runs(marks) -> list[dict]:
@@ -159,36 +218,36 @@ def _sorted_shards(segments: DataFrame, shards: int) -> DataFrame:
 
         from quoin.llm import induced_sort
 
-        strings = mine["data"].tolist()
         rows = []
-        for h, seg, marks in zip(mine["hash"], mine["seg"], induced_sort.repeated_starts(strings, LENGTH)):
-            rows += [(h, seg, r["start"], r["n"]) for r in _runs(marks)]
-        return pd.DataFrame(rows, columns=["hash", "seg", "start", "n"])
-
-    dealt = segments.where(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int"))
-    return dealt.select("shard", "hash", "seg", "data").groupBy("shard").applyInPandas(run, "hash long, seg long, start int, n int")
-
 
-def _hot_starts(segments: DataFrame) -> DataFrame:
-    """The same for hashes with many classes: every start's 128-bit digest, counted over all tasks."""
-
-    def run(batches):
-        import hashlib
+        def sort(held):
+            strings = [s for group in held for s in group["data"]]
+            named = [x for group in held for x in zip(group["hash"], group["seg"])]
+            for (h, seg), marks in zip(named, induced_sort.repeated_starts(strings, LENGTH)):
+                rows.extend((h, seg, r["start"], r["n"]) for r in _runs(marks))
+
+        held, size = [], 0
+        for _, group in mine.groupby("hash", sort=False):
+            n = sum(map(len, group["data"]))
+            if held and size + n > SHARD_BYTES:
+                sort(held)
+                held, size = [], 0
+            held.append(group)
+            size += n
+        sort(held)
+        return pd.DataFrame(rows, columns=["hash", "seg", "start", "n"])
 
-        import pandas as pd
+    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInPandas(run, "hash long, seg long, start int, n int")
 
-        for batch in batches:
-            rows = []
-            for h, seg, many, data in zip(batch["hash"], batch["seg"], batch["many"], batch["data"]):
-                view = memoryview(data)
-                rows += [(h, seg, many, i, hashlib.blake2b(view[i : i + LENGTH], digest_size=16).digest()) for i in range(len(data) - LENGTH + 1)]
-            yield pd.DataFrame(rows, columns=["hash", "seg", "many", "start", "digest"])
 
-    hot = segments.where("hot").repartition("seg").select("hash", "seg", "many", "data")
-    starts = common.settle(hot.mapInPandas(run, "hash long, seg long, many boolean, start int, digest binary"), "hot-starts")
-    again = starts.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", F.lit(True).alias("again"))
-    found = common.lookup(starts.where(~F.col("many")), again, ["digest"], ["seg"]).where("again")
-    return found.select("hash", "seg", "start", F.lit(1).alias("n"))
+def _in_common(classes: DataFrame) -> DataFrame:
+    """Classes that have the bytes before or after their anchor in common with another class of their hash."""
+    sides = F.explode(F.array(*[F.when(F.col(x).isNotNull(), F.xxhash64("hash", x, F.lit(i))) for i, x in enumerate(("before", "after"))]))
+    keys = common.settle(classes.select("hash", "seg", sides.alias("key")).where("key is not null"), "sides")
+    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("again"))
+    near = common.lookup(keys, again, ["key"], ["seg"]).where("again").select("hash", "seg").distinct()
+    return classes.join(near, ["hash", "seg"], "left_semi")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -199,32 +258,51 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     if shared.count() <= BROADCAST_HASHES:
         import numpy as np
 
-        wanted = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("hash").to_numpy()))
-        found = found_anchors(long_, wanted)
+        only = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("hash").to_numpy()))
+        rows = found_anchors(long_, only)
     else:
-        found = found_anchors(long_).join(shared, "hash", "left_semi").select(*[f.split()[0] for f in ANCHORS.split(", ")])
-    found = common.settle(found, "anchors")
-    first = F.min(F.struct("doc_id", "text_hash", "a", "n")).alias("first")
-    classes = common.settle(found.groupBy("hash", "seg").agg(F.count(F.lit(1)).alias("c"), first), "classes")
-    # Where every class has two members or more, every start is known to occur again: nothing is left to sort.
-    per_hash = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("classes"), F.min("c").alias("least")).where("classes > 1 and least = 1").drop("least")
-    # A hash with many classes has one row here for each, so the look-up is spread.
-    several = common.lookup(classes, per_hash, ["hash"], ["seg"]).where("classes > 1")
-    wanted = common.settle(
-        several.select("first.*", "hash", "seg", (F.col("c") > 1).alias("many"), (F.col("classes") > HOT).alias("hot")), "several"
-    )
+        rows = found_anchors(long_).join(shared, "hash", "left_semi").select(*[f.split()[0] for f in ANCHORS.split(", ")])
+    rows, ranges, to_sort = common.settle(rows, "anchors"), [], []
+    for level in range(len(SPANS) + 1):
+        first = F.min(F.struct("doc_id", "text_hash", "a", "n", "off")).alias("first")
+        sides = [F.min(x).alias(x) for x in ("before", "after") if not level]
+        classes = rows.groupBy("hash", "seg").agg(first, (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many"), *sides)
+        classes = common.settle(classes, "classes")
+        whole = classes.where("many").select("hash", "seg", F.lit(True).alias("all"))
+        ranges.append(
+            common.lookup(rows.where("not many"), whole, ["hash", "seg"], ["doc_id"]).where("all")
+            .select("doc_id", "text_hash", F.col("a").alias("begin"), (F.col("a") + F.col("n") + LENGTH - 1).alias("end"))
+        )
+        open_ = classes if level else common.settle(_in_common(classes), "open")
+        # Where every class has two members or more, every start is known to occur again: nothing is left to sort.
+        per_hash = open_.groupBy("hash").agg(
+            F.count(F.lit(1)).alias("classes"), F.min(F.col("many").cast("int")).alias("least"), F.sum(F.col("first.n") + F.lit(LENGTH - 1)).alias("bytes")
+        ).where("classes > 1 and least = 0")
+        # A hash with many classes has one row here for each, so the look-up is spread.
+        several = common.lookup(open_, per_hash.select("hash", (F.col("bytes") > GROUP_BYTES).alias("hot")), ["hash"], ["seg"]).where("hot is not null")
+        wanted = common.settle(several.select("first.*", "hash", "seg", "many", "hot"), "several")
+        if level == len(SPANS):
+            to_sort.append(wanted)
+            break
+        to_sort.append(wanted.where("not hot"))
+        hot = wanted.where("hot")
+        if not hot.limit(1).count():
+            break
+        rows = common.settle(_pieces(docs, hot, SPANS[level]), "pieces")
+    columns = ["doc_id", "text_hash", "a", "n", "off", "hash", "seg", "many"]
+    wanted = to_sort[0].select(*columns)
+    for more in to_sort[1:]:
+        wanted = wanted.unionByName(more.select(*columns))
     segments = common.settle(_segments(docs, wanted), "segments")
-    size = segments.where(~F.col("hot")).agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    size = segments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     inside = _sorted_shards(segments, max(1, size // SHARD_BYTES))
-    if wanted.where("hot").limit(1).count():
-        inside = inside.unionByName(_hot_starts(segments))
-    single = wanted.where(~F.col("many")).select("doc_id", "text_hash", "a", "hash", "seg")
-    partial = inside.withColumnRenamed("n", "m").join(single, ["hash", "seg"]).select(
+    single = wanted.where("not many").select("doc_id", "text_hash", "a", "hash", "seg")
+    found = inside.withColumnRenamed("n", "m").join(single, ["hash", "seg"]).select(
         "doc_id", "text_hash", (F.col("a") + F.col("start")).alias("begin"), (F.col("a") + F.col("start") + F.col("m") + LENGTH - 1).alias("end")
     )
-    many = classes.where("c > 1").select("hash", "seg", F.lit(True).alias("all"))
-    whole = common.lookup(found, many, ["hash", "seg"], ["doc_id"]).where("all").select("doc_id", "text_hash", F.col("a").alias("begin"), (F.col("a") + F.col("n") + LENGTH - 1).alias("end"))
-    return partial.unionByName(whole)
+    for part in ranges:
+        found = found.unionByName(part)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
