@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -35,6 +36,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def settle(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df once to the shared folder and read it back, so that later steps neither recompute nor lose it."""
     spark = df.sparkSession
@@ -44,6 +50,32 @@ def settle(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs within; then as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until none is taken (in any case)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Texts may be long: an Arrow batch takes ROWS_A_BATCH rows, which bounds what a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)

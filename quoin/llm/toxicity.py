@@ -1,42 +1,44 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-A class's model predicts a word after a word (bigrams, counted by documents).  It backs off to the word's continuation
-count, in how many different contexts the class has it, and that runs down the letters of the word: after each prefix
-the next letter has the class's discounted continuation count plus, for the discounted mass, the letter's share in the
-counts that both classes and the whole corpus share.  A rare expression so has almost the same probability in both,
-unless it begins as expressions do that one class alone has; a word that copies of one document repeat has one context.
-
-A text is scored by length-normalised log-likelihood ratios, log P(toxic)/P(ordinary) a word: the best word, the mean
-of the TOP best words, the mean of the whole text, and the logarithm of its length, weighed by a logistic fit.  The models see FIT_PARTS of PARTS
-of the labelled sample, the weights the rest, so that the weights aren't fit on words learned by heart.
-
-Only the sample is bounded: MAX_ROWS labelled rows of each class, chosen by hash.  The shared counts are those of every
-word of every document.  Words, prefixes, bigrams and backoff weights are Parquet tables without a limit.  Documents ask
-them in blocks of BLOCK rows: a block's distinct words and bigrams fetch their ratios by joins and then meet its texts.
+Words are spelt by letter n-grams: the model of a class predicts each letter (and the end of a word) after the ORDER - 1
+letters before it in the word.  An n-gram counts once for each document and distinct word that has it, less a discount:
+all of a count of one, for one document says little about a class, and one plus the Kneser-Ney discount of larger
+counts.  What the discounts leave goes to the shared backoff, an interpolated Kneser-Ney model of every word of every
+document, whose lower orders count the different letters that an n-gram follows.  Both classes give the backoff the same
+mass after the same letters (the larger of their two), so that an expression that neither class knows, or that is too
+rare to tell, has the same probability in both and says nothing.
+
+A text's score compares two log-likelihoods, each divided by the number of words: that all of its words come from the
+ordinary model, and that a share SHARE of them comes from the toxic one.  One slope and one offset, fit on PARTS -
+FIT_PARTS parts of the labelled sample which the models have not seen, turn the difference into a probability.
+
+Only the sample is bounded, by MAX_ROWS labelled rows and MAX_BYTES of text of each class, in the order of a hash.
+Counts of words and n-grams are distributed tables without a limit, those of the shared backoff over all documents.
+The ratios that tasks need, one for each n-gram of the labelled sample, are broadcast as 12 bytes each: MAX_BYTES bounds
+how many there can be.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm import common
 
 MAX_ROWS = {1: 8_000, 0: 16_000}
-#: Rows of a block are a power of two; words that a worker counts before it hands them on; bits of the filter of bigrams.
-BLOCK_BITS, HELD, FILTER_BITS = 10, 200_000, 24
-#: Prefixes of up to SHORT letters, which many words share, are looked up in RUNS runs.
-SHORT = 3
-#: Letters of a prefix at most, and what ends a word.
-DEPTH, STOP = 12, "$"
-#: A word or bigram enters the tables with this many contexts or documents; rarer ones are the unseen.
-LEAST = 3
+MAX_BYTES = 64_000_000
+#: Letters of an n-gram; what begins and what ends a word.
+ORDER, START, STOP = 7, "^", "$"
+SHARE = 0.01
 PARTS, FIT_PARTS = 4, 3
-TOP = 3
 PREDICT_AT = 0.7
+#: Words or n-grams that a worker counts before it hands them on, and word scores that it keeps.
+HELD = 400_000
 WORD = re.compile(r"\w+")
 
 
@@ -44,6 +46,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def grams_of(word: str) -> list[str]:
+    """The n-gram that ends at each letter of the word, and at its end."""
+    s = START + word + STOP
+    return [s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))]
+
+
 def held_out(doc_id="doc_id"):
     """Rows that no label is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -51,325 +59,250 @@ def held_out(doc_id="doc_id"):
 
 @dataclass
 class Model:
-    """Log ratios by word (w, r), of bigrams in whole (v, w, r), of the weights with which contexts back off (w, b).
-
-    The words are those of the documents that the model was fit on, which score_texts() takes.  `filter` has a bit for
-    each bigram's hash: others are asked for in vain at times, no bigram is missed.
-    """
-
-    words: DataFrame
-    pairs: DataFrame
-    leads: DataFrame
-    filter: bytes
-    weights: list
-
-
-class _Ids(dict):
-    """Words numbered as they come."""
-
-    def __missing__(self, w: str) -> int:
-        n = self[w] = len(self)
-        return n
-
+    """Sorted hashes of n-grams, the log ratio of each, and the offset and slope of the score."""
 
-class _Known(dict):
-    """Numbers of known words; all others have the next one."""
+    hashes: object
+    ratios: object
+    weights: tuple = (0.0, 1.0)
 
-    def __missing__(self, w: str) -> int:
-        return len(self)
 
-
-def _places(text: str | None, ids: dict):
-    """The numbers of a text's words, and of its bigrams; that of '' is the context of the first."""
+def _rolling(letters, place):
+    """Hash of the n-gram that ends at each letter; place: that of the letter in its word."""
     import numpy as np
 
-    at = np.array([ids[""], *map(ids.__getitem__, words_of(text))], dtype=np.int64)
-    return at[1:], at[:-1] << 32 | at[1:]
+    h = np.zeros(len(letters), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ORDER - 1, -1, -1):
+            at = np.flatnonzero(place >= k)
+            x = (h[at] ^ (letters[at - k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            h[at] = x ^ (x >> np.uint64(32))
+    return h
 
 
-def _pair_bits(v, w):
-    """Places in the filter of bigrams, of the hashes of their words."""
+def _spelt(strings: list[str]):
+    """Code points of all strings, the place of each in its string, and where each string begins."""
     import numpy as np
 
-    return ((v * np.uint64(0x9E3779B97F4A7C15) ^ w) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FILTER_BITS)
+    size = np.array([len(s) for s in strings], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    letters = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return letters, np.arange(len(letters)) - np.repeat(begin, size), begin
+
 
+def gram_hashes(grams: list[str]):
+    letters, place, begin = _spelt(grams)
+    return _rolling(letters, place)[begin + [len(g) - 1 for g in grams]]
 
-def _hashes(words):
-    import hashlib
 
+def word_ratios(words: list[str], model: Model):
+    """log P(word | toxic) - log P(word | ordinary) of each word."""
     import numpy as np
 
-    return np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words), dtype=np.uint64)
+    if not len(words) or not len(model.hashes):
+        return np.zeros(len(words))
+    letters, place, begin = _spelt([START + w + STOP for w in words])
+    h = _rolling(letters, place)
+    at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
+    got = np.where((model.hashes[at] == h) & (place > 0), model.ratios[at], 0.0)
+    return np.add.reduceat(got, begin)
 
 
-def features_of(texts: list, asked):
-    """Of each text: best word, mean of the TOP best, mean of all, log of the length; zeros without words.
+class Scorer:
+    """The difference of the two log-likelihoods a word; keeps the scores of words seen."""
 
-    asked: v, w, r, b of the words (v is null) and bigrams that the texts hold; r and b are null where nothing is known.
-    """
-    import numpy as np
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
 
-    ids = _Ids()
-    single = asked["v"].isna().to_numpy()
-    words, pairs = asked[single], asked[~single]
-    at = np.array([ids[w] for w in words["w"]], dtype=np.int64)
-    code = np.array([ids[v] << 32 | ids[w] for v, w in zip(pairs["v"], pairs["w"])], dtype=np.int64)
-    ids[""]
-    ids = _Known(ids)
-    ratio, back = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
-    ratio[at], back[at] = words["r"].fillna(0.0), words["b"].fillna(0.0)
-    code, first = np.unique(code, return_index=True)
-    whole = pairs["r"].to_numpy(dtype=float)[first]
-    out = np.zeros((len(texts), 4))
-    for i, text in enumerate(texts):
-        w, vw = _places(text, ids)
-        if not len(w):
-            continue
-        got = ratio[w] + back[vw >> 32]
-        if len(code):
-            place = np.minimum(np.searchsorted(code, vw), len(code) - 1)
-            got = np.where(code[place] == vw, whole[place], got)
-        top = np.partition(got, len(got) - min(TOP, len(got)))[-TOP:]
-        out[i] = got.max(), top.mean(), got.mean(), np.log1p(len(got))
-    return out
+    def __call__(self, texts):
+        import numpy as np
+
+        split = [words_of(t) for t in texts]
+        if len(self.known) > HELD:
+            self.known.clear()
+        new = list({w for words in split for w in words}.difference(self.known))
+        ratio = np.clip(word_ratios(new, self.model), -30, 30)
+        self.known.update(zip(new, np.log1p(SHARE * np.expm1(ratio)).tolist()))
+        return np.array([sum(map(self.known.__getitem__, words)) / max(1, len(words)) for words in split])
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic, part: a bounded sample of the rows that may be learned from."""
+    """text, toxic, part: a bounded sample of the rows that may be learned from."""
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(11)))
     chosen = [ids.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(n) for c, n in MAX_ROWS.items()]
     picked = common.settle(chosen[0].unionByName(chosen[1]), "sample-ids")
-    # At most sum(MAX_ROWS) ids of 16 bytes.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic", F.pmod("h", F.lit(PARTS)).alias("part"))
+    # At most sum(MAX_ROWS) ids of 24 bytes, here and below.
+    sizes = docs.join(F.broadcast(picked), "doc_id").groupBy("toxic", "doc_id", "h").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
+    inside = sizes.withColumn("upto", upto).where(F.col("upto") <= MAX_BYTES).select("doc_id", "toxic", F.pmod("h", F.lit(PARTS)).cast("int").alias("part"))
+    inside = common.settle(inside, "sample")
+    return docs.select("doc_id", "text").join(F.broadcast(inside), "doc_id").select("text", "toxic", "part")
 
 
-def bigrams(rows: DataFrame) -> DataFrame:
-    """(toxic, v, w, docs): in how many documents of the class the bigram is; v of the first word is empty."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """(toxic, w, n): in how many rows (toxic, text) of each class each word is."""
 
     def run(batches):
-        import pandas as pd
+        from collections import Counter
 
+        def frame(held):
+            return pd.DataFrame([(toxic, w, n) for toxic, found in held.items() for w, n in found.items()], columns=["toxic", "w", "n"])
+
+        held: dict[int, Counter] = {}
         for batch in batches:
-            out = []
             for toxic, text in zip(batch["toxic"], batch["text"]):
-                words = words_of(text)
-                out += [(toxic, v, w) for v, w in set(zip(["", *words], words))]
-            yield pd.DataFrame(out, columns=["toxic", "v", "w"])
+                held.setdefault(toxic, Counter()).update(set(words_of(text)))
+                if sum(map(len, held.values())) > HELD:
+                    yield frame(held)
+                    held = {}
+        yield frame(held)
 
-    return rows.select("toxic", "text").mapInPandas(run, "toxic int, v string, w string").groupBy("toxic", "v", "w").agg(F.count(F.lit(1)).alias("docs"))
+    return rows.select("toxic", "text").mapInPandas(run, "toxic int, w string, n long").groupBy("toxic", "w").agg(F.sum("n").alias("n"))
 
 
-def corpus_words(docs: DataFrame) -> DataFrame:
-    """(w, n): in how many documents each word is, over all words of all documents."""
+def count_grams(words: DataFrame) -> DataFrame:
+    """(toxic, gram, n) of the words (toxic, w, n)."""
 
     def run(batches):
         from collections import Counter
 
-        import pandas as pd
-
         held = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                held.update(set(words_of(text)))
+            for toxic, w, n in zip(batch["toxic"].tolist(), batch["w"], batch["n"].tolist()):
+                for gram in grams_of(w):
+                    held[toxic, gram] += n
                 if len(held) > HELD:
-                    yield pd.DataFrame(held.items(), columns=["w", "n"])
+                    yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["toxic", "gram", "n"])
                     held = Counter()
-        yield pd.DataFrame(held.items(), columns=["w", "n"])
+        yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["toxic", "gram", "n"])
 
-    return docs.select("text").mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return words.mapInPandas(run, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
 
 
-def _class_sum(column: str, c: int):
-    return F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col(column))), F.lit(0)).alias(f"{column[0]}{c}")
+def kneser_ney(n1: int, n2: int) -> float:
+    return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
-def _nodes():
-    """Column: (node, parent) of the prefixes of w, and of its end."""
-    lengths = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(DEPTH)))
-    return F.concat(
-        F.transform(lengths, lambda n: F.struct(F.substring("w", F.lit(1), n).alias("node"), F.substring("w", F.lit(1), n - 1).alias("parent"))),
-        F.array(F.struct(F.concat(F.substring("w", 1, DEPTH), F.lit(STOP)).alias("node"), F.substring("w", 1, DEPTH).alias("parent"))),
-    )
+def _before(column="gram"):
+    """An n-gram less its last letter."""
+    return F.expr(f"substring({column}, 1, length({column}) - 1)")
 
 
-def _by_node(rows: DataFrame, spread: str, table: DataFrame) -> DataFrame:
-    """rows JOIN table (unique by node), where a short node may be that of a tenth of all rows."""
-    short = F.length("node") <= SHORT
-    runs = F.when(short, F.sequence(F.lit(0), F.lit(common.RUNS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.withColumn("_run", F.when(short, common.run_of(spread)).otherwise(0))
-    return dealt.join(table.withColumn("_run", F.explode(runs)), ["node", "_run"]).drop("_run")
+def _tails(column="gram"):
+    """An n-gram and what is left of it as its first letters go, one by one."""
+    return F.transform(F.sequence(F.lit(1), F.length(column)), lambda j: F.substring(column, j, F.lit(ORDER)))
 
 
-def word_logs(per_word: DataFrame, corpus: DataFrame, discounts: dict) -> DataFrame:
-    """(w, l0, l1): log probability in both classes of each word of `corpus` (w, n), or else of its longest known prefix.
+def shared_probability(grams: DataFrame, names: DataFrame) -> DataFrame:
+    """(gram, shared): the backoff's probability of the last letter of each gram in `names` after the letters before it.
 
-    per_word: toxic, w, contexts.  A word without a known prefix has no row.
+    grams: settled (gram, n), the corpus's counts of the highest order.  Strings below it, unless they begin a word,
+    count the strings that they end.
     """
-    spark = per_word.sparkSession
-    each = per_word.where("w <> ''").select("toxic", "contexts", F.explode(_nodes()).alias("x")).select("toxic", "contexts", "x.node", "x.parent")
-    summed = common.settle(each.groupBy("node", "parent").agg(_class_sum("contexts", 0), _class_sum("contexts", 1)), "nodes")
-    known = summed.where(F.col("c0") + F.col("c1") >= LEAST)
-    each = corpus.where("w <> ''").select("w", "n", F.explode(_nodes()).alias("x")).select("w", "n", "x.node")
-    hits = common.settle(_by_node(each, "w", known.select("node")), "hits")
-    root = summed.where("parent = ''").agg(F.lit("").alias("parent"), *[F.coalesce(F.sum(f"c{c}"), F.lit(0)).alias(f"o{c}") for c in (0, 1)])
-    of = summed.select(F.col("node").alias("parent"), F.col("c0").alias("o0"), F.col("c1").alias("o1")).unionByName(root)
-    kids = summed.groupBy("parent").agg(*[F.sum((F.col(f"c{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)])
-    # The parent of a known node is known, as it has its counts; that of the first letters is the root.
-    shared = hits.groupBy("node").agg(F.sum("n").alias("n"))
-    shared = common.settle(shared.unionByName(corpus.where("w <> ''").agg(F.lit("").alias("node"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))), "shared")
-    rows = known.join(of, "parent").join(kids, "parent").join(shared, "node", "left")
-    rows = rows.join(shared.select(F.col("node").alias("parent"), F.col("n").alias("m")), "parent", "left")
-    n, m = (F.coalesce(F.col(x), F.lit(0)) for x in "nm")
-    share = (n + F.col("c0") + F.col("c1")) / (m + F.col("o0") + F.col("o1"))
-    step = []
-    for c in (0, 1):
-        d, total = F.lit(float(discounts[c])), F.col(f"o{c}")
-        seen = F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / total + F.least(F.lit(1.0), d * F.greatest(F.col(f"t{c}"), F.lit(1)) / total) * share
-        step.append(F.log(F.when(total > 0, seen).otherwise(share)).alias(f"s{c}"))
-    steps = common.settle(rows.select("node", *step), "steps")
-    chain = F.transform(F.sequence(F.lit(1), F.length("node")), lambda k: F.substring("node", F.lit(1), k))
-    chained = _by_node(steps.select(F.col("node").alias("last"), F.explode(chain).alias("node")), "last", steps)
-    logs = common.settle(chained.groupBy(F.col("last").alias("node")).agg(F.sum("s0").alias("l0"), F.sum("s1").alias("l1")), "logs")
-    longest = hits.groupBy("w").agg(F.max_by("node", F.length("node")).alias("node"))
-    return common.settle(_by_node(longest, "w", logs).select("w", "l0", "l1"), "words")
+    strings = grams.select(F.explode(_tails()).alias("gram")).distinct()
+    follows = strings.where(F.length("gram") > 1).select(F.substring("gram", F.lit(2), F.lit(ORDER)).alias("gram"), F.lit(1).cast("long").alias("n"))
+    counts = common.settle(grams.select("gram", "n").unionByName(follows).groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
+    ones = counts.groupBy(F.length("gram").alias("l")).agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2)], F.count(F.lit(1)).alias("all"))
+    levels = {r["l"]: r for r in ones.collect()}  # at most ORDER rows
+    if not levels:
+        return names.select("gram", F.lit(1.0).alias("shared")).limit(0)
+    contexts = counts.groupBy(_before().alias("before")).agg(F.sum("n").alias("o"), F.count(F.lit(1)).alias("t"))
+    needed = names.select(F.explode(_tails()).alias("gram")).distinct()
+    d = F.element_at(F.create_map(*[F.lit(x) for size, r in levels.items() for x in (size, kneser_ney(r["n1"], r["n2"]))]), F.length("gram"))
+    rows = counts.join(needed, "gram").withColumn("before", _before()).join(contexts, "before")
+    # P(last | before) = a + b * P(last | before less its first letter)
+    steps = common.settle(rows.select("gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("o")).alias("a"), (d * F.col("t") / F.col("o")).alias("b")), "steps")
+    level = steps.where(F.length("gram") == 1).select("gram", (F.col("a") + F.col("b") / levels[1]["all"]).alias("shared"))
+    found = level = common.settle(level, "level-1")
+    for size in range(2, ORDER + 1):
+        longer = steps.where(F.length("gram") == size).withColumn("tail", F.substring("gram", 2, ORDER))
+        level = longer.join(level.withColumnRenamed("gram", "tail"), "tail").select("gram", (F.col("a") + F.col("b") * F.col("shared")).alias("shared"))
+        level = common.settle(level, f"level-{size}")
+        found = found.unionByName(level)
+    return found
+
+
+def log_ratios(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(gram, r): log P(last letter | before) in the toxic class less that in the ordinary one.
+
+    classes: settled (toxic, gram, n).
+    """
+    both = classes.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in (0, 1)])
+    ones = {r["toxic"]: r for r in classes.groupBy("toxic").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2)]).collect()}  # a row a class
+    own = [F.greatest(F.col(f"c{c}") - (1 + kneser_ney(ones[c]["n1"], ones[c]["n2"])), F.lit(0.0)) for c in (0, 1)]
+    both = common.settle(both.withColumn("before", _before()).withColumns({f"s{c}": own[c] for c in (0, 1)}), "class-grams")
+    contexts = both.groupBy("before").agg(*[F.sum(x).alias(x.replace("c", "o").replace("s", "m")) for x in ("c0", "c1", "s0", "s1")])
+    mass = F.least(F.col("m0") / F.col("o0"), F.col("m1") / F.col("o1"))
+    rows = both.join(contexts.where("m0 > 0 and m1 > 0"), "before").withColumn("mass", mass).join(shared, "gram")
+    p = [F.col("mass") * F.col(f"s{c}") / F.col(f"m{c}") + (1 - F.col("mass")) * F.col("shared") for c in (0, 1)]
+    return rows.select("gram", F.log(p[1] / p[0]).alias("r")).where("r <> 0")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """None if a class has no rows to learn from."""
-    rows = common.settle(sample(docs, labels), "sample")
-    grams = common.settle(bigrams(rows.where(F.col("part") < FIT_PARTS)), "bigrams")
-    per_word = common.settle(grams.groupBy("toxic", F.col("w")).agg(F.count(F.lit(1)).alias("contexts")), "continuations")
-    discounts: dict = {}
-    for kind, table, col in (("w", per_word, "contexts"), ("vw", grams, "docs")):
-        for r in table.groupBy("toxic").agg(*[F.sum((F.col(col) == i).cast("long")).alias(f"n{i}") for i in (1, 2)]).collect():  # a row a class
-            discounts.setdefault(kind, {})[r["toxic"]] = min(0.95, max(0.1, r["n1"] / (r["n1"] + 2 * r["n2"]))) if r["n1"] else 0.5
-    if set(discounts.get("w", ())) != {0, 1}:
-        return None
-    words = word_logs(per_word, common.settle(corpus_words(docs), "corpus-words"), discounts["w"])
-    leads = grams.groupBy("v").agg(_class_sum("docs", 0), _class_sum("docs", 1), *[F.sum((F.col("toxic") == c).cast("long")).alias(f"t{c}") for c in (0, 1)])
-    pooled = F.col("d0") + F.col("d1")
-    spare = [F.when(F.col(f"d{c}") > 0, discounts["vw"][c] * F.col(f"t{c}") / F.col(f"d{c}")).otherwise(1.0).alias(f"x{c}") for c in (0, 1)]
-    leads = common.settle(leads.where(pooled >= LEAST).select("v", F.col("d0").alias("o0"), F.col("d1").alias("o1"), *spare), "leads")
-    pairs = grams.groupBy("v", "w").agg(_class_sum("docs", 0), _class_sum("docs", 1)).where(pooled >= LEAST)
-    p = []
-    for c in (0, 1):
-        of = F.col(f"o{c}")
-        own = F.when(of > 0, F.greatest(F.col(f"d{c}") - discounts["vw"][c], F.lit(0.0)) / of).otherwise(0.0)
-        p.append(own + F.col(f"x{c}") * F.exp(f"l{c}"))
-    pairs = common.settle(pairs.join(leads, "v").join(words, "w").select("v", "w", F.log(p[1] / p[0]).alias("r")), "pairs")
-    ratios = words.select("w", (F.col("l1") - F.col("l0")).alias("r"))
-    model = Model(ratios, pairs, leads.select(F.col("v").alias("w"), F.log(F.col("x1") / F.col("x0")).alias("b")), pair_filter(pairs), [])
-    featured = with_features(rows.where(F.col("part") >= FIT_PARTS).select("text", "toxic"), model, None)
-    model.weights = _logistic(common.settle(featured.select("f0", "f1", "f2", "f3", "toxic"), "features").collect())  # bounded as the sample is
-    return model
-
-
-def pair_filter(pairs: DataFrame) -> bytes:
-    """A bit for the hash of each bigram."""
+    """None if a class has no words to learn from."""
     import numpy as np
 
-    def run(batches):
-        import pandas as pd
+    rows = sample(docs, labels)
+    classes = common.settle(count_grams(count_words(rows.where(F.col("part") < FIT_PARTS))), "class-counts")
+    if classes.select("toxic").distinct().count() < 2:
+        return None
+    everything = common.settle(count_words(docs.select(F.lit(0).alias("toxic"), "text")), "corpus-words")
+    grams = common.settle(count_grams(everything).select("gram", "n"), "corpus-grams")
+    ratios = log_ratios(classes, shared_probability(grams, classes.select("gram")))
 
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    def hashed(batches):
         for batch in batches:
             if len(batch):
-                bits[_pair_bits(_hashes(batch["v"]), _hashes(batch["w"]))] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
-
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in pairs.select("v", "w").coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():  # 2 MB a row, four rows
-        out |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.tobytes()
-
-
-def asked(blocked: DataFrame, model: Model) -> DataFrame:
-    """(_block, v, w, r, b): what is known of each block's words (v is null) and bigrams."""
-    shared = blocked.sparkSession.sparkContext.broadcast(model.filter)  # of a fixed size
-
-    def wanted(block, ids, codes, bits):
-        import numpy as np
-        import pandas as pd
+                yield pd.DataFrame({"h": gram_hashes(batch["gram"].tolist()).view(np.int64), "r": batch["r"].to_numpy(dtype=np.float32)})
+
+    table = common.settle(ratios.mapInPandas(hashed, "h long, r float"), "ratios").toArrow()  # bounded as the sample is
+    h = table.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    model = Model(h[order], table.column("r").to_numpy()[order])
+    seen = common.settle(rows.where(F.col("part") >= FIT_PARTS).select(_difference(rows.sparkSession, model).alias("x"), "toxic"), "features")
+    model.weights = _logistic([(r["x"], r["toxic"]) for r in seen.collect()])  # two numbers for each row of the sample
+    return model
 
-        names, code = np.array(list(ids), dtype=object), np.unique(np.concatenate(codes))
-        hashed = _hashes(ids)
-        code = code[bits[_pair_bits(hashed[code >> 32], hashed[code & 0xFFFFFFFF])]]
-        v, w = [None] * len(names) + list(names[code >> 32]), list(names) + list(names[code & 0xFFFFFFFF])
-        return pd.DataFrame({"_block": block, "v": v, "w": w})
 
-    def run(batches):
-        import numpy as np
-
-        bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).astype(bool)
-        at, ids, codes = None, _Ids(), []
-        for batch in batches:
-            for block, text in zip(batch["_block"], batch["text"]):
-                if block != at and codes:
-                    yield wanted(at, ids, codes, bits)
-                    ids, codes = _Ids(), []
-                at = block
-                codes.append(np.unique(_places(text, ids)[1]))
-        if codes:
-            yield wanted(at, ids, codes, bits)
-
-    rows = common.settle(blocked.select("_block", "text").mapInPandas(run, "_block long, v string, w string"), "asked")
-    words = rows.where("v IS NULL").join(model.words, "w", "left").join(model.leads, "w", "left")
-    pairs = rows.where("v IS NOT NULL").join(model.pairs, ["v", "w"]).withColumn("b", F.lit(None).cast("double"))
-    return words.where("r IS NOT NULL OR b IS NOT NULL").select("_block", "v", "w", "r", "b").unionByName(pairs.select("_block", "v", "w", "r", "b"))
-
-
-def with_features(docs: DataFrame, model: Model, weights: list | None) -> DataFrame:
-    """The input rows with f0 to f3, or with _score if there are weights."""
-    from pyspark.sql.types import DoubleType, StructType
-
-    blocked = common.settle(docs.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocked")
-    names = ["_score"] if weights else [f"f{i}" for i in range(4)]
-    schema = StructType(docs.schema.fields)
-    for name in names:
-        schema = schema.add(name, DoubleType())
-
-    def run(left, right):
-        import numpy as np
-        import pyarrow as pa
+def _difference(spark, model: Model):
+    """Column: the difference of the log-likelihoods a word of the column `text`."""
+    shared = spark.sparkContext.broadcast((model.hashes, model.ratios))  # bounded by MAX_BYTES
 
-        got = features_of(left.column("text").to_pylist(), right.select(["v", "w", "r", "b"]).to_pandas())
-        if weights:
-            got = 1 / (1 + np.exp(-np.clip(weights[0] + got @ np.array(weights[1:]), -700, 700)))[:, None]
-        out = left.drop_columns(["_block"])
-        for i, name in enumerate(names):
-            out = out.append_column(name, pa.array(got[:, i], type=pa.float64()))
-        return out
+    @F.pandas_udf("double")
+    def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(Model(*shared.value))
+        for texts in batches:
+            yield pd.Series(scorer(texts))
 
-    return blocked.groupBy("_block").cogroup(asked(blocked, model).groupBy("_block")).applyInArrow(run, schema)
+    return difference(F.col("text"))
 
 
-def _logistic(rows, penalty: float = 1e-2, rounds: int = 60) -> list[float]:
-    """Newton's method with a ridge on standardised features; a fixed rule where a class is missing."""
+def _logistic(rows: list, penalty: float = 1e-2, rounds: int = 60) -> tuple[float, float]:
+    """Offset and slope by Newton's method with a ridge on the standardised value; a fixed rule where a class is missing."""
     import numpy as np
 
-    y = np.array([r["toxic"] for r in rows], dtype=float)
+    x, y = (np.array(v, dtype=float) for v in zip(*rows)) if rows else (np.zeros(0), np.zeros(0))
     if not len(y) or y.min() == y.max():
-        return [-8.0, 0.0, 2.0, 0.0, 0.0]
-    x = np.array([[r[f"f{i}"] for i in range(4)] for r in rows])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        return -4.0, 200.0
+    mean, spread = x.mean(), x.std() + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((z.T * s) @ z + penalty * np.eye(len(w)), z.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((z.T * s) @ z + penalty * np.eye(2), z.T @ (y - p) - penalty * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return [float(w[0] - (w[1:] * mean / spread).sum()), *(w[1:] / spread).tolist()]
+    return float(w[0] - w[1] * mean / spread), float(w[1] / spread)
 
 
-def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The input rows with _score (0 to 1); without a model every score is 0."""
+def score(spark, model: Model | None):
+    """Column: the score (0 to 1) of the column `text`; without a model 0."""
     if model is None:
-        return docs.withColumn("_score", F.lit(0.0))
-    return with_features(docs, model, model.weights)
+        return F.lit(0.0)
+    offset, slope = model.weights
+    return 1 / (1 + F.exp(-(F.lit(offset) + F.lit(slope) * _difference(spark, model))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -377,11 +310,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts without words, get the score that no evidence gives.  Labels other than 0 and 1,
     and those of rows without an id, are not learned from; a row with two labels counts as toxic.  Rows that repeat an
-    id are scored each by their text.  Without labels of both classes every score is 0.  An empty table gives an
-    empty result.
+    id are scored each by their text.  Without words of both classes every score is 0.  An empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
-    out = score_texts(docs.select("doc_id", "text"), fit(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= PREDICT_AT).cast("int").alias("predicted"))
+    model = fit(docs, labels)
+    out = docs.select("doc_id", score(docs.sparkSession, model).alias("score"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
