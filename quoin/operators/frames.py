@@ -164,14 +164,6 @@ def stage_timing(spark, d):
     return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("value"), 6).alias("slowest"), F.median("value").alias("mid"))
 
 
-@query("door_leaves", (239, 250), """
-SELECT plan, ord, CASE WHEN e - s < 18 THEN NULL ELSE s END AS x0, CASE WHEN e - s < 18 THEN NULL ELSE s + (e - s) END AS x1 FROM {openings} WHERE kind = 'O' AND e - s >= 18""")
-def door_leaves(spark, d):
-    """The square that a door's open leaf sweeps along its wall; narrow leaves are skipped."""
-    o = bound(spark, d, "openings").where("kind = 'O' and e - s >= 18")
-    return o.select("plan", "ord", F.col("s").alias("x0"), F.col("e").alias("x1"))
-
-
 @query("longest_regular_run", (179,), None)
 def longest_regular_run(spark, d):
     """The longest run of nearly equal steps among a plan's level walls: first line, step, length."""

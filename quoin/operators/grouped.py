@@ -6,40 +6,70 @@ are taken in list order, so results don't depend on how rows were dealt.
 
 from __future__ import annotations
 
+import collections
+import functools
 import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.plans.bindings import bound
 from quoin.registry import query
 
 
+class Part:
+    """The rows of one plan: a stretch of a batch's columns, each taken from the frame once a batch."""
+
+    def __init__(self, columns: dict[str, np.ndarray], low: int, high: int):
+        self.columns, self.low, self.high = columns, low, high
+
+    def __len__(self) -> int:
+        return self.high - self.low
+
+    def __getitem__(self, name):
+        if isinstance(name, str):
+            return self.columns[name][self.low : self.high]
+        return Part({n: self.columns[n] for n in name}, self.low, self.high)
+
+    def itertuples(self, index: bool = False, name: str | None = "Row"):
+        rows = zip(*[c[self.low : self.high].tolist() for c in self.columns.values()])
+        return rows if name is None else map(_row_class(tuple(self.columns))._make, rows)
+
+
+@functools.cache
+def _row_class(names: tuple[str, ...]):
+    return collections.namedtuple("Row", names)
+
+
 def per_plan(rows: DataFrame, f, schema: str) -> DataFrame:
-    """f(rows of one plan in list order) -> list of tuples after the plan's key.
+    """f(Part of one plan in list order) -> list of tuples after the plan's key.
 
     Plans lie side by side in sorted partitions and stream through Arrow batches; a call for each plan, not a task's
-    set-up for each, and no more than a batch and a plan in memory.
+    set-up for each, and no more than a batch and a plan in memory.  The numbering asks for rows dealt and sorted by
+    plan, so rows that are dealt so already are not shuffled again.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         held = None
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            batch = batch if held is None or not len(held) else pd.concat([held, batch], ignore_index=True)
             plans = batch["plan"].to_numpy()
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
             starts = [0, *(np.flatnonzero(plans[1:] != plans[:-1]) + 1).tolist()]
             out = []
             for low, high in zip(starts, starts[1:]):
-                out += [(plans[low], *x) for x in f(batch.iloc[low:high])]
+                out += [(plans[low], *x) for x in f(Part(columns, low, high))]
             held = batch.iloc[starts[-1] :]
             yield pd.DataFrame(out, columns=names)
         if held is not None and len(held):
-            yield pd.DataFrame([(held["plan"].iloc[0], *x) for x in f(held)], columns=names)
+            columns = {c: held[c].to_numpy() for c in held.columns}
+            yield pd.DataFrame([(columns["plan"][0], *x) for x in f(Part(columns, 0, len(held)))], columns=names)
 
-    return rows.where("plan is not null").repartition("plan").sortWithinPartitions("plan", "ord").mapInPandas(run, schema)
+    in_order = F.row_number().over(Window.partitionBy("plan").orderBy("ord"))
+    return rows.where("plan is not null").withColumn("nth", in_order).mapInPandas(run, schema)
 
 
 def greedy_pairs(edges: list[tuple]) -> list[tuple]:
@@ -230,8 +260,10 @@ def blocked_cells(part) -> set:
 
 
 def _grid(spark, d):
-    walls = bound(spark, d, "lines")
-    return walls.select(F.col("l_suppkey").alias("plan"), ((F.col("l_partkey") * 5 + F.col("l_linenumber")) % SIDE).cast("int").alias("gx"), ((F.col("l_partkey") * 3 + F.col("l_linenumber") * 7) % SIDE).cast("int").alias("gy")).where("(gx + gy * 3) % 4 = 0").distinct().withColumn("ord", F.col("gx") * SIDE + F.col("gy"))
+    """Blocked cells of a grid, one for each line of a part."""
+    cell = lambda c: (c % SIDE).cast("int")
+    gx, gy = cell(F.col("l_suppkey") * 5 + F.col("l_linenumber")), cell(F.col("l_suppkey") + F.col("l_quantity").cast("int") + F.col("l_linenumber") * 7)
+    return bound(spark, d, "lineitem").select(F.col("l_partkey").alias("plan"), gx.alias("gx"), gy.alias("gy")).distinct().withColumn("ord", F.col("gx") * SIDE + F.col("gy"))
 
 
 def _free(part) -> set:
@@ -285,7 +317,7 @@ def suppress_detect(spark, d):
     return per_plan(bound(spark, d, "furniture"), run, "plan long, ord int")
 
 
-@query("merge_collinear", (142, 143, 144, 328, 329), None)
+@query("merge_collinear", (142, 143, 144), None)
 def merge_collinear(spark, d):
     """Walls of an orientation whose lines are within .2 m and spans within .15 m, as one wall each."""
 

@@ -83,20 +83,6 @@ def leg_collision(spark, d):
     return l.join(w, "plan").groupBy("plan", "ord").agg(F.bool_or(hit).alias("hit"))
 
 
-@query("gap_walls", (133,), """
-WITH p AS (SELECT a.plan, a.ord, b.ord AS other, CASE WHEN b.x1 = b.x2 THEN abs(a.x1 - b.x1) ELSE abs(a.y1 - b.y1) END AS gap FROM (SELECT plan, ord, x1, y1 FROM {walls}) a
- JOIN (SELECT plan, ord, x1, y1, CASE WHEN ord % 2 = 0 THEN x1 ELSE x2 END AS x2 FROM {walls}) b ON a.plan = b.plan AND a.ord <> b.ord)
-SELECT plan, least(ord, other) AS a, greatest(ord, other) AS b, min(gap) AS gap FROM p WHERE gap BETWEEN 0.45 AND 1.2 GROUP BY ALL""")
-def gap_walls(spark, d):
-    """Pairs of walls whose ends are a door's width apart across the other's line; one row a pair, the least gap."""
-    w = bound(spark, d, "walls")
-    a = w.select("plan", "ord", "x1", "y1")
-    b = w.select("plan", F.col("ord").alias("other"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.when(F.col("ord") % 2 == 0, F.col("x1")).otherwise(F.col("x2")).alias("bx2"))
-    gap = F.when(F.col("bx") == F.col("bx2"), F.abs(F.col("x1") - F.col("bx"))).otherwise(F.abs(F.col("y1") - F.col("by")))
-    j = a.join(b, "plan").where("ord <> other").withColumn("gap", gap).where("gap between 0.45 and 1.2")
-    return j.groupBy("plan", F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b")).agg(F.min("gap").alias("gap"))
-
-
 @query("void_ids", (202, 167), """
 WITH v AS (SELECT l_orderkey AS plan, concat('r', CAST(l_partkey % 4 AS VARCHAR)) AS id, ord + CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1000 END AS k FROM {lines}),
 f AS (SELECT plan, id, min(k) AS k FROM v GROUP BY ALL)

@@ -69,7 +69,7 @@ def opening_overlap_adjacent(spark, d):
     return overlaps_adjacent(bound(spark, d, "openings"), KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("overlaps"))
 
 
-@query("opening_overlap_running", (171,), """
+@query("opening_overlap_running", (170,), """
 SELECT plan, wall_id, count(*) AS overlaps FROM (SELECT *, max(e) OVER (PARTITION BY plan, wall_id ORDER BY s, e, id
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {openings}) WHERE s < b - 0.01 GROUP BY ALL""")
 def opening_overlap_running(spark, d):
@@ -120,20 +120,32 @@ def wall_finish_cells(spark, d):
     return elementary(bound(spark, d, "openings"), KEY).select(*KEY, "s", "e", "n", F.when(F.col("kinds") == 1, F.col("kind")).alias("preset"))
 
 
-@query("bridged_runs", (176, 177), """
-WITH f AS (SELECT DISTINCT l_suppkey AS plan, CAST(l_partkey % 200 AS INTEGER) AS i FROM lineitem WHERE l_linenumber = 1),
+@query("bridged_runs", (176,), """
+WITH f AS (SELECT DISTINCT l_partkey AS plan, CAST((l_suppkey * 7 + l_linenumber * 13) % 200 AS INTEGER) AS i FROM lineitem),
 b AS (SELECT *, lag(i) OVER (PARTITION BY plan ORDER BY i) AS p FROM f),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR i - p > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY plan ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM b)
 SELECT plan, min(i) AS a, max(i) AS b, count(*) AS filled FROM g GROUP BY plan, g""")
 def bridged_runs(spark, d):
     """Runs of filled cells, where holes of up to two cells are bridged."""
-    cells = bound(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("plan"), (F.col("l_partkey") % 200).cast("int").alias("i")).distinct()
+    cells = bound(spark, d, "lineitem").select(F.col("l_partkey").alias("plan"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13) % 200).cast("int").alias("i")).distinct()
     w = Window.partitionBy("plan").orderBy("i")
     before = F.lag("i").over(w)
     runs = cells.withColumn("new", F.when(before.isNull() | (F.col("i") - before > 3), 1).otherwise(0)).withColumn("g", F.sum("new").over(w))
     return runs.groupBy("plan", "g").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count(F.lit(1)).alias("filled")).drop("g")
 
 
+@query("absent_runs", (177,), """
+WITH f AS (SELECT DISTINCT l_partkey AS plan, CAST((l_suppkey * 7 + l_linenumber * 13) % 200 AS INTEGER) AS i FROM lineitem),
+b AS (SELECT plan, coalesce(lag(i) OVER (PARTITION BY plan ORDER BY i), -1) + 1 AS a, i - 1 AS b FROM f UNION ALL SELECT plan, max(i) + 1, 199 FROM f GROUP BY plan)
+SELECT plan, a, b, b - a + 1 AS n FROM b WHERE b - a + 1 > 2""")
+def absent_runs(spark, d):
+    """Holes that no bridge covers: runs of more than two empty cells of 200, at the ends too."""
+    cells = bound(spark, d, "lineitem").select(F.col("l_partkey").alias("plan"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13) % 200).cast("int").alias("i")).distinct()
+    before = F.coalesce(F.lag("i").over(Window.partitionBy("plan").orderBy("i")), F.lit(-1))
+    holes = cells.select("plan", (before + 1).alias("a"), (F.col("i") - 1).alias("b")).unionByName(cells.groupBy("plan").agg((F.max("i") + 1).alias("a"), F.lit(199).alias("b")))
+    return holes.select("plan", "a", "b", (F.col("b") - F.col("a") + 1).alias("n")).where("n > 2")
+
+
 @query("collinear_gaps", (172, 305), None)
 def collinear_gaps(spark, d):
     """Gaps between neighbouring collinear walls of a plan, grouped by the running mean of their line."""

@@ -107,7 +107,7 @@ def stair_room_unique(spark, d):
     return j.where(inside).groupBy("plan", "ord").agg(F.count(F.lit(1)).alias("n"), F.min("room").alias("room")).where("n = 1").drop("n")
 
 
-@query("four_boundaries", (123, 325), """
+@query("four_boundaries", (325,), """
 WITH h AS (SELECT * FROM {walls} WHERE abs(x2-x1) >= abs(y2-y1)), v AS (SELECT * FROM {walls} WHERE abs(x2-x1) < abs(y2-y1)),
 a AS (SELECT l.plan, l.ord, max(CASE WHEN (x1+x2)/2 < x THEN (x1+x2)/2 END) AS lft, min(CASE WHEN (x1+x2)/2 > x THEN (x1+x2)/2 END) AS rgt
  FROM {labels_px} l JOIN v ON v.plan = l.plan AND l.y BETWEEN least(y1,y2) AND greatest(y1,y2) GROUP BY ALL),
@@ -173,35 +173,51 @@ def gap_covered(spark, d):
     return g.join(hit, ["plan", "ord"], "left").select("plan", "ord", "gap_start", "gap_end", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
-@query("endpoint_snap", (134,), """
-WITH j AS (SELECT a.plan, a.ord, b.ord AS other, a.x1 AS px, a.y1 AS py, b.x1, b.y1, b.x2, b.y2, sqrt((b.x2-b.x1)*(b.x2-b.x1)+(b.y2-b.y1)*(b.y2-b.y1)) AS len
- FROM {walls} a JOIN {walls} b ON a.plan = b.plan AND a.ord <> b.ord),
-t AS (SELECT *, CASE WHEN len <= 1e-6 THEN 0 ELSE least(greatest(((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/len, 0), len)/len END AS t FROM j),
-q AS (SELECT *, x1+t*(x2-x1) AS nx, y1+t*(y2-y1) AS ny FROM t), z AS (SELECT *, sqrt((px-nx)*(px-nx)+(py-ny)*(py-ny)) AS dist FROM q)
-SELECT plan, ord, other, round(nx, 5) + 0.0 AS x, round(ny, 5) + 0.0 AS y FROM z WHERE dist > 1e-9 AND dist <= 0.2
-QUALIFY row_number() OVER (PARTITION BY plan, ord ORDER BY dist, other) = 1""")
-def endpoint_snap(spark, d):
-    """A wall's start moves to the nearest other centreline within 0.2 m; all distances use the walls as given."""
-    w = bound(spark, d, "walls")
-    p = w.select("plan", "ord", F.col("x1").alias("px"), F.col("y1").alias("py"))
-    o = w.select("plan", F.col("ord").alias("other"), *ENDS)
-    ends = [F.col(c) for c in ENDS]
-    at = G.at_offset(G.offset(F.col("px"), F.col("py"), *ends), *ends)
-    j = p.join(o, "plan").where("ord <> other").select("plan", "ord", "other", "px", "py", at.alias("at"))
-    dist = G.distance(F.col("px"), F.col("py"), F.col("at.x"), F.col("at.y"))
-    near = j.withColumn("dist", dist).where("dist > 1e-9 and dist <= 0.2")
-    best = near.groupBy("plan", "ord").agg(F.min(F.struct("dist", "other", "at")).alias("b"))
-    return best.select("plan", "ord", "b.other", (F.round("b.at.x", 5) + 0.0).alias("x"), (F.round("b.at.y", 5) + 0.0).alias("y"))
-
-
-@query("baseline_manifest", (7,), """
-WITH m AS (SELECT doc_id, source AS split, sha256(text) AS sha FROM documents), r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 11 <> 0)
-SELECT m.doc_id, m.split, CASE WHEN r.doc_id IS NULL THEN 'missing' WHEN r.sha <> m.sha THEN 'hash_mismatch' ELSE 'ok' END AS status FROM m LEFT JOIN r USING (doc_id)""")
+_RUN = """
+WITH m AS (SELECT doc_id, source AS split, sha256(text) AS sha FROM documents),
+r AS (SELECT l.doc_id, CASE WHEN l.quality = 0 THEN 'other' ELSE m.sha END AS sha, CASE WHEN l.toxic = 1 THEN 'failed' ELSE 'finished' END AS outcome FROM (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l LEFT JOIN m USING (doc_id))
+"""
+
+
+def _manifest(spark, d):
+    return bound(spark, d, "documents").select("doc_id", F.col("source").alias("split"), F.sha2("text", 256).alias("sha"))
+
+
+def _results(spark, d):
+    """A run's results: the labelled samples, some with the checksum of another file, some failed."""
+    r = bound(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).join(_manifest(spark, d).drop("split"), "doc_id", "left")
+    return r.select("doc_id", F.when(F.col("quality") == 0, "other").otherwise(F.col("sha")).alias("found"), F.when(F.col("toxic") == 1, "failed").otherwise("finished").alias("outcome"))
+
+
+@query("baseline_manifest", (131,), _RUN + """
+SELECT doc_id, split, CASE WHEN r.sha IS NULL AND outcome IS NULL THEN 'missing' WHEN m.sha IS NULL THEN 'unexpected' WHEN r.sha <> m.sha THEN 'hash_mismatch' ELSE outcome END AS status FROM m FULL JOIN r USING (doc_id)""")
 def baseline_manifest(spark, d):
-    """Samples against a manifest by id: missing ones and other hashes become rows, not errors."""
-    m = bound(spark, d, "documents").select("doc_id", F.col("source").alias("split"), F.sha2("text", 256).alias("sha"))
-    r = m.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("sha")).alias("sha2"), F.lit(True).alias("there"))
-    return m.join(r, "doc_id", "left").select("doc_id", "split", F.when(F.col("there").isNull(), "missing").when(F.col("sha2") != F.col("sha"), "hash_mismatch").otherwise("ok").alias("status"))
+    """Results against a manifest by id: either side may lack an id, and other hashes become rows, not errors."""
+    j = _manifest(spark, d).join(_results(spark, d), "doc_id", "full")
+    status = F.when(F.col("outcome").isNull(), "missing").when(F.col("sha").isNull(), "unexpected").when(F.col("found") != F.col("sha"), "hash_mismatch").otherwise(F.col("outcome"))
+    return j.select("doc_id", "split", status.alias("status"))
+
+
+@query("manifest_checks", (7,), """
+SELECT split, count(*) AS n, count(*) = count(DISTINCT doc_id) AS unique_ids, count(*) FILTER (doc_id IS NULL) = 0 AS named, split IN ('src0', 'src1', 'src2') AS allowed
+FROM (SELECT doc_id, source AS split FROM documents) GROUP BY split""")
+def manifest_checks(spark, d):
+    """Of each split of a manifest: samples, whether all have ids and no two the same, and whether the split may be run."""
+    m = bound(spark, d, "documents").groupBy(F.col("source").alias("split"))
+    n = F.count(F.lit(1))
+    return m.agg(n.alias("n"), (n == F.count_distinct("doc_id")).alias("unique_ids"), (F.count_if(F.col("doc_id").isNull()) == 0).alias("named")).withColumn("allowed", F.col("split").isin("src0", "src1", "src2"))
+
+
+@query("resumed_run", (287,), _RUN + """
+SELECT doc_id, split FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = m.doc_id) AND (SELECT count(*) FROM r LEFT JOIN m k USING (doc_id) WHERE k.doc_id IS NULL) = 0""")
+def resumed_run(spark, d):
+    """What a resumed run still has to do: the samples without a result, finished or failed, in the same experiment.
+
+    Results of samples that the manifest lacks belong to another experiment: then nothing is resumed.
+    """
+    m, r = _manifest(spark, d), _results(spark, d).select("doc_id")
+    strange = r.join(m, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("strange"))  # one row
+    return m.join(r, "doc_id", "left_anti").join(F.broadcast(strange)).where("strange = 0").select("doc_id", "split")
 
 
 @query("hamming_pairs", (132,), """

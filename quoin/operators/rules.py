@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.operators import intervals
+from quoin.operators.scale import SOLVED, solve
 from quoin.plans.bindings import bound
 from quoin.registry import query
 
@@ -90,27 +91,44 @@ def issue_dedupe(spark, d):
     return _bound_issues(spark, d).groupBy("plan", "code", "severity").agg(F.min("element_id").alias("element_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("quality_score", (149, 150, 151), _ISSUES + """, c AS (SELECT plan, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings,
- count(*) FILTER (code = 'room_polygons_overlap') AS bad_rooms FROM i GROUP BY plan), n AS (SELECT plan, count(*) AS rooms FROM r GROUP BY plan), m AS (SELECT plan, count(*) AS openings FROM o GROUP BY plan),
-q AS (SELECT p.plan, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CASE WHEN coalesce(rooms, 0) = 0 THEN 0 ELSE greatest(0.2, 1 - 0.3*coalesce(bad_rooms, 0)) END AS room_part,
- CASE WHEN coalesce(openings, 0) > 0 THEN 1.0 WHEN coalesce(rooms, 0) >= 2 THEN 0.2 ELSE 0.4 END AS opening_part FROM (SELECT DISTINCT plan FROM w) p LEFT JOIN c USING (plan) LEFT JOIN n USING (plan) LEFT JOIN m USING (plan)),
-s AS (SELECT *, CAST(greatest(0, least(1, 0.2*0.4 + 0.1*0.4 + 0.2*room_part + 0.2*opening_part + 0.2*0.4 + 0.1*0.4 - 0.08*errors - least(0.15, 0.02*warnings))) AS DOUBLE) AS score FROM q)
-SELECT plan, errors, warnings, round(score, 6) AS score, CASE WHEN score < 0.35 THEN 'failed' WHEN errors > 0 OR score < 0.7 OR warnings > 3 THEN 'review_required' ELSE 'high' END AS state FROM s""")
+@query("quality_score", (149, 150, 151, 152), _ISSUES + """, c AS (SELECT plan, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings,
+ count(*) FILTER (code = 'room_polygons_overlap') AS bad_rooms FROM i GROUP BY plan), n AS (SELECT plan, count(*) AS rooms, sum((x1-x0)*(y1-y0)) AS area FROM r GROUP BY plan),
+m AS (SELECT o.plan, count(*) AS openings, count(k.id) AS attached, count(*) FILTER (o.ord % 4 = 3) AS unsure FROM o LEFT JOIN (SELECT plan, id FROM w) k ON k.plan = o.plan AND k.id = o.wall_id GROUP BY o.plan),
+x AS (SELECT plan, greatest((max(greatest(x1, x2)) - min(least(x1, x2)))*(max(greatest(y1, y2)) - min(least(y1, y2))), 1e-6) AS box FROM w GROUP BY plan),
+q AS (SELECT plan, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CASE WHEN coalesce(rooms, 0) = 0 THEN 0 ELSE greatest(0.2, 1 - 0.3*coalesce(bad_rooms, 0)) END AS room_part,
+ CASE WHEN coalesce(openings, 0) > 0 THEN attached/openings*(1 - 0.5*unsure/openings) WHEN coalesce(rooms, 0) >= 2 THEN 0.2 ELSE 0.4 END AS opening_part, coalesce(sc.confidence, 0) AS scale_part,
+ CASE WHEN sc.confidence IS NULL THEN 1 ELSE 0 END AS severe, least(1, coalesce(area, 0)/box/0.7) AS closure FROM x LEFT JOIN c USING (plan) LEFT JOIN n USING (plan) LEFT JOIN m USING (plan) LEFT JOIN (""" + SOLVED + """) sc USING (plan)),
+s AS (SELECT *, CAST(greatest(0, least(1, 0.2*0.4 + 0.1*0.4 + 0.2*room_part + 0.2*opening_part + 0.2*scale_part + 0.1*closure - 0.08*errors - least(0.15, 0.02*warnings) - 0.4*severe)) AS DOUBLE) AS score FROM q)
+SELECT plan, errors, warnings, round(score, 6) AS score, CASE WHEN severe > 0 OR score < 0.35 THEN 'failed' WHEN errors > 0 OR score < 0.7 OR warnings > 3 THEN 'review_required' ELSE 'high' END AS state FROM s""")
 def quality_score(spark, d):
-    found = _bound_issues(spark, d).groupBy("plan").agg(
+    """All six components of each plan's score; without an image, overlap and junctions have no evidence.
+
+    Openings: the share on a known wall times the certainty (unsure ones, every fourth here, count half).  Scale: the
+    solver's confidence; a plan without a scale has a severe fault.  Closure: the rooms' area in the walls' bounding box.
+    """
+    walls, rooms, openings = (bound(spark, d, x) for x in ("walls", "rooms", "openings"))
+    found = issues(walls, openings, rooms).groupBy("plan").agg(
         F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("code") == "room_polygons_overlap").alias("bad")
     )
-    plans = bound(spark, d, "walls").select("plan").distinct().join(found, "plan", "left")
-    plans = plans.join(bound(spark, d, "rooms").groupBy("plan").agg(F.count(F.lit(1)).alias("n_rooms")), "plan", "left").join(bound(spark, d, "openings").groupBy("plan").agg(F.count(F.lit(1)).alias("n_openings")), "plan", "left").na.fill(0)
+    span = [F.max(F.greatest(f"{v}1", f"{v}2")) - F.min(F.least(f"{v}1", f"{v}2")) for v in "xy"]
+    boxes = walls.groupBy("plan").agg(F.greatest(span[0] * span[1], F.lit(1e-6)).alias("box"))
+    by_room = rooms.groupBy("plan").agg(F.count(F.lit(1)).alias("n_rooms"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    hosts = walls.select("plan", F.col("id").alias("wall_id"), F.lit(1).alias("host"))
+    by_opening = openings.join(hosts, ["plan", "wall_id"], "left").groupBy("plan").agg(F.count(F.lit(1)).alias("n_openings"), F.count("host").alias("attached"), F.count_if(F.col("ord") % 4 == 3).alias("unsure"))
+    scale = solve(bound(spark, d, "constraints")).select("plan", F.round("confidence", 5).alias("confidence"))
+    plans = boxes.join(found, "plan", "left").join(by_room, "plan", "left").join(by_opening, "plan", "left").na.fill(0).join(scale, "plan", "left")
+    n = F.col("n_openings")
     parts = plans.withColumns({
         "rooms": F.when(F.col("n_rooms") == 0, 0.0).otherwise(F.greatest(F.lit(0.2), 1 - 0.3 * F.col("bad"))),
-        "openings": F.when(F.col("n_openings") > 0, 1.0).when(F.col("n_rooms") >= 2, 0.2).otherwise(0.4),
-        "severe": F.lit(0), **{k: F.lit(None).cast("double") for k in ("wall_mask_overlap", "junction_support", "scale", "exterior_closure")},
+        "openings": F.when(n > 0, F.try_divide(F.col("attached"), n) * (1 - 0.5 * F.try_divide(F.col("unsure"), n))).when(F.col("n_rooms") >= 2, 0.2).otherwise(0.4),
+        "scale": F.coalesce("confidence", F.lit(0.0)), "severe": F.col("confidence").isNull().cast("int"),
+        "exterior_closure": F.least(F.lit(1.0), F.col("area") / F.col("box") / 0.7),
+        **{k: F.lit(None).cast("double") for k in ("wall_mask_overlap", "junction_support")},
     })
     return quality(parts).select("plan", "errors", "warnings", F.round("score", 6).alias("score"), "state")
 
 
-@query("junction_support", (155, 148), """
+@query("junction_support", (155,), """
 WITH e AS (SELECT plan, CAST(round_even(x*2, 0) AS BIGINT) AS bx, CAST(round_even(y*2, 0) AS BIGINT) AS by_ FROM (SELECT plan, x1 AS x, y1 AS y FROM {walls} UNION ALL SELECT plan, x2, y2 FROM {walls}))
 SELECT plan, count(*) AS junctions FROM (SELECT plan, bx, by_ FROM e GROUP BY ALL HAVING count(*) >= 2) GROUP BY plan""")
 def junction_support(spark, d):
@@ -141,12 +159,12 @@ def status_histogram(spark, d):
 
 
 @query("style_balanced_sample", (158,), """
-WITH g AS (SELECT lang, source, min(doc_id) AS doc_id FROM documents WHERE doc_id % 5 <> 0 GROUP BY ALL),
+WITH g AS (SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS n FROM g)
 SELECT lang, source, doc_id, n FROM k QUALIFY row_number() OVER (ORDER BY n, lang) <= 24""")
 def style_balanced_sample(spark, d):
     """Round-robin over languages of one document for each source, in the order of a hash; 24 in all."""
-    g = bound(spark, d, "documents").where("doc_id % 5 <> 0").groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
+    g = bound(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
     k = g.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id")))
     return k.orderBy("n", "lang").limit(24)
 
@@ -156,10 +174,18 @@ def duplicate_digest(spark, d):
     return bound(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("tree_fingerprint", (160, 168), "SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), '|' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("tree_fingerprint", (160,), """
+WITH f AS (SELECT source, doc_id // 1000 AS folder, sha256(string_agg(concat(doc_id, ':', sha256(text)), '|' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(concat(folder, ':', h), '|' ORDER BY folder)) AS fingerprint FROM f GROUP BY source""")
 def tree_fingerprint(spark, d):
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)).alias("t"))))
-    return bound(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), "|"), 256).alias("fingerprint"))
+    """A source's digest from those of its folders of 1,000 files, in order of name: no task holds a whole tree."""
+
+    def digest(rows, keys, name, value):
+        parts = F.array_sort(F.collect_list(F.struct(name, F.concat(F.col(name).cast("string"), F.lit(":"), value).alias("t"))))
+        return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), "|"), 256).alias("fingerprint"))
+
+    files = bound(spark, d, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 1000).alias("folder"), F.sha2("text", 256).alias("sha"))
+    return digest(digest(files, ["source", "folder"], "doc_id", F.col("sha")), ["source"], "folder", F.col("fingerprint"))
 
 
 @query("faces_by_area", (189, 190), "SELECT plan, ord, (x1-x0)*(y1-y0) AS area, row_number() OVER (PARTITION BY plan ORDER BY (x1-x0)*(y1-y0) DESC, ord) AS place FROM {rooms}")
@@ -168,6 +194,17 @@ def faces_by_area(spark, d):
     return bound(spark, d, "rooms").select("plan", "ord", area.alias("area"), F.row_number().over(Window.partitionBy("plan").orderBy(area.desc(), "ord")).alias("place"))
 
 
+@query("draft_cap", (193, 194), """
+WITH e AS (SELECT user_id, event_id, row_number() OVER w AS n, sum(CAST(value AS BIGINT) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))
+SELECT user_id, event_id, n <= 5 AND size <= 200 AS draft FROM e WHERE n <= 50""")
+def draft_cap(spark, d):
+    """The last 50 edits of a user; of these, drafts are the last five while their sizes add up to 200 at most."""
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    size = F.sum(F.round("value").cast("long") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    e = bound(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"), size.alias("size"))
+    return e.where("n <= 50").select("user_id", "event_id", ((F.col("n") <= 5) & (F.col("size") <= 200)).alias("draft"))
+
+
 @query("history_cap", (), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def history_cap(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())

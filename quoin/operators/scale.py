@@ -72,32 +72,19 @@ j AS (SELECT *, coalesce(CASE WHEN rank > best THEN concat('superseded_by_', sou
 """
 
 
-@query("constraint_audit", (137, 195, 299), _CTE + "SELECT plan, ord, round(ppm + 1e-6, 3) AS ppm, round(residual, 6) AS residual, reason IS NULL AS accepted, reason FROM j")
+@query("constraint_audit", (137, 299), _CTE + "SELECT plan, ord, round(ppm + 1e-6, 3) AS ppm, round(residual, 6) AS residual, reason IS NULL AS accepted, reason FROM j")
 def constraint_audit(spark, d):
     a = audit(bound(spark, d, "constraints"))
     return a.select("plan", "ord", F.round(F.col("ppm") + 1e-6, 3).alias("ppm"), F.round("residual", 6).alias("residual"), F.col("reason").isNull().alias("accepted"), "reason")
 
 
-@query("scale_tier_solve", (135, 136, 152), _CTE + """, k AS (SELECT *, sum(ppm*weight) OVER (PARTITION BY plan) / sum(weight) OVER (PARTITION BY plan) AS final FROM j WHERE reason IS NULL),
+SOLVED = _CTE + """, k AS (SELECT *, sum(ppm*weight) OVER (PARTITION BY plan) / sum(weight) OVER (PARTITION BY plan) AS final FROM j WHERE reason IS NULL),
 l AS (SELECT plan, any_value(final) AS ppm, avg(abs(ppm-final)/greatest(final, 1e-6) + residual) AS spread, count(*) AS used, any_value(source) AS source FROM k GROUP BY plan)
 SELECT plan, round(ppm, 3) AS ppm, source, used, round(greatest(0.05, (CASE source WHEN 'room_dimension' THEN CASE WHEN used >= 2 THEN 0.85 ELSE 0.6 END
- WHEN 'door_width' THEN CASE WHEN used >= 2 THEN 0.45 ELSE 0.3 END ELSE CASE WHEN used >= 2 THEN 0.2 ELSE 0.15 END END) * greatest(0.4, 1 - least(0.6, spread))), 5) AS confidence FROM l""")
+ WHEN 'door_width' THEN CASE WHEN used >= 2 THEN 0.45 ELSE 0.3 END ELSE CASE WHEN used >= 2 THEN 0.2 ELSE 0.15 END END) * greatest(0.4, 1 - least(0.6, spread))), 5) AS confidence FROM l"""
+
+
+@query("scale_tier_solve", (135, 136), SOLVED)
 def scale_tier_solve(spark, d):
     s = solve(bound(spark, d, "constraints"))
     return s.select("plan", F.round("ppm", 3).alias("ppm"), "source", "used", F.round("confidence", 5).alias("confidence"))
-
-
-@query("door_gap_clusters", (138,), """
-WITH p AS (SELECT DISTINCT p_brand, p_retailprice AS g FROM part WHERE p_partkey % 13 = 0), r AS (SELECT *, lag(g) OVER (PARTITION BY p_brand ORDER BY g) AS b FROM p),
-c AS (SELECT *, sum(CASE WHEN b IS NULL OR g/b > 1.005 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY g ROWS UNBOUNDED PRECEDING) AS c FROM r),
-s AS (SELECT p_brand, c, count(*) AS n, median(g) AS mid FROM c GROUP BY ALL HAVING count(*) >= 2)
-SELECT p_brand, n, round(mid, 4) AS mid FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, mid) = 1""")
-def door_gap_clusters(spark, d):
-    """Chains of gaps in which each is at most a ratio above the last; the largest chain of two or more, then the smallest."""
-    p = bound(spark, d, "part").where("p_partkey % 13 = 0").select("p_brand", F.col("p_retailprice").alias("g")).distinct()
-    w = Window.partitionBy("p_brand").orderBy("g")
-    before = F.lag("g").over(w)
-    c = p.withColumn("new", F.when(before.isNull() | (F.col("g") / before > 1.005), 1).otherwise(0)).withColumn("c", F.sum("new").over(w))
-    s = c.groupBy("p_brand", "c").agg(F.count(F.lit(1)).alias("n"), F.median("g").alias("mid")).where("n >= 2")
-    best = s.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("a"), "mid")).alias("b"))
-    return best.select("p_brand", (-F.col("b.a")).alias("n"), F.round("b.mid", 4).alias("mid"))

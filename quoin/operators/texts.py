@@ -43,7 +43,7 @@ def material_names(spark, d):
     return bound(spark, d, "part").select("p_partkey", T.material_key(raw).alias("key"), T.room_material(name).alias("material"), T.fixture_kind(name).alias("fixture"))
 
 
-@query("furniture_families", (98, 99, 215, 216, 217, 318), """
+@query("furniture_families", (98, 216), """
 WITH f AS (SELECT *, CASE category WHEN 'Double Bed' THEN 'bed' WHEN 'couch' THEN 'sofa' WHEN 'bedside-table' THEN 'table' WHEN 'Carpet' THEN 'rug' WHEN 'arm chair' THEN 'chair' ELSE 'bookshelf' END AS a FROM {furniture})
 SELECT plan, ord, a AS alias, CASE WHEN a = 'bookshelf' THEN 'wardrobe' ELSE a END AS family, a = 'rug' AS walkable FROM f""")
 def furniture_families(spark, d):
@@ -52,6 +52,25 @@ def furniture_families(spark, d):
     return f.select("plan", "ord", T.furniture_alias(F.col("category")).alias("alias"), family.alias("family"), family.isin("floor_patch", "rug", "door", "window").alias("walkable"))
 
 
+# Categories of every family and of none, from a part's numbers.
+CATEGORY = """CASE p_partkey % 12 WHEN 0 THEN 'Kitchen-Sink' WHEN 1 THEN 'hob' WHEN 2 THEN 'side table' WHEN 3 THEN 'armchair' WHEN 4 THEN 'king_bed' WHEN 5 THEN 'COUCH' WHEN 6 THEN 'book shelf'
+ WHEN 7 THEN 'wc' WHEN 8 THEN 'kitchen counter' WHEN 9 THEN 'bathtub' WHEN 10 THEN 'generic' ELSE p_brand END"""
+
+
+@query("category_families", (215, 217, 318), f"""
+WITH c AS (SELECT p_partkey, p_size, {CATEGORY} AS category FROM part), t AS (SELECT *, string_split(replace(replace(lower(trim(category)), '-', '_'), ' ', '_'), '_') AS t, replace(replace(lower(trim(category)), '-', '_'), ' ', '_') AS n FROM c),
+f AS (SELECT *, CASE WHEN list_contains(t, 'sink') OR n LIKE '%sink' THEN 'sink' WHEN list_has_any(t, ['stove', 'hob']) THEN 'stove' WHEN list_contains(t, 'table') OR n LIKE '%table' THEN 'table' WHEN list_contains(t, 'chair') THEN 'chair'
+  WHEN list_contains(t, 'bed') THEN 'bed' WHEN list_has_any(t, ['sofa', 'couch']) THEN 'sofa' WHEN list_has_any(t, ['wardrobe', 'shelf']) THEN 'wardrobe' WHEN list_has_any(t, ['toilet', 'wc']) THEN 'toilet' WHEN list_has_any(t, ['counter', 'kitchen']) THEN 'counter'
+  WHEN n LIKE '%bath%' THEN 'fixture' ELSE 'generic' END AS asset,
+ CASE WHEN n IN ('generic') THEN NULL WHEN list_contains(t, 'sink') OR n LIKE '%sink' THEN 'sink' WHEN list_has_any(t, ['stove', 'hob']) THEN 'stove' WHEN list_contains(t, 'table') OR n LIKE '%table' THEN 'table' WHEN list_has_any(t, ['chair', 'armchair']) THEN 'chair'
+  WHEN list_contains(t, 'bed') THEN 'bed' WHEN list_has_any(t, ['sofa', 'couch']) THEN 'sofa' WHEN list_contains(t, 'counter') THEN 'counter' WHEN list_has_any(t, ['wardrobe', 'shelf']) THEN 'storage' WHEN n LIKE '%bath%' OR list_contains(t, 'toilet') THEN 'fixture' ELSE n END AS detected FROM t)
+SELECT p_partkey, asset, detected, detected IS NULL OR detected = 'chair' AS fits_chair FROM f""")
+def category_families(spark, d):
+    """A category's family for assets and for detections, and whether a chair hint may name such a detection."""
+    c = bound(spark, d, "part").select("p_partkey", F.expr(CATEGORY).alias("category"))
+    return c.select("p_partkey", T.asset_family(F.col("category")).alias("asset"), T.detected_family(F.col("category")).alias("detected"), T.compatible(F.col("category"), F.lit("chair")).alias("fits_chair"))
+
+
 @query("sample_directory", (221, 342), """
 SELECT doc_id, concat(substr(trim(regexp_replace(concat(lang, '/', source, ' #', CAST(doc_id AS VARCHAR)), '[^A-Za-z0-9_-]+', '-', 'g'), '-'), 1, 64), '-',
  substr(sha256(concat(lang, '/', source, ' #', CAST(doc_id AS VARCHAR))), 1, 12)) AS directory, sha256(text) AS checksum FROM documents""")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoin.sources.tables import table
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
     # Lines of an order in list order.
@@ -26,6 +26,13 @@ VIEWS = {
         CAST((l_partkey + l_linenumber * 29) % 160 AS DOUBLE) / 16 AS y2,
         CAST(l_quantity % 8 + 1 AS DOUBLE) / 32 AS thickness, l_returnflag = 'R' AS external,
         CAST(l_linenumber AS DOUBLE) / 8 AS confidence FROM {lines}""",
+    # Walls along the axes, on a grid of quarter metres: even places are level, odd ones upright.
+    "axis_walls": """SELECT plan, ord, concat('w', CAST(ord AS VARCHAR(10))) AS id, x1, y1,
+        CASE WHEN ord % 2 = 0 THEN x1 + run ELSE x1 END AS x2, CASE WHEN ord % 2 = 0 THEN y1 ELSE y1 + run END AS y2,
+        thickness, external, confidence FROM (SELECT l_orderkey AS plan, ord,
+        CAST((l_partkey * 7 + l_linenumber * 13) % 25 AS DOUBLE) / 4 AS x1, CAST((l_suppkey * 11 + l_linenumber * 5) % 25 AS DOUBLE) / 4 AS y1,
+        CAST((l_partkey + l_linenumber * 3) % 13 AS DOUBLE) / 4 AS run, CAST(l_quantity % 8 + 1 AS DOUBLE) / 32 AS thickness,
+        l_returnflag = 'R' AS external, CAST(l_linenumber AS DOUBLE) / 8 AS confidence FROM {lines})""",
     # Openings on the walls: an interval on wall l_suppkey % 3 of the plan.
     "openings": """SELECT l_orderkey AS plan, ord, concat('w', CAST(l_suppkey % 3 AS VARCHAR(10))) AS wall_id,
         concat('o', CAST(ord AS VARCHAR(10))) AS id,
