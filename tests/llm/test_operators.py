@@ -66,6 +66,14 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_merges_sorted_runs(docs):
+    """The optimiser keeps every round's sort, and no round fills a hash table."""
+    listed = exact_dedup.entries(docs).withColumn("run", common.run_of("doc_id"))
+    with common.setting(docs.sparkSession, exact_dedup.SORTED, "true"):
+        plan = exact_dedup.tree_merge(listed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Sort [run") == 3 and "SortAggregate" in plan and "HashAggregate" not in plan
+
+
 def test_exact_dedup_null_ids(spark):
     rows = spark.createDataFrame([(None, "a"), (4, "a"), (None, "b")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.keep_id or -1, r.kept) for r in exact_dedup.exact_dedup(rows).collect()) == [(-1, -1, True), (-1, 4, False), (4, 4, True)]
@@ -152,6 +160,27 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_places_of_keys():
+    from bisect import bisect_right
+
+    r = random.Random(2)
+    for _ in range(200):
+        bounds = sorted({(r.randint(0, 5), r.choice([0, r.randint(-3, 3)])) for _ in range(r.randint(0, 12))})
+        keys = [(r.randint(0, 6), r.randint(-4, 4)) for _ in range(20)]
+        got = sharding.places(bounds, np.array([k[0] for k in keys]), np.array([k[1] for k in keys]))
+        assert got.tolist() == [bisect_right(bounds, k) for k in keys]
+
+
+def test_sharding_of_repeated_and_null_ids(spark, none):
+    rows = [(None, "a"), (None, None), (3, "a"), (3, "a"), (3, ""), (4, "x" * 5000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").encode()) + 1) for i, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_is_even_and_keeps_groups(spark):
     many = [(i, prose(i % 700, 10 + i % 40)) for i in range(1500)] + [(5000 + i, "hot text " * 30) for i in range(900)]
     rows = sharding.shard(spark.createDataFrame(many, "doc_id long, text string")).collect()
@@ -202,6 +231,44 @@ def test_line_index_is_reversible(spark, docs):
     assert held == len(before)
 
 
+def held_prints(index) -> int:
+    return sum(len(cuckoo.CuckooFilter.from_bytes(r["filter"])) for r in index.filters.collect())
+
+
+def test_line_index_overflows_reopens_and_deletes(spark, monkeypatch, tmp_path):
+    """Filters that overflow, are split into more shards, and are opened again hold one fingerprint for each live key."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 60)
+    path = f"file://{tmp_path}/index"
+    lines = lambda i, n: "\n".join(f"line number {i} {k} of a document" for k in range(n))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    insert = lambda index, rows: index.insert(common.settle(line_dedup.references(frame(rows))))
+    index = line_dedup.LineIndex(spark, path)
+    insert(index, [(1, lines(1, 100)), (2, lines(1, 30))])
+    before = sorted(map(tuple, index.counts().collect()))
+    shards = index.shards
+    monkeypatch.setattr(line_dedup.LineIndex, "_split", lambda self, n: setattr(self, "shards", self.shards or 1))
+    insert(index, [(k, lines(k, 4000)) for k in range(3, 8)])  # overflows: rebuilt from the log
+    assert held_prints(index) == 100 + 5 * 4000 and index.shards == shards
+    monkeypatch.undo()
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 60)
+    index = line_dedup.LineIndex(spark, path)
+    assert held_prints(index) == 100 + 5 * 4000
+    seen = insert(index, [(9, lines(1, 20) + "\n" + lines(9, 50)), (1, lines(1, 100))])
+    assert {bytes(r.digest) for r in seen.collect()} >= {hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines(1, 20).split("\n")}
+    assert index.shards > shards and held_prints(index) == 100 + 5 * 4000 + 50
+    index = line_dedup.LineIndex(spark, path)
+    index.delete(frame([(k, "") for k in range(3, 10)]))
+    assert sorted(map(tuple, index.counts().collect())) == before and held_prints(index) == 100
+    assert sorted(map(tuple, line_dedup.LineIndex(spark, path).counts().collect())) == before
+
+
+@pytest.mark.parametrize("clash", ["_id", "_HASH", "_drop", "owner", "n_lines", "n_dropped", "digest"])
+def test_line_dedup_leaves_clashing_columns(spark, clash):
+    rows = spark.createDataFrame([(1, "one shared line\nx", 77), (2, "one shared line\ny", 78), (None, "one shared line", 79)], f"doc_id long, text string, `{clash}` long")
+    got = sorted((r[1], r[2]) for r in line_dedup.dedup_lines(rows, counts=None).collect())
+    assert got == [("one shared line", 79), ("one shared line\nx", 77), ("y", 78)]
+
+
 def test_cuckoo_filter():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(5000)]
     f = cuckoo.grown(keys[:4000])
@@ -262,10 +329,16 @@ def test_suffix_array():
         assert induced_sort.suffix_array(np.array(x), run=r.choice([7, 10**6])).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_remove_repeats(docs, none, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    rows = [(r[0], (r[1] or "").encode()) for r in corpus()]
+@pytest.mark.parametrize("group, spans", [(250_000, (24, 4, 1)), (1, (24, 4, 1)), (1, (50,)), (500, (7, 3))])
+def test_remove_repeats(spark, docs, none, group, spans, monkeypatch):
+    """Also where every group counts as too large and is cut into pieces, and with a passage that has many surroundings."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffix_dedup, "SPANS", spans)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    passage, half = prose(77, 45), prose(78, 14)
+    more = [(1000 + i, f"{prose(300 + i, 20)}{i % 3} {passage if i % 2 else half} {i % 2}{prose(400 + i, 20)}") for i in range(24)]
+    rows = [(r[0], (r[1] or "").encode()) for r in corpus()] + [(k, t.encode()) for k, t in more]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     seen = Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
     want = {}
     for doc_id, b in rows:
@@ -282,10 +355,13 @@ def test_remove_repeats(docs, none, hot, monkeypatch):
 
 
 def test_anchors_of_long_texts_meet(monkeypatch):
-    data = prose(3, 400).encode()
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
-    a, n, off, h = suffix_dedup.anchors(data)
-    assert a.tolist() == np.concatenate([[0], np.cumsum(n)[:-1]]).tolist() and n.sum() == len(data) - 199
+    texts = [prose(3, 400).encode(), b"", b"short", prose(4, 90).encode(), b"x" * 200, b"y" * 199]
+    i, a, n, off, h = suffix_dedup.anchors(texts)
+    for k, data in enumerate(texts):
+        mine = i == k
+        assert n[mine].sum() == max(0, len(data) - 199)
+        assert a[mine].tolist() == np.concatenate([[0], np.cumsum(n[mine])])[: mine.sum()].tolist()
 
 
 def test_tiling_finds_moved_parts():
@@ -297,18 +373,93 @@ def test_tiling_finds_moved_parts():
     assert decontam.tile(ids(["none", "of", "it"]), ids(item), 5) == []
 
 
+def naive_tiles(doc: list, item: list, least: int) -> list:
+    """The longest match of unmarked words again and again."""
+    doc, item, tiles = list(doc), list(item), []
+    while True:
+        best = (0, 0, 0)
+        for b in range(len(item)):
+            for a in range(len(doc)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and doc[a + n] is not None and doc[a + n] == item[b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < least:
+            return sorted(tiles)
+        tiles.append((a, b, n))
+        doc[a : a + n] = [None] * n
+        item[b : b + n] = ["marked"] * n
+
+
+def test_tiling_is_greedy():
+    r = random.Random(11)
+    for k in range(1500):
+        letters = "ab" if k % 2 else "abcdefgh"
+        item = [r.choice(letters) for _ in range(r.randint(1, 30))]
+        doc = [r.choice(letters) for _ in range(r.randint(0, 10))]
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(item))
+            doc += item[i : i + r.randint(1, 20)] + [r.choice(letters) for _ in range(r.randint(0, 4))]
+        ids = lambda ws: [ord(w) for w in ws]
+        least = r.choice([1, 2, 3, 5])
+        assert decontam.tile(ids(doc), ids(item), least) == naive_tiles(doc, item, least)
+        share, tiles = decontam.cover(doc, item)
+        if len(item) >= 5:
+            assert share == sum(t[2] for t in naive_tiles(doc, item, 5)) / len(item)
+            assert all(doc[a : a + n] == item[b : b + n] for a, b, n in tiles)
+
+
+def test_tiling_of_repetitive_texts_is_bounded():
+    import time
+
+    began = time.time()
+    share, _ = decontam.cover(["same"] * 300_000, ["same"] * 100)
+    assert share == 1 and decontam.cover(["a", "b", "c"] * 100_000, ["a", "b", "c", "d"] * 25)[0] == 0
+    assert time.time() - began < 60
+
+
 def test_decontamination(spark, none):
     item = "the quick brown fox jumps over the lazy dog while seven small mice watch from afar"
     w = item.split()
-    items = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (None, "x")], "item_id long, text string")
-    rows = [(1, "start " + item + " end"), (2, " ".join(w[9:]) + " and then " + " ".join(w[:9])), (3, "the quick brown fox jumps high"), (4, None), (5, ""), (6, "A Tiny, Item!"), (6, "other"), (7, prose(1, 5000))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_note", common.F.lit(1))
-    got = {(r.doc_id, r.item_id) for r in decontam.contamination(docs, items).collect()}
-    assert got == {(1, 1), (2, 1), (6, 2)}
-    assert sorted(r.doc_id for r in decontam.marked(docs, items).where("_contaminated").collect()) == [1, 2, 6]
+    items = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (None, "x"), (5, item.upper()), (2, "tiny item")], "item_id long, text string")
+    rows = [(1, "start " + item + " end"), (2, " ".join(w[9:]) + " and then " + " ".join(w[:9])), (3, "the quick brown fox jumps high"), (4, None), (5, ""), (6, "Tiny, Item!"), (6, "other"), (7, prose(1, 5000)), (8, "a long story of a tiny item told"), (None, item), (1, "start " + item + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, 1), (1, 5), (2, 1), (2, 5), (6, 2), (-1, 1), (-1, 5)])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in decontam.contamination(docs, items).collect()) == want
+    for clash in ("_id", "_HASH", "_n_items", "item", "k_id", "seed"):
+        got = decontam.marked(docs.withColumn(clash, common.F.lit(7)), items)
+        assert sorted(str(r.doc_id) for r in got.where("_contaminated").collect()) == ["1", "1", "2", "6", "None"] and got.count() == len(rows)
+        assert clash == "_n_items" or {r[0] for r in got.select(clash).collect()} == {7}
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    """Every pair of documents and items tiled, and items too large to broadcast."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
+    r = random.Random(8)
+    items = [(k, prose(900 + k, r.randint(3, 40))) for k in range(25)]
+    docs = []
+    for i in range(120):
+        parts = [prose(2000 + i, r.randint(0, 40))]
+        for _ in range(r.randint(0, 2)):
+            w = r.choice(items)[1].split()
+            cut = r.randint(0, len(w))
+            parts += [" ".join(w[cut:]), prose(3000 + i, r.randint(0, 3)), " ".join(w[: max(0, cut - r.randint(0, 12))])]
+        docs.append((i, " ".join(parts)))
+    want = {}
+    for i, text in docs:
+        for k, item in items:
+            a, b = decontam.words_of(text), decontam.words_of(item)
+            share = sum(t[2] for t in naive_tiles(a, b, 5)) / len(b) if len(b) >= 5 else float(a == b)
+            if share >= 0.6:
+                want[i, k] = share
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.coverage for x in got} == want and len(want) > 20
+
+
 def labelled():
     r, rows, labels = random.Random(1), [], []
     for i in range(700):
@@ -341,51 +492,73 @@ def test_toxicity_without_labels(spark, none):
     assert toxicity.toxicity(none, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 0
 
 
-def test_toxicity_tables_have_no_limit(spark):
-    """More words, prefixes and bigrams than any of the limits that the model once had."""
-    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
-    text = " ".join(f"w{i * 7919 % 1000003}" for i in range(70_000))
-    docs = spark.createDataFrame([(i, text) for i in ids[:12]], "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids[:12])], "doc_id long, toxic int"))
-    assert model.pairs.count() == 70_000 and model.words.count() == 70_000 and model.leads.count() == 70_000
-
-
-def test_toxicity_shares_every_word(spark):
-    """Counts and log probabilities against plain Python, with words of the corpus that no labelled text has."""
-    r = random.Random(3)
-    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 16))) for _ in range(400)]
-    docs = [None, "", "Zq zq zq1", *(" ".join(r.choices(words, k=30)) for _ in range(60))]
-    corpus = toxicity.corpus_words(spark.createDataFrame([(t,) for t in docs], "text string"))
-    counts = Counter(w for t in docs for w in set(toxicity.words_of(t)))
-    assert {r.w: r.n for r in corpus.collect()} == counts and counts["zq"] == 1
-    per_word = [(c, w, r.randint(1, 5)) for c in (0, 1) for w in r.sample(words, 150)]
-    discounts = {0: 0.6, 1: 0.8}
-
-    def ends(w):
-        return [w[:k] for k in range(1, min(len(w), toxicity.DEPTH) + 1)] + [w[: toxicity.DEPTH] + toxicity.STOP]
-
-    own, shared, kids = ({0: Counter(), 1: Counter()}, Counter(), {0: defaultdict(set), 1: defaultdict(set)})
-    for c, w, n in per_word:
-        own[c][""] += n
-        for x in ends(w):
-            own[c][x] += n
-            kids[c][x[:-1]].add(x)
-    for w, n in counts.items():
-        shared.update(dict.fromkeys(["", *ends(w)], n))
-    known = {x for x in own[0] | own[1] if own[0][x] + own[1][x] >= toxicity.LEAST}
-
-    def log(x, c):
-        if not x:
-            return 0.0
-        of, up = own[c][x[:-1]], x[:-1]
-        share = (shared[x] + own[0][x] + own[1][x]) / (shared[up] + own[0][up] + own[1][up])
-        d = discounts[c]
-        return log(up, c) + float(np.log(max(own[c][x] - d, 0) / of + min(1, d * max(len(kids[c][up]), 1) / of) * share if of else share))
-
-    want = {w: next((x for x in reversed(ends(w)) if x in known), None) for w in counts}
-    got = {r.w: (r.l0, r.l1) for r in toxicity.word_logs(spark.createDataFrame(per_word, "toxic int, w string, contexts long"), corpus, discounts).collect()}
-    assert set(got) == {w for w, x in want.items() if x} and set(got) - {w for _, w, _ in per_word}
-    assert all(np.allclose(got[w], [log(want[w], c) for c in (0, 1)]) for w in got)
+def test_toxicity_is_kneser_ney(spark, monkeypatch):
+    """Counts, shared backoff and log ratios against plain Python, with words of the corpus that no labelled text has."""
+    monkeypatch.setattr(toxicity, "HELD", 150)
+    r, order = random.Random(3), toxicity.ORDER
+    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 16))) for _ in range(200)]
+    rows = [(c, " ".join(r.choices(words[60 * c :][:120], k=30))) for c in (0, 1, 0, 0) for _ in range(8)]
+    corpus = [None, "", "Zq zq zq1", *(t for _, t in rows), *(" ".join(r.choices(words, k=30)) for _ in range(20))]
+
+    def spelt(texts):
+        found = Counter()
+        for t in texts:
+            for w in set(re.findall(r"\w+", (t or "").lower())):
+                s = "^" + w + "$"
+                found.update(s[max(0, i + 1 - order) : i + 1] for i in range(1, len(s)))
+        return found
+
+    top = spelt(corpus)
+    strings = {g[j:] for g in top for j in range(len(g))}
+    count = Counter(top)
+    count.update(g[1:] for g in strings if len(g) > 1)
+    after = defaultdict(Counter)
+    for g, n in count.items():
+        after[g[:-1]][g] = n
+    discount = {}
+    for size in range(1, order + 1):
+        n1, n2 = (sum(n == k and len(g) == size for g, n in count.items()) for k in (1, 2))
+        discount[size] = n1 / (n1 + 2 * n2) if n1 else 0.5
+    letters = sum(len(g) == 1 for g in strings)
+
+    def shared(g):
+        if not g:
+            return 1 / letters
+        mine, d = after[g[:-1]], discount[len(g)]
+        return (max(mine[g] - d, 0) + d * len(mine) * shared(g[1:])) / sum(mine.values())
+
+    own, total, left = {}, defaultdict(Counter), defaultdict(Counter)
+    for c in (0, 1):
+        mine = spelt(t for k, t in rows if k == c)
+        n1, n2 = (sum(n == k for n in mine.values()) for k in (1, 2))
+        own[c] = {g: max(0, n - 1 - n1 / (n1 + 2 * n2)) for g, n in mine.items()}
+        for g, n in mine.items():
+            total[c][g[:-1]] += n
+            left[c][g[:-1]] += own[c][g]
+    want = {}
+    for g in {*own[0], *own[1]}:
+        h = g[:-1]
+        if left[0][h] and left[1][h]:
+            mass = min(left[c][h] / total[c][h] for c in (0, 1))
+            p = [mass * own[c].get(g, 0) / left[c][h] + (1 - mass) * shared(g) for c in (0, 1)]
+            if p[0] != p[1]:
+                want[g] = float(np.log(p[1] / p[0]))
+    classes = common.settle(toxicity.count_grams(toxicity.count_words(spark.createDataFrame(rows, "toxic int, text string"))))
+    everything = toxicity.count_words(spark.createDataFrame([(0, t) for t in corpus], "toxic int, text string"))
+    assert {x.w: x.n for x in everything.collect()} == Counter(w for t in corpus for w in set(toxicity.words_of(t)))
+    grams = common.settle(toxicity.count_grams(everything).select("gram", "n"))
+    assert {x.gram: x.n for x in grams.collect()} == top
+    backoff = toxicity.shared_probability(grams, classes.select("gram"))
+    assert all(abs(x.shared - shared(x.gram)) < 1e-12 for x in backoff.collect())
+    got = {x.gram: x.r for x in toxicity.log_ratios(classes, backoff).collect()}
+    assert set(want) <= set(got) and len(want) > 50
+    assert all(abs(got[g] - want.get(g, 0)) < 1e-9 for g in got)
+    names = sorted(got)
+    hashed = toxicity.gram_hashes(names)
+    at = np.argsort(hashed)
+    model = toxicity.Model(hashed[at], np.array([got[g] for g in names])[at])
+    for w, ratio in zip(words, toxicity.word_ratios(words, model)):
+        assert abs(ratio - sum(want.get(g, 0) for g in toxicity.grams_of(w))) < 1e-9
 
 
 CHAT = "conv_id long, turn int, role string, text string, source string"
