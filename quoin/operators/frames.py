@@ -43,7 +43,7 @@ def projective_points(spark, d):
     return bound(spark, d, "walls").select("plan", "ord", (F.round(p["x"], 6) + 0.0).alias("x"), (F.round(p["y"], 6) + 0.0).alias("y"), R.one_sign(ends, MATRIX).alias("one_sign"))
 
 
-@query("corner_guard", (70, 340, 345), """
+@query("corner_guard", (70, 345), """
 WITH q AS (SELECT plan, ord, x1/10 + 9 AS x, 8 + y1/10 AS y FROM {walls})
 SELECT plan, ord, 10*y > 0 AND (x - 10)*(8 - y) - y*(0 - x) > 0 AND 8*x > 0 AND 80 > 0 AS convex FROM q""")
 def corner_guard(spark, d):
@@ -62,7 +62,7 @@ def analysis_budget(spark, d):
     return bound(spark, d, "part").select("p_partkey", F.when(each >= 5, each).alias("seconds"))
 
 
-@query("layout_summary", (79, 304), """
+@query("layout_summary", (79,), """
 SELECT plan, ord, round_even((x0+x1)/2/16*1000, 0)/1000 AS cx, round_even((1 - (y0+y1)/2/16)*1000, 0)/1000 AS cy FROM {rooms}""")
 def layout_summary(spark, d):
     """Normalised centres with the y axis turned down, to three places, ties to even."""
@@ -108,7 +108,7 @@ def aligned_extension(spark, d):
     return j.groupBy("plan", "ord").agg(F.min(F.struct(delta.alias("a"), F.abs(F.col("x1") - F.col("ox")).alias("b"), "other")).alias("m")).select("plan", "ord", "m.other")
 
 
-@query("face_ids", (210, 305), """
+@query("face_ids", (210,), """
 WITH c AS (SELECT plan, ord, round_even((x0+x1)/2*100, 0) AS cx, round_even((y0+y1)/2*100, 0) AS cy, round_even((x1-x0)*(y1-y0)*100, 0) AS a FROM {rooms})
 SELECT plan, ord, concat('face_', substr(sha1(concat(CAST(CAST(cx AS BIGINT) AS VARCHAR), '|', CAST(CAST(cy AS BIGINT) AS VARCHAR), '|', CAST(CAST(a AS BIGINT) AS VARCHAR))), 1, 10)) AS face_id FROM c""")
 def face_ids(spark, d):

@@ -275,3 +275,39 @@ def clear_rooms(spark, d):
 
     both = bounds(w.where((dx < 2.5 * dy) & (dy >= 2.5 * dx)), "x", "y").join(bounds(w.where(dx >= 2.5 * dy), "y", "x"), ["plan", "ord"])
     return both.where("width > 0.25 and depth > 0.25")
+
+
+@query("footprint_clearance", (64,), """
+WITH j AS (SELECT l.plan, l.ord, f.ord AS item, f.w/2 AS hx, f.d/2 AS hy, cos(radians(-f.rot)) AS c, sin(radians(-f.rot)) AS s, l.x - f.x AS px, l.y - f.y AS py, -f.x AS qx, -f.y AS qy FROM {labels_px} l JOIN {furniture} f ON f.plan = l.plan),
+k AS (SELECT plan, ord, item, hx, hy, px*c - py*s AS ax, px*s + py*c AS ay, qx*c - qy*s AS bx, qx*s + qy*c AS by_ FROM j),
+t AS (SELECT *, CASE WHEN bx = ax THEN CASE WHEN abs(ax) > hx THEN 2 ELSE 0 END ELSE least((-hx-ax)/(bx-ax), (hx-ax)/(bx-ax)) END AS x0, CASE WHEN bx = ax THEN 1 ELSE greatest((-hx-ax)/(bx-ax), (hx-ax)/(bx-ax)) END AS x1,
+ CASE WHEN by_ = ay THEN CASE WHEN abs(ay) > hy THEN 2 ELSE 0 END ELSE least((-hy-ay)/(by_-ay), (hy-ay)/(by_-ay)) END AS y0, CASE WHEN by_ = ay THEN 1 ELSE greatest((-hy-ay)/(by_-ay), (hy-ay)/(by_-ay)) END AS y1, (bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) AS l2 FROM k),
+u AS (SELECT t.*, sx*hx AS cx, sy*hy AS cy FROM t, (VALUES (-1), (1)) a(sx), (VALUES (-1), (1)) b(sy)),
+v AS (SELECT *, CASE WHEN l2 <= 1e-12 THEN 0 ELSE least(greatest(((cx-ax)*(bx-ax) + (cy-ay)*(by_-ay))/l2, 0), 1) END AS f FROM u),
+d AS (SELECT plan, ord, item, bool_and(greatest(x0, y0, 0) <= least(x1, y1, 1)) AS hit, min(sqrt((ax + f*(bx-ax) - cx)*(ax + f*(bx-ax) - cx) + (ay + f*(by_-ay) - cy)*(ay + f*(by_-ay) - cy))) AS corner,
+ min(sqrt(greatest(abs(ax)-hx, 0)*greatest(abs(ax)-hx, 0) + greatest(abs(ay)-hy, 0)*greatest(abs(ay)-hy, 0))) AS pa, min(sqrt(greatest(abs(bx)-hx, 0)*greatest(abs(bx)-hx, 0) + greatest(abs(by_)-hy, 0)*greatest(abs(by_)-hy, 0))) AS pb FROM v GROUP BY ALL)
+SELECT plan, ord, item, round(CASE WHEN hit THEN 0 ELSE least(corner, pa, pb) END, 5) + 0.0 AS clearance FROM d""")
+def footprint_clearance(spark, d):
+    """Distance from the way between each label and the origin to each turned footprint of its plan; 0 if it meets it.
+
+    In the footprint's own frame: the segment clipped to two slabs, else the least distance of a corner to the segment or
+    of one of its ends to the rectangle.
+    """
+    f = bound(spark, d, "furniture").select("plan", F.col("ord").alias("item"), F.col("x").alias("fx"), F.col("y").alias("fy"), (F.col("w") / 2).alias("hx"), (F.col("d") / 2).alias("hy"), F.radians(-F.col("rot")).alias("turn"))
+    j = bound(spark, d, "labels_px").select("plan", "ord", "x", "y").join(f, "plan")
+    c, s = F.cos("turn"), F.sin("turn")
+    local = lambda x, y: ((x - F.col("fx")) * c - (y - F.col("fy")) * s, (x - F.col("fx")) * s + (y - F.col("fy")) * c)
+    (ax, ay), (bx, by) = local(F.col("x"), F.col("y")), local(F.lit(0.0), F.lit(0.0))
+    k = j.select("plan", "ord", "item", "hx", "hy", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    ax, ay, bx, by, hx, hy = (F.col(v) for v in ("ax", "ay", "bx", "by", "hx", "hy"))
+
+    def slab(a, b, half):
+        low, high = F.try_divide(-half - a, b - a), F.try_divide(half - a, b - a)
+        return F.when(a == b, F.when(F.abs(a) > half, 2.0).otherwise(0.0)).otherwise(F.least(low, high)), F.when(a == b, 1.0).otherwise(F.greatest(low, high))
+
+    (x0, x1), (y0, y1) = slab(ax, bx, hx), slab(ay, by, hy)
+    corner = F.least(*[G.segment_distance(sx * hx, sy * hy, ax, ay, bx, by) for sx in (-1, 1) for sy in (-1, 1)])
+    beyond = lambda a, half: F.greatest(F.abs(a) - half, F.lit(0.0))
+    ends = [F.sqrt(beyond(x, hx) ** 2 + beyond(y, hy) ** 2) for x, y in ((ax, ay), (bx, by))]
+    clear = F.when(F.greatest(x0, y0, F.lit(0.0)) <= F.least(x1, y1, F.lit(1.0)), 0.0).otherwise(F.least(corner, *ends))
+    return k.select("plan", "ord", "item", (F.round(clear, 5) + 0.0).alias("clearance"))

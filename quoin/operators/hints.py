@@ -19,7 +19,7 @@ def hint_geometry(spark, d):
     return w.select("plan", "ord", (F.col("x1") / 10 * 12.5).alias("x"), ((1 - F.col("y1") / 10) * 8).alias("y"), size.alias("size"), "confidence")
 
 
-@query("stair_like", (81, 96, 97, 234), """
+@query("stair_like", (81, 96, 234), """
 WITH r AS (SELECT plan, ord, x0, y0, x1-x0 AS w, y1-y0 AS h, 2 + ord*3 % 31 AS lines FROM {rooms})
 SELECT plan, ord, x0 + w/2 AS cx, y0 + h/2 AS cy, w, h, least(1, 0.72e0 + 0.02e0*lines) AS confidence FROM r
 WHERE lines BETWEEN 4 AND 30 AND w/h BETWEEN 0.35 AND 2.8 AND greatest(w, h)/lines BETWEEN 0.045 AND 0.35""")
@@ -118,7 +118,7 @@ def validation_report(spark, d):
     return o.withColumn("gate", F.when(F.col("openings") > 4, "blocked").when(F.col("walls") < 2, "review").otherwise("ready"))
 
 
-@query("sides_to_rectangle", (64,), """
+@query("sides_to_rectangle", (), """
 WITH f AS (SELECT w.plan, w.ord, x1 - 5 AS ax, y1 - 5 AS ay, x2 - 5 AS bx, y2 - 5 AS by_ FROM {walls} w),
 p AS (SELECT *, CASE WHEN bx = ax THEN CASE WHEN abs(ax) <= 1 THEN 0 ELSE 2 END ELSE least((-1-ax)/(bx-ax), (1-ax)/(bx-ax)) END AS tx0, CASE WHEN bx = ax THEN CASE WHEN abs(ax) <= 1 THEN 1 ELSE -1 END ELSE greatest((-1-ax)/(bx-ax), (1-ax)/(bx-ax)) END AS tx1,
  CASE WHEN by_ = ay THEN CASE WHEN abs(ay) <= 2 THEN 0 ELSE 2 END ELSE least((-2-ay)/(by_-ay), (2-ay)/(by_-ay)) END AS ty0, CASE WHEN by_ = ay THEN CASE WHEN abs(ay) <= 2 THEN 1 ELSE -1 END ELSE greatest((-2-ay)/(by_-ay), (2-ay)/(by_-ay)) END AS ty1 FROM f)

@@ -146,7 +146,7 @@ def absent_runs(spark, d):
     return holes.select("plan", "a", "b", (F.col("b") - F.col("a") + 1).alias("n")).where("n > 2")
 
 
-@query("collinear_gaps", (172, 305), None)
+@query("collinear_gaps", (172,), None)
 def collinear_gaps(spark, d):
     """Gaps between neighbouring collinear walls of a plan, grouped by the running mean of their line."""
     from quoin.operators.grouped import gaps

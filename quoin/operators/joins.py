@@ -70,7 +70,7 @@ def label_room(spark, d):
     return joined.groupBy("plan", "room").agg(F.min_by("name", key).alias("name"))
 
 
-@query("missing_label", (95, 112), """
+@query("missing_label", (112,), """
 WITH l AS (SELECT * FROM {labels_px} l WHERE confidence >= 0.6 AND NOT EXISTS (SELECT 1 FROM {rooms} r WHERE r.plan = l.plan AND l.x BETWEEN r.x0 AND r.x1 AND l.y BETWEEN r.y0 AND r.y1))
 SELECT plan, lower(name) AS label, CAST(round_even(x*10, 0) AS BIGINT) AS cx, CAST(round_even(y*10, 0) AS BIGINT) AS cy, min(ord) AS ord FROM l GROUP BY ALL""")
 def missing_label(spark, d):
