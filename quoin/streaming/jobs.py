@@ -15,6 +15,7 @@ from quoin.registry import query
 REVIEWABLE = ("needs_review", "model_generated", "blocked", "generation_failed")
 TRANSITIONS = [
     ("upload_invalid", ("created",), "rejected", False),
+    ("discard", ("created",), "discarded", False),
     ("start", ("created",), "processing", False),
     ("worker_ok", ("processing",), "needs_review", False),
     ("worker_failed", ("processing",), "failed", False),
@@ -25,7 +26,11 @@ TRANSITIONS = [
     ("generate_ok", ("generating",), "model_generated", True),
     ("generate_blocked", ("generating",), "blocked", False),
     ("generate_failed", ("generating",), "generation_failed", False),
+    ("timeout", ("processing",), "failed", False),
+    ("timeout", ("generating",), "generation_failed", False),
 ]
+#: Seconds after which a working job is given up; states that work.
+LIMIT, WORKING = 900, ("processing", "generating")
 RESTART = {"processing": "failed", "generating": "generation_failed", "saving_corrections": "needs_review"}
 TABLE = {(event, state): (to, bump) for event, states, to, bump in TRANSITIONS for state in states}
 
@@ -42,47 +47,66 @@ def step(state: str, before: str, version: int, event: str) -> tuple[str, str, i
     return before if to == "restored" else to, before, version + bump, True
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """job, state, version, taken, refused: events (job, ts, event_id, event) in the order of (ts, event_id)."""
+def fold(events: DataFrame, limit: float | None = None) -> DataFrame:
+    """job, state, version, taken, refused: events (job, ts in seconds, event_id, event) in the order of (ts, event_id).
+
+    A job that works for more than `limit` seconds when its next event comes has run into its timeout before that.
+    """
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        state, before, version, taken = "created", "created", 0, 0
-        for event in part.sort_values(["ts", "event_id"])["event"]:
+        state, before, version, taken, since = "created", "created", 0, 0, 0.0
+        for at, event in part.sort_values(["ts", "event_id"])[["ts", "event"]].itertuples(index=False):
+            if limit is not None and state in WORKING and at - since > limit:
+                state, before, version, _ = step(state, before, version, "timeout")
+            was = state
             state, before, version, ok = step(state, before, version, event)
+            since = at if state != was else since
             taken += ok
         return pd.DataFrame([(key[0], state, version, taken, len(part) - taken)], columns=["job", "state", "version", "taken", "refused"])
 
     return events.groupBy("job").applyInPandas(run, "job long, state string, version long, taken long, refused long")
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: a row for each job and micro-batch with its state by then."""
+def fold_stream(events: DataFrame, limit: float | None = None) -> DataFrame:
+    """The same over a stream: a row for each job and micro-batch with its state by then.
+
+    With a limit a timer runs while a job works; a job without an event until it rings has its timeout then.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    columns = ["job", "state", "version", "taken", "refused"]
+
     def run(key, parts: Iterator[pd.DataFrame], held: GroupState):
         state, before, version, taken, refused = held.get if held.exists else ("created", "created", 0, 0, 0)
-        rows = pd.concat(list(parts))
-        for event in rows.sort_values(["ts", "event_id"])["event"]:
-            state, before, version, ok = step(state, before, int(version), event)
-            taken, refused = taken + ok, refused + (not ok)
+        if held.hasTimedOut:
+            state, before, version, _ = step(state, before, int(version), "timeout")
+        else:
+            rows = pd.concat(list(parts))
+            for event in rows.sort_values(["ts", "event_id"])["event"]:
+                state, before, version, ok = step(state, before, int(version), event)
+                taken, refused = taken + ok, refused + (not ok)
         held.update((state, before, int(version), int(taken), int(refused)))
-        yield pd.DataFrame([(key[0], state, version, taken, refused)], columns=["job", "state", "version", "taken", "refused"])
+        if limit is not None and state in WORKING:
+            held.setTimeoutDuration(int(limit * 1000))
+        yield pd.DataFrame([(key[0], state, version, taken, refused)], columns=columns)
 
     out = "job long, state string, version long, taken long, refused long"
     kept = "state string, before string, version long, taken long, refused long"
-    return events.groupBy("job").applyInPandasWithState(run, out, kept, "update", GroupStateTimeout.NoTimeout)
+    timer = GroupStateTimeout.NoTimeout if limit is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("job").applyInPandasWithState(run, out, kept, "update", timer)
 
 
 def job_events(events: DataFrame) -> DataFrame:
     """Job events from the event table: the event's kind by its number."""
-    names = F.array(*[F.lit(t[0]) for t in TRANSITIONS], F.lit("restart"))
-    which = F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise((F.col("event_id") * 7 + F.col("user_id")) % F.lit(len(TRANSITIONS) + 1))
-    return events.select(F.col("user_id").alias("job"), "ts", "event_id", F.get(names, which.cast("int")).alias("event"))
+    kinds = [*dict.fromkeys(t[0] for t in TRANSITIONS if t[0] != "timeout"), "restart"]
+    which = F.when(F.col("event_id") % 3 == 0, F.lit(kinds.index("start"))).otherwise((F.col("event_id") * 7 + F.col("user_id")) % F.lit(len(kinds)))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return events.select(F.col("user_id").alias("job"), seconds.alias("ts"), "event_id", F.get(F.array(*map(F.lit, kinds)), which.cast("int")).alias("event"))
 
 
-@query("job_fsm", (275, 276, 277, 278, 281, 306), None)
+@query("job_fsm", (275, 276, 277, 278, 280, 281, 306, 307), None)
 def job_fsm(spark, d):
-    return fold(job_events(bound(spark, d, "events")))
+    return fold(job_events(bound(spark, d, "events")), LIMIT * 3600)  # events lie hours apart
 
 
 @query("review_staleness", (246, 284), """

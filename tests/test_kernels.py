@@ -172,3 +172,18 @@ def test_suppression_and_merging():
     walls = [(0, 0.0, 0.0, 1.0, 0.1), (1, 0.1, 1.1, 2.0, 0.3), (2, 3.0, 0.0, 1.0, 0.1)]
     assert [m[:2] for m in grouped.merged(walls, 0.2, 0.15)] == [(0, 2), (2, 1)]
     assert grouped.pulled([(0, 0), (1, 0), (2, 0)], lambda p, q: True) == [(0, 0), (2, 0)]
+
+
+def test_jobs_time_out_and_are_discarded(spark):
+    rows = [(1, 0.0, 1, "start"), (1, 2000.0, 2, "worker_ok"), (2, 0.0, 1, "start"), (2, 100.0, 2, "worker_ok"), (3, 0.0, 1, "discard"), (3, 1.0, 2, "start"), (4, 0.0, 1, "start"), (4, 1.0, 2, "discard")]
+    got = {r.job: (r.state, r.taken) for r in jobs.fold(spark.createDataFrame(rows, "job long, ts double, event_id long, event string"), 900).collect()}
+    assert got == {1: ("failed", 1), 2: ("needs_review", 2), 3: ("discarded", 1), 4: ("processing", 1)}
+
+
+def test_affine_texts():
+    from quoin.functions.transforms import affine
+
+    assert affine("") == affine("  ") == (1, 0, 0, 1, 0, 0) and affine(None) is None
+    assert affine("translate(3)scale(2)") == (2, 0, 0, 2, 3, 0) and affine("scale(2),translate(3 4)") == (2, 0, 0, 2, 6, 8)
+    assert affine("rotate(90)") == pytest.approx((0, 1, -1, 0, 0, 0), abs=1e-12) and affine("rotate(180, 5, 1)") == pytest.approx((-1, 0, 0, -1, 10, 2), abs=1e-12)
+    assert affine("scale()") is affine("rotate(1 2)") is affine("skewX(1)") is affine("scale(2) rest") is affine("scale(nan)") is None
