@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,52 @@ def registry_lookup(spark, d):
     r = P.registry(spark, '{"Double  Bed": {"file": "bed.glb"}, "COUCH": {"file": "sofa.glb"}}').select("key", F.get_json_object("entry", "$.file").alias("asset"))
     f = bound(spark, d, "furniture").withColumn("key", material_key(F.col("category")))
     return f.join(F.broadcast(r), "key", "left").select("plan", "ord", "asset")
+
+
+_SCENE = """CASE p_partkey % 5 WHEN 0 THEN '{"meshes":[{"primitives":[{"attributes":{"POSITION":0}}]}],"nodes":[{"mesh":0}],"accessors":[{"min":[0,0,0],"max":[1,2,3]}]}' WHEN 1 THEN '{"meshes":[],"nodes":[]}'
+ WHEN 2 THEN '{"meshes":[{"primitives":[{"attributes":{"POSITION":0}}]}],"nodes":[{"mesh":0}],"accessors":[{"max":[1,2,3]}]}' WHEN 3 THEN '{"meshes":' ELSE '{"nodes":[{}]}' END"""
+
+
+@query("glb_reports", (32,), """
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, p_partkey % 7 = 0 AS cut FROM part)
+SELECT p_partkey, CASE WHEN NOT cut AND k IN (0, 2) THEN 1 ELSE 0 END AS meshes, CASE WHEN cut THEN 'broken header' WHEN k = 0 THEN '' WHEN k = 2 THEN 'invalid or missing bounds' WHEN k = 3 THEN 'broken scene' ELSE 'invalid or missing bounds; no geometry found' END AS issues, NOT cut AND k = 0 AS valid FROM p""")
+def glb_reports(spark, d):
+    """Models checked from their bytes: header, scene, bounds and geometry; every seventh file is a byte short."""
+    from quoin.sources.files import glb_report
+
+    scene = F.expr(_SCENE).cast("binary")
+    low = lambda n: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 8, "0"), F.lit("(..)"))), "")  # noqa: E731  little-endian
+    size = F.octet_length(scene)
+    whole = F.concat(F.unhex(F.concat(F.lit("676C5446" "02000000"), low(size + 20), low(size), F.lit("4A534F4E"))), scene)
+    data = F.when(F.col("p_partkey") % 7 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).otherwise(whole)
+    r = bound(spark, d, "part").select("p_partkey", glb_report(data).alias("r"))
+    return r.select("p_partkey", "r.meshes", F.array_join("r.issues", "; ").alias("issues"), "r.valid")
+
+
+@query("embedded_materials", (350,), """
+WITH a AS (SELECT l_orderkey AS plan, concat('r', CAST(l_partkey % 4 AS VARCHAR)) AS target, arg_max(concat('preset', CAST(l_suppkey % 5 AS VARCHAR)), ord) AS preset FROM {lines} GROUP BY ALL),
+m AS (SELECT r.plan, r.id, coalesce(a.preset, 'fallback') AS preset FROM {rooms} r LEFT JOIN a ON a.plan = r.plan AND a.target = r.id)
+SELECT plan, concat('{"material_plan":{', string_agg(concat('"', id, '":"', preset, '"'), ',' ORDER BY id), '}}') AS metadata FROM m GROUP BY plan""")
+def embedded_materials(spark, d):
+    """A renderer's copy of each plan's metadata with the preset of every room in it."""
+    a = bound(spark, d, "lines").groupBy(F.col("l_orderkey").alias("plan"), F.concat(F.lit("r"), (F.col("l_partkey") % 4).cast("string")).alias("id"))
+    last = a.agg(F.max_by(F.concat(F.lit("preset"), (F.col("l_suppkey") % 5).cast("string")), "ord").alias("preset"))
+    m = bound(spark, d, "rooms").select("plan", "id").join(last, ["plan", "id"], "left").select("plan", "id", F.coalesce("preset", F.lit("fallback")).alias("preset"))
+    plan = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "preset"))))
+    return m.groupBy("plan").agg(F.to_json(F.struct(plan.alias("material_plan"))).alias("metadata"))
+
+
+@query("json_replaced", (24,), "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def json_replaced(spark, d):
+    """A report of counts, written as one JSON file that replaces an older one at once, and read back."""
+    import tempfile
+
+    from quoin.sources.files import replace_json
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quoin-")
+    counts = bound(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a source
+    path = f"{folder.rstrip('/')}/quoin-report-{uuid.uuid4().hex}.json"
+    for rows in ([], counts):
+        replace_json(spark, path, {"counts": [{"source": r["source"], "n": r["n"]} for r in rows]})
+    read = spark.read.schema("counts array<struct<source:string,n:long>>").option("multiLine", True).json(path)
+    return read.select(F.inline("counts"))
