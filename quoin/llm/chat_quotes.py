@@ -4,7 +4,7 @@ A line that starts with one or more `>` (spaces and tabs may stand between) is q
 level.  A passage is a line's content with runs of white space made one space and the ends stripped; its SHA-256
 links it.  A quoted passage comes from the first message of its conversation, before the quoting one, whose own
 lines (level 0) hold that passage.  A message replies to the source of most of its shallowest linked level (ties:
-the later turn), otherwise to the turn just before it, if there is one.
+the later turn), otherwise to the turn whose number is one less, if there is one.
 """
 
 from __future__ import annotations
