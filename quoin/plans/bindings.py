@@ -44,6 +44,11 @@ VIEWS = {
         CAST(l_partkey % 64 AS DOUBLE) / 8 AS x0, CAST(l_suppkey % 64 AS DOUBLE) / 8 AS y0,
         CAST(l_partkey % 64 + 8 + l_linenumber * 4 AS DOUBLE) / 8 AS x1,
         CAST(l_suppkey % 64 + 8 + l_quantity AS DOUBLE) / 8 AS y1 FROM {lines} WHERE l_linestatus = 'O'""",
+    # The four sides of every room as walls.
+    "room_walls": """SELECT plan, ord * 4 + side AS ord, concat('w', CAST(ord * 4 + side AS VARCHAR(10))) AS id,
+        CASE side WHEN 1 THEN x1 ELSE x0 END AS x1, CASE side WHEN 2 THEN y1 ELSE y0 END AS y1,
+        CASE side WHEN 3 THEN x0 ELSE x1 END AS x2, CASE side WHEN 0 THEN y0 ELSE y1 END AS y2, CAST(0.125 AS DOUBLE) AS thickness
+        FROM (SELECT * FROM {rooms}) r CROSS JOIN (VALUES (0), (1), (2), (3)) s(side)""",
     "labels_px": """SELECT l_orderkey AS plan, ord, CAST((l_partkey * 5 + l_linenumber * 3) % 128 AS DOUBLE) / 8 AS x,
         CAST((l_suppkey * 9 + l_linenumber) % 128 AS DOUBLE) / 8 AS y, 1 - l_discount * 5 AS confidence,
         concat(CASE l_linenumber % 4 WHEN 0 THEN 'Kitchen' WHEN 1 THEN 'Bedroom' WHEN 2 THEN 'Bath' ELSE 'Hall' END,

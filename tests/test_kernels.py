@@ -187,3 +187,25 @@ def test_affine_texts():
     assert affine("translate(3)scale(2)") == (2, 0, 0, 2, 3, 0) and affine("scale(2),translate(3 4)") == (2, 0, 0, 2, 6, 8)
     assert affine("rotate(90)") == pytest.approx((0, 1, -1, 0, 0, 0), abs=1e-12) and affine("rotate(180, 5, 1)") == pytest.approx((-1, 0, 0, -1, 10, 2), abs=1e-12)
     assert affine("scale()") is affine("rotate(1 2)") is affine("skewX(1)") is affine("scale(2) rest") is affine("scale(nan)") is None
+
+
+def test_walls_are_reconstructed():
+    from quoin.operators import rooms
+
+    raw = [(0, 0, 2, 0.05, 0.1), (2.1, 0, 4, 0, 0.2), (4.05, -0.1, 4.05, 3, 0.1), (0, 3, 4.2, 3, 0.1), (0, 0.1, 0, 2.9, 0.1), (1, 1, 1.1, 1, 0.1)]
+    got = rooms.reconstructed([(*map(float, w),) for w in raw])
+    assert len(got) == 4 and got[0][4] == 0.2 and (got[0][0], got[0][2]) == (0, 4.05)
+    (ring,) = rooms.rooms_of(got)
+    assert len(ring) >= 4 and abs(rooms.ring_area(ring) - 4.05 * 3) < 0.3
+    assert rooms.carried([ring], [(9, 9, 10, 10), (0, 0, 4, 3)]) == [1] and rooms.carried([ring], []) == [None]
+    assert abs(rooms.common_area(ring, (1, 1, 2, 2)) - 1) < 1e-9
+
+
+def test_rooms_need_closed_walls():
+    from quoin.operators import rooms
+
+    box = [(0.0, 0.0, 3.0, 0.0, 0.1), (3.0, 0.1, 3.0, 3.0, 0.1), (3.0, 3.0, 0.0, 3.0, 0.1), (0.0, 3.0, 0.0, 0.0, 0.1)]
+    (ring,) = rooms.rooms_of(box)  # ends that miss each other both move
+    assert abs(rooms.ring_area(ring) - 9) < 0.2
+    gap = [(0.0, 0.0, 1.0, 0.0, 0.1), (1.15, 0.0, 3.0, 0.0, 0.1), *box[1:]]
+    assert len(rooms.rooms_of(gap)) == 1 and rooms.rooms_of([(0.0, 0.0, 1.0, 0.0, 0.1), (2.0, 0.0, 3.0, 0.0, 0.1), *box[1:]]) == []
