@@ -1,12 +1,15 @@
-"""Suffix sorting in external memory by recursive induction.
+"""Suffix sorting in external memory by recursive induction, with common prefixes.
 
 A suffix is *S* if it is smaller than its successor, else *L*; an S suffix after an L one is *LMS*.  One level does this:
 
 1. every LMS suffix sends the tuple (symbols up to the next LMS, position) through a queue; equal symbol strings get
-   equal names, in sorted order;
-2. if names repeat, the string of names is sorted by recursion, which ranks the LMS suffixes (a third of all, or fewer);
+   equal names, in sorted order, and neighbouring names what they have in common at the beginning;
+2. if names repeat, the string of names is sorted by recursion, which ranks the LMS suffixes (a third of all, or fewer)
+   and hands back what neighbours have in common, in bytes;
 3. every suffix sends (symbols up to the next LMS, rank of what follows, position) through a queue: the order in which
-   the tuples come out is induced from the ranks of the LMS suffixes, and is the suffix array.
+   the tuples come out is induced from the ranks of the LMS suffixes, and is the suffix array.  What neighbours have in
+   common is read off their symbols, or, if these are equal, is induced from the common prefixes of the LMS suffixes
+   that follow: the least between their ranks.
 
 A symbol carries its suffix's type in its lowest bit, so a string that ends at an LMS is never the start of another.
 Strings longer than a tuple's word are ranked in turns, each from the ranks that the turn before gave to the rests.
@@ -22,7 +25,7 @@ import tempfile
 import numpy as np
 
 #: Tuples (24 bytes each) that a queue holds in memory.
-RUN = 4_000_000
+RUN = 400_000
 BLOCK = 65_536
 
 
@@ -128,12 +131,47 @@ def _keys(symbols, next_lms, at, width: int, bits: int):
     return key
 
 
-def suffix_array(text, run: int = RUN):
-    """Positions of the sorted suffixes of an integer array whose last symbol is its only smallest; at least 0."""
+class LeastBetween:
+    """Least of the values after one index up to another, by tables of stretches of doubling length."""
+
+    def __init__(self, values):
+        self.tables = [np.asarray(values)]
+        while 2 << len(self.tables) - 1 <= len(values):
+            last, half = self.tables[-1], 1 << len(self.tables) - 1
+            self.tables.append(np.minimum(last[:-half], last[half:]))
+
+    def __call__(self, low, high):
+        """min(values[low + 1 .. high]) for arrays low < high."""
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        out = np.empty(len(low), dtype=np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            table = self.tables[k]
+            out[at] = np.minimum(table[low[at] + 1], table[high[at] - (1 << int(k)) + 1])
+        return out
+
+
+def _runs_left(text):
+    """How many equal symbols there are from each position on."""
+    n = len(text)
+    last = np.concatenate([np.flatnonzero(text[:-1] != text[1:]), [n - 1]])
+    return last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
+
+
+def suffix_array(text, run: int = RUN, limit: int | None = None, place=None, inside=None):
+    """(order, common) of an integer array whose last symbol is its only smallest; at least 0.
+
+    order: positions of the sorted suffixes.  common: what each has in common with the one before it, `limit` at most.
+    It is counted in places: `place` of each position (by default its index); inside(a, b) is what two different symbols
+    have in common at their beginning (by default nothing).
+    """
     text = np.asarray(text, dtype=np.int64)
     n = len(text)
+    place = np.arange(n) if place is None else place
+    limit = n + int(place[-1]) + 1 if limit is None else limit
+    inside = inside or (lambda a, b: np.zeros(len(a), dtype=np.int64))
     if n <= 2:
-        return np.arange(n)[::-1].copy()
+        return np.arange(n)[::-1].copy(), np.zeros(n, dtype=np.int64) if n < 2 else np.array([0, min(limit, int(inside(text[1:], text[:1])[0]))])
     small = _types(text)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[1:] = small[1:] & ~small[:-1]
@@ -148,10 +186,25 @@ def suffix_array(text, run: int = RUN):
     # A longer string goes on in a second word that starts with this one's last symbol, so each word's end is plain.
     step = width - 1
     turns = np.maximum((ahead - everywhere + step - 1) // step, 1)
+    left = _runs_left(text)
+
+    def differ_at(a, b, at):
+        """Places in common of suffixes a and b, whose symbols with types are equal before `at` and differ there."""
+        x, y = a + at, b + at
+        same = text[x] == text[y]  # but for the type: one run of them ends before or goes up where the other goes down
+        more = np.where(same, np.minimum(left[x], left[y]), 0)
+        x, y = x + more, y + more
+        return np.minimum(limit, place[x] - place[a] + inside(text[x], text[y]))
+
+    def words_differ(a, b):
+        """The first of the width symbols in which the different words of a and b differ."""
+        top = np.frexp((keys[a] ^ keys[b]).astype(np.float64))[1] - 1
+        top -= (keys[a] ^ keys[b]) < (np.int64(1) << top)  # a float may round up
+        return width - 1 - top // bits
 
     def names_of(positions, follow):
-        """Dense ranks of (key, follow) over positions, in the queue's order."""
-        queue, rank = TupleQueue(run), np.zeros(n, dtype=np.int64)
+        """Dense ranks of (key, follow) over positions in the queue's order, and a position of each rank."""
+        queue, rank, first = TupleQueue(run), np.zeros(n, dtype=np.int64), []
         queue.push(keys[positions], follow[positions], positions)
         last, name = None, -1
         for rows in queue.pop():
@@ -161,8 +214,9 @@ def suffix_array(text, run: int = RUN):
                 new[0] = tuple(rows[0, :2]) != last
             names = name + np.cumsum(new)
             rank[rows[:, 2]] = names
+            first.append(rows[new, 2])
             name, last = int(names[-1]), tuple(rows[-1, :2])
-        return rank, name + 1
+        return rank, np.concatenate(first)
 
     def follow_of(base):
         """What a tuple's word is followed by: base at the next LMS, or the rank of the rest, a turn shorter."""
@@ -174,50 +228,67 @@ def suffix_array(text, run: int = RUN):
             return follow
         # Strings of several words: ranks of the rests by doubling; after k rounds a rank covers 2**k words.
         some = np.unique(np.concatenate([far, far + step]))
-        place = np.zeros(n, dtype=np.int64)
-        place[some] = np.arange(len(some))
+        spot = np.zeros(n, dtype=np.int64)
+        spot[some] = np.arange(len(some))
         over = len(some)
-        jump = np.where(near[some], over, place[np.minimum(some + step, n - 1)])
+        jump = np.where(near[some], over, spot[np.minimum(some + step, n - 1)])
         rank = np.append(_dense(_dense(keys[some]) << 31 | np.where(near[some], follow[some], 0)) + 1, 0)
         jump = np.append(jump, over)
         while (jump[:-1] != over).any():
             rank[:-1] = _dense(rank[:-1] << 31 | rank[jump[:-1]]) + 1
             jump = jump[jump]
-        follow[far] = rank[place[far + step]]
+        follow[far] = rank[spot[far + step]]
         return follow
 
+    def common_of(a, b, tail):
+        """Places in common of suffixes a and b; tail(a, b) if both are equal up to and with their next LMS."""
+        out = np.zeros(len(a), dtype=np.int64)
+        offset = np.zeros(len(a), dtype=np.int64)  # symbols of whole words, but for the last
+        open_ = np.arange(len(a))
+        while len(open_):
+            x, y = a[open_] + offset[open_], b[open_] + offset[open_]
+            other = keys[x] != keys[y]
+            at = open_[other]
+            out[at] = differ_at(a[at], b[at], offset[at] + words_differ(x[other], y[other]))
+            ends = ~other & (turns[x] == 1)
+            at = open_[ends]
+            if len(at):
+                out[at] = np.minimum(limit, place[ahead[x[ends]]] - place[a[at]] + tail(ahead[x[ends]], ahead[y[ends]]))
+            more = ~other & ~ends
+            open_ = open_[more]
+            offset[open_] += step
+            full = place[a[open_] + offset[open_]] - place[a[open_]] >= limit
+            out[open_[full]] = limit
+            open_ = open_[~full]
+        return out
+
     nothing = follow_of(np.zeros(n, dtype=np.int64))
-    names, count = names_of(lms, nothing)
+    names, first = names_of(lms, nothing)
     reduced = names[lms]
-    order = np.zeros(n, dtype=np.int64)
-    if count == len(lms):
-        order[lms] = reduced
+    # What neighbouring names have in common: the words differ somewhere, so their tails are never asked for.
+    of_names = np.concatenate([[0], common_of(first[:-1], first[1:], lambda x, y: np.zeros(len(x), dtype=np.int64))])
+    between = LeastBetween(of_names)
+    if len(first) == len(lms):
+        sorted_lms, of_lms = first, of_names
     else:
-        sorted_lms = lms[suffix_array(reduced, run)]
-        order[sorted_lms] = np.arange(len(lms))
-    follow = follow_of(order + 1)
+        order, of_lms = suffix_array(reduced, run, limit, place[lms], lambda a, b: between(np.minimum(a, b), np.maximum(a, b)))
+        sorted_lms = lms[order]
+    rank = np.zeros(n, dtype=np.int64)
+    rank[sorted_lms] = np.arange(len(lms))
+    least = LeastBetween(of_lms)
+    follow = follow_of(rank + 1)
     follow[n - 1] = 0
     queue = TupleQueue(run)
     queue.push(keys, follow, everywhere)
-    return np.concatenate([rows[:, 2] for rows in queue.pop()])
-
-
-def common_prefix(data, a, b, limit: int):
-    """min(limit, length of the common prefix) of the byte strings at a and b, eight bytes at a time."""
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    out = np.full(len(a), limit, dtype=np.int64)
-    open_ = np.arange(len(a))
-    for k in range(0, limit, 8):
-        last = len(padded) - 8
-        x, y = words[np.minimum(a[open_] + k, last)], words[np.minimum(b[open_] + k, last)]
-        differ = x != y
-        ends = differ.any(axis=1)
-        out[open_[ends]] = np.minimum(limit, k + differ[ends].argmax(axis=1))
-        open_ = open_[~ends]
-        if not len(open_):
-            break
-    return out
+    out, common, last = [], [], None
+    for rows in queue.pop():
+        now = rows[:, 2]
+        before = now[:-1] if last is None else np.concatenate([last, now[:-1]])
+        shared = common_of(before, now[len(now) - len(before) :], lambda x, y: least(rank[x], rank[y]))
+        common.append(shared if last is not None else np.concatenate([[0], shared]))
+        out.append(now)
+        last = now[-1:]
+    return np.concatenate(out), np.concatenate(common)
 
 
 def repeated_starts(strings: list[bytes], length: int, run: int = RUN) -> list:
@@ -229,12 +300,11 @@ def repeated_starts(strings: list[bytes], length: int, run: int = RUN) -> list:
     text = data.astype(np.int64) + 2
     text[begins + sizes] = 1
     ends = np.repeat(begins + sizes, sizes + 1)
-    order = suffix_array(np.concatenate([text, [0]]), run)
-    order = order[order < len(text)]
-    order = order[ends[order] - order >= length]
-    found = np.zeros(len(text), dtype=bool)
-    if len(order) > 1:
-        same = common_prefix(data, order[:-1], order[1:], length) >= length
-        found[order[1:][same]] = True
-        found[order[:-1][same]] = True
+    order, common = suffix_array(np.concatenate([text, [0]]), run, length)
+    # Of neighbours that share `length` bytes both are repeated, if both have them before the ends of their strings.
+    left = np.append(ends, 0)[order] - order
+    good = (common[1:] >= length) & (left[1:] >= length) & (left[:-1] >= length)
+    found = np.zeros(len(text) + 1, dtype=bool)
+    found[order[1:][good]] = True
+    found[order[:-1][good]] = True
     return [found[b : b + max(0, s - length + 1)] for b, s in zip(begins, sizes)]

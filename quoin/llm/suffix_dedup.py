@@ -17,7 +17,7 @@ a piece hold the same core of bytes, so a piece only meets pieces with an equal
 with the core in place of the anchor.  A task packs the groups of its shard into sorts of SHARD_BYTES at most, or one
 group.
 
-Common prefixes are measured on neighbours of the finished array, up to LENGTH, not carried through the recursion.
+The sort carries common prefixes, up to LENGTH, through its recursion beside the suffix tuples.
 """
 
 from __future__ import annotations
