@@ -1,11 +1,13 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
 
 Every document becomes a 90-byte entry (digest, check, id); texts are read once and never shuffled.  Entries are
-dealt into RUNS runs, each sorted by digest.  In each binomial round, 2**ROUND_BITS neighbouring runs merge into
-one: equal entries keep the smallest identifier and add up their sizes.  Two entries are equal only if SHA-256,
-byte length and an independent 64-bit hash all agree, so a digest collision can't join two texts.  The root's
-answer goes back down to the leaves and from them to the documents, so no task ever holds more than 1/RUNS of
-one group of copies.
+dealt into RUNS runs, each sorted by digest and, within equal digests, by identifier.  In each binomial round,
+2**ROUND_BITS neighbouring runs are exchanged and merged into one sorted run: equal entries now lie side by side, the
+first of them, which has the smallest identifier, is retained, and their sizes add up.  The sort is what decides: an
+aggregation takes the first of each stretch of a sorted run, and Spark streams through it without a hash table.  Two
+entries are equal only if SHA-256, byte length and an independent 64-bit hash all agree, which every round verifies, so
+a digest collision can't join two texts.  The root's answer goes back down to the leaves and from them to the
+documents, so no task ever holds more than 1/RUNS of one group of copies.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from quoin.llm import common
 #: Runs merged at a time are 2**ROUND_BITS.
 ROUND_BITS = 3
 ENTRY = ["digest", "n_bytes", "check"]
+#: Spark then streams through sorted rows where it would fill a hash table.
+SORTED = "spark.sql.execution.replaceHashWithSortAgg"
 
 
 def normalised(text: Column) -> Column:
@@ -35,17 +39,21 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def tree_merge(runs: DataFrame) -> DataFrame:
+def merged(level: DataFrame) -> DataFrame:
+    """Runs of (run, entry, keep_id, group_size) in sorted order, equal entries joined to the first of them."""
+    order = ["run", *ENTRY, F.col("keep_id").asc_nulls_last()]
+    runs = level.repartition("run", *ENTRY).sortWithinPartitions(*order)
+    # first() depends on the order, so the optimiser keeps the sort.
+    return runs.groupBy("run", *ENTRY).agg(F.first("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
+def tree_merge(leaves: DataFrame) -> DataFrame:
     """(run, entry, doc_id) -> one row for each text: entry, keep_id, group_size."""
     width = common.RUNS
-    level = runs.groupBy("run", *ENTRY).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    level = merged(leaves.select("run", *ENTRY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
     while width > 1:
         width >>= ROUND_BITS
-        level = (
-            level.withColumn("run", F.shiftright("run", ROUND_BITS))
-            .groupBy("run", *ENTRY)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+        level = merged(level.withColumn("run", F.shiftright("run", ROUND_BITS)))
     return level.drop("run")
 
 
@@ -59,8 +67,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     listed = common.settle(
         entries(docs, id_col, text_col).withColumn("run", common.run_of("doc_id")), "digests"
     )
-    # Sorted runs: equal entries meet side by side inside each task.
-    roots = tree_merge(listed.repartition("run", *ENTRY).sortWithinPartitions("run", *ENTRY))
+    with common.setting(docs.sparkSession, SORTED, "true"):
+        roots = common.settle(tree_merge(listed), "roots")
     found = common.lookup(listed.drop("run"), roots, ENTRY, ["doc_id"])
     return found.select(
         "doc_id",
