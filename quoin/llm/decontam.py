@@ -1,16 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are `\\w+` of the lower-cased text.  A document meets an item only if they share a seed of SEED words (all words
-of a shorter item).  For each such pair, running Karp-Rabin tiling marks the longest unmarked common match first, then
-shorter ones down to SEED words, without overlap and in any order, so a passage whose sentences were moved about is
-still covered.  A document is contaminated by an item when the tiles cover COVERAGE of the item's words.
-
-The benchmark is a query set that all documents are read against, in blocks of BLOCK_WORDS words, each broadcast alone.
-Only hits leave the tasks, so documents are never shuffled and long ones only cost their own scan.
+Words are `\\w+` of the lower-cased text.  Every SEED words in a row of an item are a seed.  Documents are read once for
+their seeds, which a filter of fixed size thins out to those that items may have; what is left is joined with the seeds of
+the items, and gives the pairs of a document and an item that share so many that tiles could cover COVERAGE of the item.
+For each such pair, running Karp-Rabin tiling marks the longest unmarked common match first, then shorter ones down to
+SEED words, without overlap and in any order, so a passage whose sentences were moved about is still covered.  A document
+is contaminated by an item when the tiles cover COVERAGE of the item's words.
+
+An item of fewer than SEED words is too short to tell from ordinary speech: it is one seed as a whole, and only meets
+texts that consist of its words.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 from pyspark.sql import DataFrame
@@ -20,8 +23,10 @@ from quoin.llm import common
 
 SEED = 5
 COVERAGE = 0.6
-#: Words of a block of items (about 100 bytes each once indexed): what a broadcast may hold, plus one item.
-BLOCK_WORDS = 500_000
+#: Bits of the filter of seeds (2 MB); bytes of items and keys of documents up to which they are broadcast.
+FILTER_BITS, BROADCAST_BYTES, BROADCAST_KEYS = 24, 8_000_000, 500_000
+#: Word hashes that a Python worker keeps.
+WORDS_HELD = 200_000
 WORD = re.compile(r"\w+")
 HITS = "doc_id long, text_hash long, item_id long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
 BASE, MOD = 1_000_003, (1 << 61) - 1
@@ -34,50 +39,43 @@ def words_of(text: str | None) -> list[str]:
 def tile(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (doc start, item start, length) of the marked matches, at least `least` long.
 
-    Word numbers below 0 match nothing.
+    The longest match of unmarked words is marked first; of equally long ones the first in the item, then in the
+    document.  Word numbers below 0 match nothing.
     """
     doc_free, item_free = [w >= 0 for w in doc], [w >= 0 for w in item]
     tiles, s = [], max(least, min(len(item), len(doc)) // 2)
     while True:
-        found, longest, again = [], 0, None
         table: dict[int, list[int]] = {}
         for at, h in _runs(item, item_free, s):
             table.setdefault(h, []).append(at)
+        found = []
         for at, h in _runs(doc, doc_free, s):
             for other in table.get(h, ()):
+                if at and other and doc[at - 1] == item[other - 1] and doc_free[at - 1] and item_free[other - 1]:
+                    continue  # part of the match that starts one word before
                 n = 0
                 while at + n < len(doc) and other + n < len(item) and doc[at + n] == item[other + n] and doc_free[at + n] and item_free[other + n]:
                     n += 1
                 if n >= s:
                     found.append((-n, other, at))
-                    longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for n, other, at in sorted(found):
-            if all(doc_free[at : at - n]) and all(item_free[other : other - n]):
+        heapq.heapify(found)
+        while found:
+            n, other, at = heapq.heappop(found)
+            free = [doc_free[at + i] and item_free[other + i] for i in range(-n)]
+            if all(free):
                 tiles.append((at, other, -n))
                 doc_free[at : at - n] = [False] * -n
                 item_free[other : other - n] = [False] * -n
-            else:
-                again = s  # part of it may still be a tile of this length
-        if s == least and again is None:
+                continue
+            begin = 0  # what other tiles have left of it, if it is long enough
+            for i, is_free in enumerate([*free, False]):
+                if not is_free:
+                    if i - begin >= s:
+                        heapq.heappush(found, (begin - i, other + begin, at + begin))
+                    begin = i + 1
+        if s == least:
             return sorted(tiles)
-        if again is None or not _left(found, doc_free, item_free, s):
-            if s == least:
-                return sorted(tiles)
-            s = max(least, s // 2 if s > 2 * least else s - 1)
-
-
-def _left(found, doc_free, item_free, s) -> bool:
-    """Whether an occluded match still has s free words in a row."""
-    for n, other, at in found:
-        run = 0
-        for i in range(-n):
-            run = run + 1 if doc_free[at + i] and item_free[other + i] else 0
-            if run >= s:
-                return True
-    return False
+        s = max(least, s // 2)
 
 
 def _runs(words: list[int], free: list[bool], s: int):
@@ -96,140 +94,211 @@ def _runs(words: list[int], free: list[bool], s: int):
             yield i - s + 1, h
 
 
-class Block:
-    """Some items with their seeds: vocabulary, item words as numbers, and seed hash -> items."""
+def regions(ids, places: list[int], length: int) -> tuple[list[int], list[int]]:
+    """The words within seeds at `places` and where they come from, stretches kept apart by -1, which matches nothing.
 
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int = SEED):
-        import numpy as np
+    An item of `length` words is covered by length / SEED tiles at most.  Where the same `length` words stand at more
+    places than that, one after the other, further ones can add nothing and are left out.
+    """
+    region, origin, last, seen = [], [], -1, {}
+    for p in places:
+        window = ids[p : p + length].tobytes()
+        n, end = seen.get(window, (0, -1))
+        if n > length // SEED + 1 and p >= end:
+            continue
+        if p >= end:
+            seen[window] = (n + 1, p + length)
+        if p > last and region:
+            region.append(-1)
+            origin.append(-1)
+        for q in range(max(p, last), p + SEED):
+            region.append(int(ids[q]))
+            origin.append(q)
+        last = p + SEED
+    return region, origin
 
-        self.seed, self.vocabulary = seed, {}
-        number = self.vocabulary.setdefault
-        self.items = [(item_id, [number(w, len(self.vocabulary)) for w in words]) for item_id, words in items if words]
-        self.by_seed: dict[int, list[int]] = {}
-        self.short = []
-        for i, (_, ids) in enumerate(self.items):
-            if len(ids) < seed:
-                self.short.append(i)
-            else:
-                for h in set(self.hashes(np.array(ids, dtype=np.int64)).tolist()):
-                    self.by_seed.setdefault(h, []).append(i)
-        self.seeds = np.array(sorted(self.by_seed), dtype=np.uint64)
-
-    def hashes(self, ids):
-        import numpy as np
 
-        n = len(ids) - self.seed + 1
-        h = np.zeros(max(n, 0), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(self.seed if n > 0 else 0):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + n].astype(np.uint64) + np.uint64(1)
-                h ^= h >> np.uint64(32)
-        return h
+def cover(doc: list[str], item: list[str]) -> tuple[float, list[tuple[int, int, int]]]:
+    """The share of the item's words that tiles cover, and the tiles."""
+    import numpy as np
+
+    if len(item) < SEED:
+        return (1.0, [(0, 0, len(item))]) if item and doc == item else (0.0, [])
+    number: dict[str, int] = {}
+    item_ids = np.array([number.setdefault(w, len(number)) for w in item], dtype=np.int64)
+    ids = np.array([number.get(w, -1) for w in doc], dtype=np.int64)
+    if len(ids) < SEED:
+        return 0.0, []
+    known = np.concatenate([[0], np.cumsum(ids >= 0)])
+    full = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
+    places = full[np.isin(_combined(ids)[full], _combined(item_ids))]
+    region, origin = regions(ids, places.tolist(), len(item))
+    tiles = [(origin[a], b, n) for a, b, n in tile(region, item_ids.tolist(), SEED)]
+    return sum(t[2] for t in tiles) / len(item), tiles
+
+
+def _combined(ids):
+    """One hash for each SEED numbers in a row."""
+    import numpy as np
+
+    n = max(0, len(ids) - SEED + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    values = ids.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(SEED if n else 0):
+            h = (h ^ values[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
+class _Hashes(dict):
+    """64-bit hashes of words; at most WORDS_HELD are kept between texts."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def seeds_of(words: list[str], hashes: _Hashes):
+    """Hashes of the seeds at each place, 64 bits; of a shorter text, of all its words."""
+    import numpy as np
+
+    if len(hashes) > WORDS_HELD:
+        hashes.clear()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    ids = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(words) < SEED:
+        ids = np.concatenate([ids, np.full(SEED - len(words), len(words), dtype=np.uint64)])
+    return _combined(ids)
+
 
-    def hits(self, text: str | None, coverage: float):
-        """(item_id, coverage, tiles) of each item that the text covers."""
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(seed, item_id, item_hash, places, n_words): where an item has a seed at `places` places."""
+
+    def run(batches):
+        from collections import Counter
+
+        import pandas as pd
+
+        hashes = _Hashes()
+        for batch in batches:
+            rows = []
+            for item_id, item_hash, text in zip(batch["item_id"], batch["item_hash"], batch["text"]):
+                words = words_of(text)
+                rows += [(seed, item_id, item_hash, n, len(words)) for seed, n in Counter(seeds_of(words, hashes).view("i8").tolist()).items()]
+            yield pd.DataFrame(rows, columns=["seed", "item_id", "item_hash", "places", "n_words"])
+
+    return items.mapInPandas(run, "seed long, item_id long, item_hash long, places long, n_words long")
+
+
+def seed_filter(seeds: DataFrame) -> bytes:
+    """A bit for each seed: others pass at times, no seed is missed."""
+    import numpy as np
+
+    def run(batches):
+        import pandas as pd
+
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[batch["seed"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in seeds.select("seed").coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():  # four rows of 2 MB
+        out |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.tobytes()
+
+
+def document_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
+    """(doc_id, text_hash, seed): the different seeds of each text that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
+
+    def run(batches):
         import numpy as np
+        import pandas as pd
+
+        wanted, hashes = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).astype(bool), _Hashes()
+        for batch in batches:
+            at, seeds = [], []
+            for i, text in enumerate(batch["text"]):
+                h = seeds_of(words_of(text), hashes)
+                h = np.unique(h[wanted[h >> np.uint64(64 - FILTER_BITS)]])
+                seeds.append(h)
+                at.append(np.full(len(h), i))
+            at = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+            out = pd.DataFrame({"text_hash": batch["text_hash"].to_numpy()[at], "seed": np.concatenate(seeds).view(np.int64) if seeds else at})
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").take(at).to_numpy())
+            yield out
 
-        get = self.vocabulary.get
-        words = words_of(text)
-        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        where = np.zeros(0, dtype=np.int64)
-        if len(ids) >= self.seed and len(self.seeds):
-            known = np.concatenate([[0], np.cumsum(ids >= 0)])
-            full = np.flatnonzero(known[self.seed :] - known[: -self.seed] == self.seed)
-            if len(full):
-                h = self.hashes(ids)[full]
-                at = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
-                same = self.seeds[at] == h
-                where, h = full[same], h[same]
-        by_item: dict[int, list[int]] = {}
-        for p, x in zip(where.tolist(), h.tolist() if len(where) else []):
-            for i in self.by_seed[x]:
-                by_item.setdefault(i, []).append(p)
-        out = []
-        for i, places in by_item.items():
-            item_id, item = self.items[i]
-            # Tiles can only lie where seeds were hit: join those stretches, kept apart by a word that matches nothing.
-            region, origin, last = [], [], -1
-            for p in places:
-                if p > last and region:
-                    region.append(-1)
-                    origin.append(-1)
-                for q in range(max(p, last), p + self.seed):
-                    region.append(int(ids[q]))
-                    origin.append(q)
-                last = p + self.seed
-            tiles = [(origin[a], b, n) for a, b, n in tile(region, item, self.seed)]
-            share = sum(t[2] for t in tiles) / len(item)
-            if share >= coverage:
-                out.append((item_id, share, tiles))
-        if self.short:
-            line = ids.tolist()
-            for i in self.short:
-                item_id, item = self.items[i]
-                for p in range(len(line) - len(item) + 1):
-                    if line[p : p + len(item)] == item:
-                        out.append((item_id, 1.0, [(p, 0, len(item))]))
-                        break
-        return out
-
-
-def blocks(benchmark: DataFrame):
-    """The items, a bounded number of words at a time."""
-    held, size = [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    for row in rows.toLocalIterator():
-        words = words_of(row["text"])
-        held.append((row["item_id"], words))
-        size += len(words)
-        if size >= BLOCK_WORDS:
-            yield Block(held)
-            held, size = [], 0
-    if held:
-        yield Block(held)
+    return docs.mapInPandas(run, "doc_id long, text_hash long, seed long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """HITS: one row for each document row and item that it covers, with its tiles in words.
 
-    Null and empty texts and items, and items with a null id, hit nothing; items of equal texts are hit each.  Rows
-    that repeat an id are told apart by text_hash (xxhash64 of the text).
+    Null and empty texts and items, and items with a null id, hit nothing; items of equal texts are hit each, and of
+    items that share an id the one covered most counts.  Rows that repeat an id are told apart by text_hash (xxhash64
+    of the text, null as empty); rows that also repeat the text are one.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("text_hash"), "text")
-    found = None
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            import pandas as pd
-
-            names = [f.split()[0] for f in HITS.split(", ")]
-            for batch in batches:
-                rows, at = [], []
-                for i, (text_hash, text) in enumerate(zip(batch["text_hash"], batch["text"])):
-                    for item_id, share, tiles in shared.value.hits(text, coverage):
-                        rows.append((None, text_hash, item_id, share, [dict(zip(("doc_start", "item_start", "length"), t)) for t in tiles]))
-                        at.append(i)
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = batch["doc_id"].astype("Int64").take(at).to_numpy()
-                yield out
-
-        part = ready.mapInPandas(run, HITS)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], HITS)
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), "text")
+    items = common.settle(items.dropDuplicates(["item_id", "item_hash"]), "items")
+    seeds = common.settle(item_seeds(items), "item-seeds")
+    hits = common.settle(document_seeds(ready, seed_filter(seeds)), "document-seeds")
+    met = common.lookup(hits, seeds, ["seed"], ["doc_id", "text_hash"]).where("item_id is not null")
+    # A tile of n words has n - SEED + 1 seeds, which is n / SEED at least.
+    pairs = met.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.sum("places").alias("places"), F.max("n_words").alias("n_words"))
+    pairs = common.settle(pairs.where(F.col("places") * SEED >= F.col("n_words") * coverage).drop("places", "n_words"), "pairs")
+    keys = common.settle(pairs.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct(), "keys")
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
+    texts = ready.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, same, "left_semi")
+    named = items.withColumnRenamed("text", "item")
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
+        asked = pairs.join(F.broadcast(named), ["item_id", "item_hash"])
+    else:
+        asked = common.lookup(pairs, named, ["item_id", "item_hash"], ["doc_id", "text_hash"])
+    asked = asked.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
+
+    def run(batches):
+        import pandas as pd
+
+        names = [f.split()[0] for f in HITS.split(", ")]
+        for batch in batches:
+            rows, at = [], []
+            for i, (text_hash, text, item_id, item) in enumerate(zip(batch["text_hash"], batch["text"], batch["item_id"], batch["item"])):
+                share, tiles = cover(words_of(text), words_of(item))
+                if share >= coverage and tiles:
+                    rows.append((None, text_hash, item_id, share, [dict(zip(("doc_start", "item_start", "length"), t)) for t in tiles]))
+                    at.append(i)
+            out = pd.DataFrame(rows, columns=names)
+            out["doc_id"] = batch["doc_id"].astype("Int64").take(at).to_numpy()
+            yield out
+
+    found = texts.join(asked, same).select("doc_id", "text_hash", "text", "item_id", "item").mapInPandas(run, HITS)
+    best = F.max_by(F.struct("coverage", "tiles"), "coverage").alias("best")
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.*")
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The input rows with _contaminated, _n_items, _item_id and _coverage (of the item covered most)."""
+    """The input rows with _contaminated, _n_items, _item_id and _coverage (of the item covered most).
+
+    Input columns of these names are replaced; all others stay, whatever their names.
+    """
+    added = ["_contaminated", "_n_items", "_item_id", "_coverage"]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    an_id, a_hash, n, item, most = common.free_names(docs.columns, "_id", "_hash", "_n", "_item", "_most")
     hits = common.settle(contamination(docs, benchmark, coverage), "hits")
     best = F.max_by("item_id", F.struct("coverage", (-F.col("item_id")).alias("i")))
-    by_doc = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.count(F.lit(1)).alias("_n_items"), best.alias("_item_id"), F.max("coverage").alias("_coverage")
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(common.text_or_empty()) == F.col("_hash"))
+    by_doc = hits.groupBy(F.col("doc_id").alias(an_id), F.col("text_hash").alias(a_hash)).agg(F.count(F.lit(1)).alias(n), best.alias(item), F.max("coverage").alias(most))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(an_id)) & (F.xxhash64(common.text_or_empty()) == F.col(a_hash))
     joined = docs.join(by_doc, same, "left")
-    return joined.withColumn("_contaminated", F.col("_id").isNotNull() | F.col("_hash").isNotNull()).drop("_id", "_hash")
+    values = [F.col(n).isNotNull(), F.col(n), F.col(item), F.col(most)]
+    return joined.select(*docs.columns, *[v.alias(name) for v, name in zip(values, added)])
 
 
 def op6_decontam(spark, sf_dir: str) -> DataFrame:
