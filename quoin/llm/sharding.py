@@ -8,8 +8,7 @@ the ranges that hold a shard's edge are cut at the exact record.  Law: `bytes`.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +21,6 @@ SAMPLES = 32
 RANGES_A_SHARD, ROWS_A_RANGE = 8, 50_000
 #: A range is overfull at this many times the mean; a group of equal texts is split at this part of a shard.
 OVERFULL, HOT_PART = 4.0, 0.25
-ROUNDS = 6
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,12 +33,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def places(bounds, group, sub):
+    """How many of the sorted bounds (group, sub) are at or below each key."""
+    groups, subs = (np.array(x, dtype=np.int64) for x in zip(*bounds)) if bounds else (np.zeros(0, dtype=np.int64),) * 2
+    low, high = np.searchsorted(groups, group, "left"), np.searchsorted(groups, group, "right")
+    for a, b in set(zip(*(x[low < high].tolist() for x in (low, high)))):  # keys whose group is that of some bounds
+        mine = np.flatnonzero((low == a) & (high == b))
+        low[mine] = a + np.searchsorted(subs[a:b], sub[mine], "right")
+    return low
+
+
 def _range_of(bounds: list[tuple[int, int]]):
     """Index of the range of (group, sub): bounds are the sorted lower ends of all ranges but the first."""
 
     @F.pandas_udf("int")
     def place(group: pd.Series, sub: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, key) for key in zip(group, sub)], dtype="int32")
+        return pd.Series(places(bounds, group.to_numpy(), sub.to_numpy()), dtype="int32")
 
     return place("group", "sub")
 
@@ -48,45 +56,41 @@ def _range_of(bounds: list[tuple[int, int]]):
 def splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]:
     """Boundaries of ranges that hold OVERFULL * total / ranges bytes at most, unless a range is one key.
 
-    The driver holds the bounded samples (SAMPLES keys for each range) and the boundaries only.
+    The driver holds the samples (SAMPLES keys of 16 bytes for each range) and the boundaries only.  Overfull ranges are
+    subdivided until there are none: each is cut at its last key at least, so this ends.
     """
 
-    def drawn(of: DataFrame, total: int, want: int) -> list:
+    def drawn(of: DataFrame, total: int, want: int) -> list[tuple[int, int]]:
         share = F.col("size") / F.lit(float(total)) * want
         chance = F.pmod(F.xxhash64("doc_id", "group", F.lit(want)), F.lit(2**31)) / F.lit(float(2**31))
-        return sorted((r[0], r[1], r[2]) for r in of.where(chance < share).select("group", "sub", "size").collect())
+        got = of.where(chance < share).select("group", "sub").toArrow()
+        group, sub = (got.column(x).to_numpy() for x in ("group", "sub"))
+        order = np.lexsort((sub, group))
+        return list(zip(group[order].tolist(), sub[order].tolist()))
 
     def quantiles(sample: list, n: int) -> list[tuple[int, int]]:
-        keys = sorted({s[:2] for s in sample})
-        step = max(1, len(sample) // max(1, n))
-        return sorted({sample[i][:2] for i in range(step, len(sample), step)} & set(keys))
+        return sorted({sample[i] for i in range(max(1, len(sample) // max(1, n)), len(sample), max(1, len(sample) // max(1, n)))})
 
     bounds = quantiles(drawn(rows, total, ranges * SAMPLES), ranges)
-    for _ in range(ROUNDS):
-        held = (
-            rows.withColumn("range", _range_of(bounds))
-            .groupBy("range")
-            .agg(F.sum("size").alias("n"), F.min(F.struct("group", "sub")).alias("least"), F.max(F.struct("group", "sub")).alias("most"))
-            .collect()
+    while True:
+        held = rows.withColumn("range", _range_of(bounds)).groupBy("range").agg(
+            F.sum("size").alias("n"), F.min(F.struct("group", "sub")).alias("least"), F.max(F.struct("group", "sub")).alias("most")
         )
-        over = [r for r in held if r["n"] > OVERFULL * total / ranges and r["least"] != r["most"]]
+        over = held.where((F.col("n") > OVERFULL * total / ranges) & (F.col("least") != F.col("most"))).collect()
         if not over:
-            break
-        names = {r["range"] for r in over}
+            return bounds
         size = sum(r["n"] for r in over)
-        inside = rows.where(_range_of(bounds).isin(sorted(names)))
+        inside = rows.where(_range_of(bounds).isin(sorted(r["range"] for r in over)))
         want = max(2, round(size / total * ranges)) * 2
-        more = {k[:2] for k in drawn(inside, size, want * SAMPLES)} | {(r["most"][0], r["most"][1]) for r in over}
-        lower = {r["range"]: (r["least"][0], r["least"][1]) for r in over}
-        extra, by = [], {}
-        for key in sorted(more):
-            by.setdefault(bisect_right(bounds, key), []).append(key)
-        for name, keys in by.items():
+        lower = {r["range"]: tuple(r["least"]) for r in over}
+        sample = np.array(drawn(inside, size, want * SAMPLES), dtype=np.int64).reshape(-1, 2)
+        extra = {tuple(r["most"]) for r in over}
+        by = places(bounds, sample[:, 0], sample[:, 1])
+        for name in lower:
+            keys = sorted({tuple(k) for k in sample[by == name].tolist()})
             keys = [k for k in keys if k > lower[name]]
-            step = max(1, len(keys) * len(over) // want)
-            extra += keys[::step] or keys[-1:]
+            extra.update(keys[:: max(1, len(keys) * len(over) // want)])
         bounds = sorted({*bounds, *extra})
-    return bounds
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
