@@ -5,12 +5,12 @@ shingle set, so 160 values cost 80 evaluations; each agrees between two sets wit
 similarity.  BANDS bands of four values: two sets at the threshold 0.75 share no band with probability
 (1 - 0.75**4)**40 = 2.6e-7.
 
-Equal sets are one class, and only class representatives go on.  Buckets never emit all their pairs: a round links
+Equal sets are one class, a node of the link graph, and only class representatives go on.  Buckets never emit all their pairs: a round links
 every member to its bucket's leader, confirms the links on full sets, and merges classes into components.  Later rounds
 only see buckets that still hold several components, with other leaders.  After STAR_ROUNDS, buckets of SMALL members at
 most are compared pair by pair between different components.  Larger ones are joined into groups where they share
-members, and a group is compared in BLOCK x BLOCK blocks, each counting common shingles through an inverted index in one
-task and returning only links that merge components.  So no link that a shared band shows is lost, and no pair that
+members, and a group is compared block by block (BLOCK documents or BLOCK_SHINGLES shingles in the mean), each pair of
+blocks counting common shingles through an inverted index in one task and returning only links that merge components.  So no link that a shared band shows is lost, and no pair that
 fails is ever a row.
 """
 
@@ -25,13 +25,15 @@ SHINGLE, PERMUTATIONS, ROWS = 5, 80, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
 STAR_ROUNDS = 2
-#: Members of a bucket that are paired off; documents of a block of a large group.
-SMALL, BLOCK = 8, 500
+#: Members of a bucket that are paired off; documents and shingles of a block of a large group.
+SMALL, BLOCK, BLOCK_SHINGLES = 8, 500, 500_000
+#: Edges that one task joins (about 300 bytes each).
+EDGES_A_TASK = 300_000
 #: Word hashes (about 180 bytes each) that a Python worker keeps.
 WORDS_HELD = 200_000
 #: Ids (8 bytes each) up to which a semi-join's side is broadcast; beyond, it is shuffled.
 BROADCAST_IDS = 500_000
-SIGNED = "doc_id long, n_shingles long, set_digest binary, bands array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_digest binary, bands array<long>"
 _WORDS: dict[bytes, int] = {}
 
 
@@ -113,14 +115,20 @@ def signed(docs: DataFrame) -> DataFrame:
                 bands = band_hashes(min_max_signature(hashes, factors)) if len(hashes) else []
                 rows.append((len(hashes), hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), bands))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_digest", "bands"])
+            out.insert(0, "text_hash", batch["text_hash"].to_numpy())
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNED)
+    return _keyed(docs).mapInPandas(run, SIGNED)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """A row is known by its id and the hash of its text (null as empty)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("text_hash"), "text")
 
 
 def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) whose full sets pass the threshold; texts: doc_id, text, unique by doc_id.
+    """Edges (a, b) whose full sets pass the threshold; texts: id, text, unique by id.
 
     A node `a` may have any number of edges: its text goes to RUNS places at most, not to one task.
     """
@@ -141,61 +149,87 @@ def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
                     good.append(i)
             yield pd.DataFrame({"a": batch["a"].to_numpy()[good], "b": batch["b"].to_numpy()[good]})
 
-    left = common.lookup(edges, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"], ["b"])
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = common.lookup(edges, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), ["a"], ["b"])
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that the edges (a, b) reach; labels spread and jump until none changes."""
-    labels = common.settle(nodes.select("id", F.col("id").alias("component")), "labels")
-    both = common.settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+def forest(batches):
+    """(id, root) of the nodes of a task's edges, joined as far as these edges do; the root is the least id."""
+    import pandas as pd
+
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": list(root), "root": [find(x) for x in root]}, dtype="int64")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of edges (a, b): the least id that they reach.
+
+    Tasks join EDGES_A_TASK edges each; where a node has got several roots, these become the edges of the next round.
+    """
+    edges = common.settle(edges.select("a", "b"), "edges")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
-        spread = common.settle(spread, "spread")
-        if not spread.where("next <> component").limit(1).count():
-            return labels
-        # Jump: take the label of one's label.
-        target = spread.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        labels = common.settle(
-            common.lookup(spread.select("id", "next"), target, ["next"], ["id"]).select("id", F.least("next", F.coalesce("far", "next")).alias("component")),
-            "labels",
-        )
+        tasks = -(-edges.count() // EDGES_A_TASK) or 1
+        trees = common.settle(edges.repartition(tasks).mapInPandas(forest, "id long, root long"), "forest")
+        if tasks == 1:
+            return trees.withColumnRenamed("root", "component")
+        ends = common.settle(trees.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")), "ends")
+        if not ends.where("low < high").limit(1).count():
+            return ends.select("id", F.col("low").alias("component"))
+        # Every node goes on with the label of its label, which halves the way to the least at least.
+        labels = ends.select("id", "low")
+        far = common.lookup(labels, labels.select(F.col("id").alias("low"), F.col("low").alias("far")), ["low"], ["id"])
+        edges = far.select(F.coalesce("far", "low").alias("a"), F.col("id").alias("b")).where("a <> b")
+        linked = trees.join(labels, "id").where("root <> low").select(F.col("low").alias("a"), F.col("root").alias("b"))
+        edges = common.settle(edges.unionByName(linked).distinct(), "edges")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, n_class.
+    """One row per input row: doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable), kept, n_class.
 
-    n_class counts the rows with the same shingle set.  Texts without words (null, empty, white space) have no set and
-    stand alone.  Rows that repeat an id are linked by each of their texts on its own and so may get different
-    components; rows with a null id are not linked and are kept.  An empty table gives an empty result.
+    kept: this row's id is its component's.  n_class counts the rows with the same shingle set; text_hash is xxhash64 of
+    the text (null as empty).  Texts without words (null, empty, white space) have no set and stand alone.  Rows that
+    repeat an id are linked by each of their texts on its own and so may get different components; rows with a null id
+    are not linked and are kept.  An empty table gives an empty result; other columns are ignored.
     """
     sets = common.settle(signed(docs), "signed")
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = common.settle(
-        filled.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_class")), "classes"
-    )
-    firsts = filled.join(classes, (filled.doc_id == classes.id) & (filled.set_digest == classes.set_digest), "left_semi")
-    banded = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    classes = filled.groupBy("set_digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_class"))
+    # Classes are numbered once and for all as they are written.
+    classes = common.settle(classes.select("set_digest", "first.*", "n", "n_class", F.monotonically_increasing_id().alias("id")), "classes")
+    firsts = filled.join(classes.select("doc_id", "text_hash", "set_digest", "id"), ["doc_id", "text_hash", "set_digest"])
+    banded = firsts.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
     leaves = banded.groupBy("key", common.run_of("id").alias("run")).agg(F.count(F.lit(1)).alias("c"))
     shared = common.settle(leaves.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key"), "shared")
     members = common.settle(banded.join(shared, "key", "left_semi"), "members")
-    ids = members.select("id").distinct()
-    nodes = common.settle(ids, "nodes")
-    small = nodes.count() <= BROADCAST_IDS
-    # A representative's id and set find its text even where an id is repeated.
-    reps = classes.select("id", F.col("set_digest").alias("_set")).join(nodes, "id", "left_semi")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = wanted.join(F.broadcast(nodes) if small else nodes, wanted.doc_id == nodes.id, "left_semi")
+    nodes = common.settle(members.select("id").distinct(), "nodes")
+    n_nodes = nodes.count()
+    small = n_nodes <= BROADCAST_IDS
+    reps = classes.join(nodes, "id", "left_semi").select("id", "doc_id", "text_hash")
+    texts = _keyed(docs.where("text is not null")).join(F.broadcast(reps) if small else reps, ["doc_id", "text_hash"]).select("id", "text")
     texts = common.settle(texts, "texts")
-    if texts.count() > nodes.count():  # repeated ids: keep the text whose set it is
-        texts = common.settle(_own_texts(texts, reps), "texts")
-    edges = members.sparkSession.createDataFrame([], "a long, b long")
-    tried = edges
-    labels = nodes.select("id", F.col("id").alias("component"))
+    if texts.count() > n_nodes:  # rows that repeat id and text
+        texts = common.settle(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    spark = members.sparkSession
+    labels, tried = spark.createDataFrame([], "id long, component long"), None
+
+    def joined(links: DataFrame) -> DataFrame:
+        return components(links.unionByName(labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
+
     for round_ in range(STAR_ROUNDS + 1):
-        labelled = common.settle(members.join(labels, "id"), "labelled")
+        labelled = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = common.settle(labelled, "labelled")
         ends = labelled.groupBy("key", common.run_of("id").alias("run")).agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
@@ -213,29 +247,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             sizes = common.settle(left.groupBy("key", common.run_of("id").alias("run")).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).groupBy("key").agg(F.sum("c").alias("c"), F.min("least").alias("least")), "sizes")
             found = _large_groups(left, sizes.where(F.col("c") > SMALL), texts)
             if found is not None:
-                edges = common.settle(edges.unionByName(found), "edges")
-                labels = components(nodes, edges)
+                labels = joined(found)
             pairs = _across(left.join(sizes.where(F.col("c") <= SMALL).select("key"), "key", "left_semi"))
         alike = (F.least("na", "n") * 100 >= F.greatest("na", "n") * PERCENT)
         new = pairs.where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = common.settle(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.limit(1).count():
-            if round_ == STAR_ROUNDS:
-                break
-            continue
-        tried = tried.unionByName(new)
-        edges = common.settle(edges.unionByName(confirm(new, texts)), "edges")
-        labels = components(nodes, edges)
-    merged = common.lookup(classes, labels, ["id"], ["set_digest"]).select("set_digest", F.coalesce("component", "id").alias("component"), "n_class")
-    found = common.lookup(sets.drop("bands"), merged, ["set_digest"], ["doc_id"])
-    real = F.col("n_shingles") > 0
-    component = F.when(real & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+        new = common.settle(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.limit(1).count():
+            tried = new if tried is None else tried.unionByName(new)
+            labels = joined(common.settle(confirm(new, texts), "links"))
+    # The smallest document of each component, then its members, then the rows of their classes.
+    merged = common.settle(classes.join(labels, "id", "left").select("set_digest", "n_class", "id", "doc_id", F.coalesce("component", "id").alias("component")), "merged")
+    least = merged.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    answers = common.lookup(merged, least, ["component"], ["id"]).select("set_digest", "n_class", "component_id")
+    found = common.lookup(sets.drop("bands"), answers, ["set_digest"], ["doc_id"])
+    real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(real, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         component.eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.when(real, F.col("n_class")).otherwise(F.lit(1)).cast("long").alias("n_class"),
+        F.when(F.col("n_shingles") > 0, F.col("n_class")).otherwise(F.lit(1)).cast("long").alias("n_class"),
     )
 
 
@@ -250,14 +283,14 @@ def _large_groups(left: DataFrame, large: DataFrame, texts: DataFrame) -> DataFr
     if not large.limit(1).count():
         return None
     held = common.settle(common.lookup(left, large.select("key", "least"), ["key"], ["id"]).where("least is not null"), "held")
-    members = held.select("id", "component").distinct()
-    groups = components(members.select("id"), held.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    members = held.select("id", "component", "n").distinct()
+    groups = components(held.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     grouped = common.settle(members.join(groups.withColumnRenamed("component", "grp"), "id"), "grouped")
-    leaves = grouped.groupBy("grp", common.run_of("id").alias("run")).agg(F.count(F.lit(1)).alias("c"))
-    blocks = leaves.groupBy("grp").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    leaves = grouped.groupBy("grp", common.run_of("id").alias("run")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
+    blocks = leaves.groupBy("grp").agg(F.ceil(F.greatest(F.sum("c") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mine = common.lookup(grouped, blocks, ["grp"], ["id"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     # A document goes to the pairs of its block with each block of its group: once a block, not once a member.
-    dealt = mine.join(texts.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = mine.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "text")
 
     def run(key, part):
@@ -310,18 +343,5 @@ def links_of(ids: list, components_: list, blocks: list, texts: list, across: bo
     return out
 
 
-def _own_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    def run(batches):
-        import hashlib
-
-        for batch in batches:
-            batch["_set"] = [hashlib.blake2b(shingle_hashes(t).tobytes(), digest_size=16).digest() for t in batch["text"]]
-            yield batch
-
-    marked = texts.mapInPandas(run, "doc_id long, text string, _set binary")
-    named = reps.withColumnRenamed("id", "doc_id")
-    return marked.join(named, ["doc_id", "_set"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-
-
 def op9_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("text_hash")
