@@ -307,6 +307,16 @@ def test_near_duplicates(docs, none, small, monkeypatch):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 40, 1000])
+def test_components(spark, size, monkeypatch):
+    """A chain, a star and pairs, in few and many tasks."""
+    monkeypatch.setattr(near_dup, "EDGES_A_TASK", size)
+    edges = [(k + 1, k) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(300 + 2 * k, 301 + 2 * k) for k in range(20)]
+    got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 140)}, **{300 + k: 300 + k // 2 * 2 for k in range(40)}}
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_about_the_threshold(spark, monkeypatch):
     """Many near copies that mostly don't link: large open buckets, compared in blocks."""
     monkeypatch.setattr(near_dup, "SMALL", 3)
@@ -323,10 +333,18 @@ def test_near_duplicates_about_the_threshold(spark, monkeypatch):
 
 
 def test_suffix_array():
+    """Order and common prefixes, with queues that spill, long runs, periods and a limit."""
     r = random.Random(5)
-    for _ in range(300):
-        x = [r.randint(1, r.choice([1, 2, 200])) for _ in range(r.randint(0, 50))] + [0]
-        assert induced_sort.suffix_array(np.array(x), run=r.choice([7, 10**6])).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+    for k in range(600):
+        unit = [r.randint(1, r.choice([1, 2, 3, 200])) for _ in range(r.randint(1, 12))]
+        x = (unit * r.randint(1, 12) if k % 2 else [r.randint(1, r.choice([1, 2, 200])) for _ in range(r.randint(0, 60))])[: r.randint(1, 90)] + [0]
+        limit = r.choice([None, 1, 7, 30])
+        order, common = induced_sort.suffix_array(np.array(x), run=r.choice([7, 10**6]), limit=limit)
+        want = sorted(range(len(x)), key=lambda i: x[i:])
+        assert order.tolist() == want
+        for i, (a, b) in enumerate(zip(want, want[1:])):
+            n = next(n for n in range(len(x)) if a + n == len(x) or b + n == len(x) or x[a + n] != x[b + n])
+            assert common[i + 1] == (n if limit is None else min(n, limit)), (x, a, b)
 
 
 @pytest.mark.parametrize("group, spans", [(250_000, (24, 4, 1)), (1, (24, 4, 1)), (1, (50,)), (500, (7, 3))])
