@@ -21,7 +21,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm import common, cuckoo
@@ -227,15 +227,14 @@ def repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame
     return gone.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("lines")).alias("drop"))  # at most a text's lines
 
 
-def without_lines(text: pd.Series, drop: pd.Series) -> pd.Series:
-    """The texts without the lines of these numbers."""
-    out = []
-    for t, numbers in zip(text, drop):
-        if numbers is not None and len(numbers):
-            gone = set(numbers)
-            t = "\n".join([line for i, line in enumerate(t.split("\n")) if i not in gone])
-        out.append(t)
-    return pd.Series(out, dtype=object)
+def without_lines(text: Column, drop: Column) -> Column:
+    """The text without the lines of these numbers: the other numbers, in order, each looked up in the lines once."""
+
+    def rest(lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return F.transform(F.array(F.split(text, "\n")), rest)[0]
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, counts: tuple | None = ("n_lines", "n_dropped")) -> DataFrame:
@@ -254,7 +253,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, counts: tuple |
     kept_columns = [c for c in docs.columns if c.lower() not in taken]
     text = common.text_or_empty()
     joined = docs.join(drops, (F.col("doc_id") == F.col(an_id)) & (F.xxhash64(text) == F.col(a_hash)), "left")
-    rest = F.when(F.col(drop).isNull(), text).otherwise(F.pandas_udf(without_lines, "string")(text, drop))
+    rest = F.when(F.col(drop).isNull(), text).otherwise(without_lines(text, F.col(drop)))
     if counts is None:
         return joined.select(*[rest.alias("text") if c == "text" else F.col(c) for c in docs.columns])
     numbers = [F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.coalesce(F.size(drop), F.lit(0))]
