@@ -38,7 +38,7 @@ SHARE = 0.01
 PARTS, FIT_PARTS = 4, 3
 PREDICT_AT = 0.7
 #: Words or n-grams that a worker counts before it hands them on, and word scores that it keeps.
-HELD = 400_000
+HELD = 200_000
 WORD = re.compile(r"\w+")
 
 
