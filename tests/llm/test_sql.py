@@ -18,7 +18,7 @@ def plain(v):
     return f"{v + 0.0:.7g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_chat_quotes", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_chat_quotes", "op8_line_dedup", "op11_fill_in_middle"])
 def test_query(spark, name):
     duck = duckdb.connect()
     for t in ("documents", "conversations"):
