@@ -7,8 +7,7 @@ For each such pair, running Karp-Rabin tiling marks the longest unmarked common
 SEED words, without overlap and in any order, so a passage whose sentences were moved about is still covered.  A document
 is contaminated by an item when the tiles cover COVERAGE of the item's words.
 
-An item of fewer than SEED words is too short to tell from ordinary speech: it is one seed as a whole, and only meets
-texts that consist of its words.
+An item of fewer than SEED words is a seed as a whole, and is found inside texts like any other.
 """
 
 from __future__ import annotations
@@ -94,27 +93,27 @@ def _runs(words: list[int], free: list[bool], s: int):
             yield i - s + 1, h
 
 
-def regions(ids, places: list[int], length: int) -> tuple[list[int], list[int]]:
+def regions(ids, places: list[int], length: int, seed: int = SEED) -> tuple[list[int], list[int]]:
     """The words within seeds at `places` and where they come from, stretches kept apart by -1, which matches nothing.
 
-    An item of `length` words is covered by length / SEED tiles at most.  Where the same `length` words stand at more
+    An item of `length` words is covered by length / seed tiles at most.  Where the same `length` words stand at more
     places than that, one after the other, further ones can add nothing and are left out.
     """
     region, origin, last, seen = [], [], -1, {}
     for p in places:
         window = ids[p : p + length].tobytes()
         n, end = seen.get(window, (0, -1))
-        if n > length // SEED + 1 and p >= end:
+        if n > length // seed + 1 and p >= end:
             continue
         if p >= end:
             seen[window] = (n + 1, p + length)
         if p > last and region:
             region.append(-1)
             origin.append(-1)
-        for q in range(max(p, last), p + SEED):
+        for q in range(max(p, last), p + seed):
             region.append(int(ids[q]))
             origin.append(q)
-        last = p + SEED
+        last = p + seed
     return region, origin
 
 
@@ -122,30 +121,34 @@ def cover(doc: list[str], item: list[str]) -> tuple[float, list[tuple[int, int,
     """The share of the item's words that tiles cover, and the tiles."""
     import numpy as np
 
-    if len(item) < SEED:
-        return (1.0, [(0, 0, len(item))]) if item and doc == item else (0.0, [])
+    seed = seed_size(len(item))
     number: dict[str, int] = {}
     item_ids = np.array([number.setdefault(w, len(number)) for w in item], dtype=np.int64)
     ids = np.array([number.get(w, -1) for w in doc], dtype=np.int64)
-    if len(ids) < SEED:
+    if not seed or len(ids) < seed:
         return 0.0, []
     known = np.concatenate([[0], np.cumsum(ids >= 0)])
-    full = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
-    places = full[np.isin(_combined(ids)[full], _combined(item_ids))]
-    region, origin = regions(ids, places.tolist(), len(item))
-    tiles = [(origin[a], b, n) for a, b, n in tile(region, item_ids.tolist(), SEED)]
+    full = np.flatnonzero(known[seed:] - known[:-seed] == seed)
+    places = full[np.isin(_combined(ids, seed)[full], _combined(item_ids, seed))]
+    region, origin = regions(ids, places.tolist(), len(item), seed)
+    tiles = [(origin[a], b, n) for a, b, n in tile(region, item_ids.tolist(), seed)]
     return sum(t[2] for t in tiles) / len(item), tiles
 
 
-def _combined(ids):
-    """One hash for each SEED numbers in a row."""
+def seed_size(n_words: int) -> int:
+    """Words of an item's seeds: SEED, or all that it has."""
+    return min(SEED, n_words)
+
+
+def _combined(ids, seed: int = SEED):
+    """One hash for each `seed` numbers in a row; runs of another length have other hashes."""
     import numpy as np
 
-    n = max(0, len(ids) - SEED + 1)
-    h = np.zeros(n, dtype=np.uint64)
+    n = max(0, len(ids) - seed + 1)
+    h = np.full(n, SEED - seed, dtype=np.uint64)
     values = ids.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(SEED if n else 0):
+        for i in range(seed if n else 0):
             h = (h ^ values[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     return h
@@ -161,8 +164,8 @@ class _Hashes(dict):
         return found
 
 
-def seeds_of(words: list[str], hashes: _Hashes):
-    """Hashes of the seeds at each place, 64 bits; of a shorter text, of all its words."""
+def seeds_of(words: list[str], hashes: _Hashes, sizes):
+    """64-bit hashes of the seeds of each of these sizes at each place."""
     import numpy as np
 
     if len(hashes) > WORDS_HELD:
@@ -170,9 +173,7 @@ def seeds_of(words: list[str], hashes: _Hashes):
     if not words:
         return np.zeros(0, dtype=np.uint64)
     ids = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(words) < SEED:
-        ids = np.concatenate([ids, np.full(SEED - len(words), len(words), dtype=np.uint64)])
-    return _combined(ids)
+    return np.concatenate([_combined(ids, n) for n in sizes if n])
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             rows = []
             for item_id, item_hash, text in zip(batch["item_id"], batch["item_hash"], batch["text"]):
                 words = words_of(text)
-                rows += [(seed, item_id, item_hash, n, len(words)) for seed, n in Counter(seeds_of(words, hashes).view("i8").tolist()).items()]
+                rows += [(seed, item_id, item_hash, n, len(words)) for seed, n in Counter(seeds_of(words, hashes, [seed_size(len(words))]).view("i8").tolist()).items()]
             yield pd.DataFrame(rows, columns=["seed", "item_id", "item_hash", "places", "n_words"])
 
     return items.mapInPandas(run, "seed long, item_id long, item_hash long, places long, n_words long")
@@ -207,13 +208,13 @@ def seed_filter(seeds: DataFrame) -> bytes:
         yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
 
     out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in seeds.select("seed").coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():  # four rows of 2 MB
+    for r in seeds.select("seed").mapInPandas(run, "bits binary").toLocalIterator():  # a row of 2 MB a task, one at a time
         out |= np.frombuffer(r["bits"], dtype=np.uint8)
     return out.tobytes()
 
 
-def document_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
-    """(doc_id, text_hash, seed): the different seeds of each text that pass the filter."""
+def document_seeds(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
+    """(doc_id, text_hash, seed): the different seeds of these sizes of each text that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
 
     def run(batches):
@@ -224,7 +225,7 @@ def document_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
         for batch in batches:
             at, seeds = [], []
             for i, text in enumerate(batch["text"]):
-                h = seeds_of(words_of(text), hashes)
+                h = seeds_of(words_of(text), hashes, sizes)
                 h = np.unique(h[wanted[h >> np.uint64(64 - FILTER_BITS)]])
                 seeds.append(h)
                 at.append(np.full(len(h), i))
@@ -249,14 +250,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), "text")
     items = common.settle(items.dropDuplicates(["item_id", "item_hash"]), "items")
     seeds = common.settle(item_seeds(items), "item-seeds")
-    hits = common.settle(document_seeds(ready, seed_filter(seeds)), "document-seeds")
+    sizes = sorted(r[0] for r in seeds.select(F.least("n_words", F.lit(SEED)).cast("int")).distinct().collect()) or [SEED]  # up to SEED rows
+    hits = common.settle(document_seeds(ready, seed_filter(seeds), sizes), "document-seeds")
     met = common.lookup(hits, seeds, ["seed"], ["doc_id", "text_hash"]).where("item_id is not null")
     # A tile of n words has n - SEED + 1 seeds, which is n / SEED at least.
     pairs = met.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.sum("places").alias("places"), F.max("n_words").alias("n_words"))
     pairs = common.settle(pairs.where(F.col("places") * SEED >= F.col("n_words") * coverage).drop("places", "n_words"), "pairs")
     keys = common.settle(pairs.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct(), "keys")
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
-    texts = ready.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, same, "left_semi")
+    texts = ready.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     named = items.withColumnRenamed("text", "item")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
         asked = pairs.join(F.broadcast(named), ["item_id", "item_hash"])
