@@ -223,7 +223,8 @@ def repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame
     else:
         seen = index.insert(refs)
     owners = common.settle(index.counts(seen).where("n_docs > 1").select("digest", "owner"), "owners")
-    gone = common.lookup(refs, owners, ["digest"], ["doc_id"]).where("owner <> doc_id")
+    # Rows that repeat an id and its text have the same references.
+    gone = common.lookup(refs, owners, ["digest"], ["doc_id"]).where("owner <> doc_id").dropDuplicates(["doc_id", "text_hash", "digest"])
     return gone.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("lines")).alias("drop"))  # at most a text's lines
 
 
@@ -242,7 +243,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, counts: tuple |
 
     A key held by two or more documents of the index loses its lines in every document but the one with the smallest
     doc_id.  Null and empty texts are one empty line, and null becomes empty.  Rows that repeat an id are one
-    document with several texts; rows with a null id neither count nor lose lines.  All other columns stay, except
+    document with several texts, and rows that also repeat the text lose the same lines each; rows with a null id neither count nor lose lines.  All other columns stay, except
     those of the names `counts`, which are replaced; with counts=None no column is added or replaced but `text`.  An
     empty table gives an empty result.
     """
