@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from quoin.llm import common
 
+#: Digests (32 bytes each) up to which those of repeated rows are broadcast; beyond, their texts are shuffled.
+BROADCAST_DIGESTS = 100_000
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
 
@@ -55,19 +57,20 @@ def token_counts(docs: DataFrame, cache_path: str, json_path: str | None = None,
     texts = docs.select("doc_id", common.text_or_empty().alias("text")).select("doc_id", "text", digest)
     listed = common.settle(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     cached = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    missing = (
-        listed.groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"))
-        .join(cached.select("digest"), "digest", "left_anti")
-        .withColumnRenamed("digest", "missing_digest")
-    )
+    by_id = listed.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")).alias("first")
+    missing = by_id.groupBy("digest").agg(first).join(cached.select("digest"), "digest", "left_anti")
+    missing = common.settle(missing.select(F.col("digest").alias("missing_digest"), F.col("first.doc_id").alias("first_id"), F.col("first.n").alias("n")), "misses")
     # Each missing text's first row brings its text: ids are unique there, so a group of copies moves one text.
-    wanted = texts.join(
-        missing, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("missing_digest")), "left_semi"
-    )
-    # Rows that repeat an id and its text are all first rows; the cache takes one of them.
-    counted = encode_misses(wanted.select("digest", "text"), json_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh = counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
+    once = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("missing_digest"))
+    wanted = texts.join(missing.where("n = 1"), once, "left_semi").select("digest", "text")
+    # Where the first id is repeated (or null) with its text, one row is taken in every task, and then one of those.
+    repeated = missing.where("n > 1").select(F.col("missing_digest").alias("digest"))
+    n_repeated = repeated.count()
+    if n_repeated:
+        held = texts.join(F.broadcast(repeated) if n_repeated <= BROADCAST_DIGESTS else repeated, "digest", "left_semi")
+        wanted = wanted.unionByName(held.select("digest", "text").dropDuplicates(["digest"]))
+    fresh = encode_misses(wanted, json_path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     fresh.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     found = common.lookup(listed, counts, ["digest"], ["doc_id"])
