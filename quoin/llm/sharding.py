@@ -19,7 +19,8 @@ from quoin.llm import common
 SAMPLES = 32
 #: Ranges: at least this many for each shard, and one more for each ROWS_A_RANGE rows.
 RANGES_A_SHARD, ROWS_A_RANGE = 8, 50_000
-#: A range is overfull at this many times the mean; a group of equal texts is split at this part of a shard.
+#: A range is overfull at this many times the mean load; a group of equal texts is split at this part of a shard, by
+#: bytes or by rows.
 OVERFULL, HOT_PART = 4.0, 0.25
 
 
@@ -53,15 +54,17 @@ def _range_of(bounds: list[tuple[int, int]]):
     return place("group", "sub")
 
 
-def splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]:
-    """Boundaries of ranges that hold OVERFULL * total / ranges bytes at most, unless a range is one key.
+def splitters(rows: DataFrame, total: float, ranges: int) -> list[tuple[int, int]]:
+    """Boundaries of ranges whose rows have a load of OVERFULL * total / ranges at most, unless a range is one key.
+
+    A row's load is its part of all bytes and its part of all rows, so that a range is large in neither.
 
     The driver holds the samples (SAMPLES keys of 16 bytes for each range) and the boundaries only.  Overfull ranges are
     subdivided until there are none: each is cut at its last key at least, so this ends.
     """
 
-    def drawn(of: DataFrame, total: int, want: int) -> list[tuple[int, int]]:
-        share = F.col("size") / F.lit(float(total)) * want
+    def drawn(of: DataFrame, total: float, want: int) -> list[tuple[int, int]]:
+        share = F.col("load") / F.lit(float(total)) * want
         chance = F.pmod(F.xxhash64("doc_id", "group", F.lit(want)), F.lit(2**31)) / F.lit(float(2**31))
         got = of.where(chance < share).select("group", "sub").toArrow()
         group, sub = (got.column(x).to_numpy() for x in ("group", "sub"))
@@ -74,7 +77,7 @@ def splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]
     bounds = quantiles(drawn(rows, total, ranges * SAMPLES), ranges)
     while True:
         held = rows.withColumn("range", _range_of(bounds)).groupBy("range").agg(
-            F.sum("size").alias("n"), F.min(F.struct("group", "sub")).alias("least"), F.max(F.struct("group", "sub")).alias("most")
+            F.sum("load").alias("n"), F.min(F.struct("group", "sub")).alias("least"), F.max(F.struct("group", "sub")).alias("most")
         )
         over = held.where((F.col("n") > OVERFULL * total / ranges) & (F.col("least") != F.col("most"))).collect()
         if not over:
@@ -96,7 +99,7 @@ def splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard (0 to shards - 1), slot (gapless in the shard), grown_shard.
 
-    Equal texts share a shard, unless their bytes pass HOT_PART of a shard: such a group is cut by record.  Shard
+    Equal texts share a shard, unless their bytes or rows pass HOT_PART of a shard: such a group is cut by record.  Shard
     sizes differ from the mean by half of one uncut group at most.  Null text: size 1, crc32 of nothing, grouped with
     empty texts.  Rows that repeat an id, and null ids, are placed each.  An empty table gives an empty result.
     """
@@ -106,12 +109,12 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     if not count:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     hot_over = max(total * HOT_PART / shards, 1)
-    # At most shards / HOT_PART groups can be that large.
-    hot = [r[0] for r in rows.groupBy("group").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c")).where((F.col("n") > hot_over) & (F.col("c") > 1)).select("group").collect()]
+    # At most 2 * shards / HOT_PART groups can be that large.
+    hot = [r[0] for r in rows.groupBy("group").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c")).where(((F.col("n") > hot_over) | (F.col("c") > count * HOT_PART / shards)) & (F.col("c") > 1)).select("group").collect()]
     sub = F.when(F.col("group").isin(hot), F.xxhash64("doc_id", F.lit(7))).otherwise(F.lit(0).cast("long")) if hot else F.lit(0).cast("long")
-    rows = rows.withColumn("sub", sub)
+    rows = rows.withColumn("sub", sub).withColumn("load", F.col("size") / F.lit(float(total)) + F.lit(1.0 / count))
     ranges = shards * RANGES_A_SHARD + count // ROWS_A_RANGE
-    bounds = splitters(rows, total, ranges)
+    bounds = splitters(rows, 2.0, ranges)
     ranged = common.settle(rows.withColumn("range", _range_of(bounds)), "ranges")
     sizes = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.sum("size")).collect())  # one row a range
     edges, low = {}, 0
