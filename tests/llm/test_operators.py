@@ -424,9 +424,8 @@ def test_tiling_is_greedy():
         least = r.choice([1, 2, 3, 5])
         assert decontam.tile(ids(doc), ids(item), least) == naive_tiles(doc, item, least)
         share, tiles = decontam.cover(doc, item)
-        if len(item) >= 5:
-            assert share == sum(t[2] for t in naive_tiles(doc, item, 5)) / len(item)
-            assert all(doc[a : a + n] == item[b : b + n] for a, b, n in tiles)
+        assert share == sum(t[2] for t in naive_tiles(doc, item, min(5, len(item)))) / len(item)
+        assert all(doc[a : a + n] == item[b : b + n] for a, b, n in tiles)
 
 
 def test_tiling_of_repetitive_texts_is_bounded():
@@ -444,11 +443,11 @@ def test_decontamination(spark, none):
     items = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (None, "x"), (5, item.upper()), (2, "tiny item")], "item_id long, text string")
     rows = [(1, "start " + item + " end"), (2, " ".join(w[9:]) + " and then " + " ".join(w[:9])), (3, "the quick brown fox jumps high"), (4, None), (5, ""), (6, "Tiny, Item!"), (6, "other"), (7, prose(1, 5000)), (8, "a long story of a tiny item told"), (None, item), (1, "start " + item + " end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted([(1, 1), (1, 5), (2, 1), (2, 5), (6, 2), (-1, 1), (-1, 5)])
+    want = sorted([(1, 1), (1, 5), (2, 1), (2, 5), (6, 2), (8, 2), (-1, 1), (-1, 5)])
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in decontam.contamination(docs, items).collect()) == want
     for clash in ("_id", "_HASH", "_n_items", "item", "k_id", "seed"):
         got = decontam.marked(docs.withColumn(clash, common.F.lit(7)), items)
-        assert sorted(str(r.doc_id) for r in got.where("_contaminated").collect()) == ["1", "1", "2", "6", "None"] and got.count() == len(rows)
+        assert sorted(str(r.doc_id) for r in got.where("_contaminated").collect()) == ["1", "1", "2", "6", "8", "None"] and got.count() == len(rows)
         assert clash == "_n_items" or {r[0] for r in got.select(clash).collect()} == {7}
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(docs, items.limit(0)).count() == 0
 
@@ -458,7 +457,7 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
     r = random.Random(8)
-    items = [(k, prose(900 + k, r.randint(3, 40))) for k in range(25)]
+    items = [(k, prose(900 + k, r.randint(1, 40))) for k in range(30)]
     docs = []
     for i in range(120):
         parts = [prose(2000 + i, r.randint(0, 40))]
@@ -471,7 +470,7 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
     for i, text in docs:
         for k, item in items:
             a, b = decontam.words_of(text), decontam.words_of(item)
-            share = sum(t[2] for t in naive_tiles(a, b, 5)) / len(b) if len(b) >= 5 else float(a == b)
+            share = sum(t[2] for t in naive_tiles(a, b, min(5, len(b)))) / len(b)
             if share >= 0.6:
                 want[i, k] = share
     got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
@@ -602,3 +601,31 @@ def test_quotes(spark):
     }
     assert got[1, 2].text == "But in place?" and got[1, 2].position == 2 and got[2, 7].text == ""
     assert chat_quotes.link_quotes(spark.createDataFrame([], CHAT)).count() == 0
+
+
+def test_repeated_rows_are_worked_on_once(spark, monkeypatch):
+    """500 equal rows, some without an id: only distinct texts are encoded or tiled, and lines are dropped once each."""
+    shared, long = "a line that two documents share", prose(77, 40)
+    rows = [(1, f"{shared}\nx"), (2, f"{shared}\ny"), (2, f"{shared}\ny"), *[(None, long)] * 500, *[(5, "five " + long)] * 300]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    encoded = []
+    real = token_counts.encode_misses
+    monkeypatch.setattr(token_counts, "encode_misses", lambda texts, path: encoded.append(texts.count()) or real(texts, path))
+    got = token_counts.token_counts(docs, common.fresh_path(spark, "cache")).collect()
+    assert encoded == [4] and len(got) == len(rows) and len({r.n_tokens for r in got if r.doc_id is None}) == 1
+    dropped = {(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).where("doc_id < 3").collect()}
+    assert dropped == {(1, 2, 0, f"{shared}\nx"), (2, 2, 1, "y")}
+    hits = decontam.contamination(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.coverage) for r in hits) == [(-1, 1.0), (5, 1.0)]
+
+
+def test_sharding_of_many_empty_texts(spark):
+    """Rows without bytes are a group that is split as well: no shard and no range takes them all."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '' ELSE repeat('w ', CAST(id % 50 AS INT)) || id END AS text")
+    got = sharding.shard(rows).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == 6000 and max(size.values()) <= 1.05 * sum(size.values()) / 8
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
