@@ -118,8 +118,12 @@ def fit_chains(chains: list[list[tuple[list[str], bool, int]]]) -> Crf:
 def sentences_of(pages: DataFrame) -> list[str]:
     """Sentences of a bounded sample of the table's pages, the same in every run: WORD_PAGES of at most WORD_PAGE_CHARS."""
     sample = pages.where(F.length("html").between(1, WORD_PAGE_CHARS)).select("html", F.xxhash64("html").alias("_order"))
+    # First the order of the sample, then its pages: tasks send numbers to the driver, and each page comes once.
+    order = [r[0] for r in sample.select("_order").orderBy("_order").limit(WORD_PAGES).collect()]
+    if not order:
+        return []
     found = set()
-    for row in sample.orderBy("_order", "html").limit(WORD_PAGES).select("html").collect():
+    for row in sample.where(F.col("_order") <= order[-1]).groupBy("_order").agg(F.first("html").alias("html")).collect():
         for text, *_ in page_blocks.blocks(row["html"]):
             found.update(s + "." for s in text.split(". ") if len(s.split()) > 2)
     return sorted(found)
