@@ -61,6 +61,12 @@ VIEWS = {
         CAST(l_linenumber AS DOUBLE) / 4 AS w, CAST(l_quantity % 4 + 1 AS DOUBLE) / 4 AS d,
         CAST(l_quantity * 30 - 720 AS DOUBLE) AS rot, CASE l_partkey % 6 WHEN 0 THEN 'Double Bed' WHEN 1 THEN 'couch'
         WHEN 2 THEN 'bedside-table' WHEN 3 THEN 'Carpet' WHEN 4 THEN 'arm chair' ELSE 'bookshelf' END AS category FROM {lines}""",
+    # A drawing of a thousand pixels a side for each supplier: level and upright bands of ink in four lengths.
+    "bands": """SELECT l_suppkey AS plan, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey,
+        l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS INTEGER) AS ord, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orientation,
+        CAST((l_orderkey * 37 + l_partkey * 11) % 4000 AS DOUBLE) / 4 AS place, CAST(l_partkey % 4 * 200 + l_orderkey % 9 AS DOUBLE) AS s,
+        CAST(l_partkey % 4 * 260 + 90 + l_quantity % 8 AS DOUBLE) AS e, CAST(l_quantity % 8 + 1 AS DOUBLE) AS thickness,
+        CAST(l_linenumber AS DOUBLE) / 8 AS confidence, l_returnflag = 'R' AS external FROM {lineitem}""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 
