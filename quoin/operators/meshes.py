@@ -32,7 +32,7 @@ def floor_triangles(spark, d):
 
 def contacts(rings: DataFrame) -> DataFrame:
     """(plan, layer, poly) of polygons of which two rings touch or cross: no floor can be built on a pinched edge."""
-    e = overlay.edges(rings).withColumn("bin", F.explode(F.sequence(F.floor(F.col("x1") / overlay.BIN), F.floor(F.col("x2") / overlay.BIN))))
+    e = overlay.edges(rings).withColumn("bin", F.explode(overlay.bins(F.col("x1"), F.col("x2"), overlay.BIN)))
     a, b = e.alias("a"), e.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("plan", "layer", "poly", "bin")]
 

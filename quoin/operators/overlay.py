@@ -21,8 +21,8 @@ from quoin.registry import query
 BIN, DECIMALS = 1.0, 9
 
 
-def _bins(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / BIN), F.floor(high / BIN))
+def bins(low: Column, high: Column, width: float) -> Column:
+    return F.sequence(F.floor(low / width), F.floor(high / width))
 
 
 def edges(rings: DataFrame) -> DataFrame:
@@ -42,30 +42,32 @@ def _at(x: Column, e: str = "") -> Column:
     return F.col(f"{e}y1") + (x - F.col(f"{e}x1")) * F.col(f"{e}m")
 
 
-def crossings(slanting: DataFrame) -> DataFrame:
+def crossings(slanting: DataFrame, width: float) -> DataFrame:
     """(plan, x) where two edges cross between their ends; slanting are edges with x1 < x2, their slope m and a bin."""
     a, b = slanting.alias("a"), slanting.alias("b")
     name = lambda e: F.struct(f"{e}.layer", f"{e}.poly", f"{e}.edge")
     turn = F.col("a.m") - F.col("b.m")
     same = (F.col("a.plan") == F.col("b.plan")) & (F.col("a.bin") == F.col("b.bin")) & (name("a") < name("b"))
     # A pair that shares bins meets in the first of them.
-    once = F.col("a.bin") == F.floor(F.greatest("a.x1", "b.x1") / BIN)
+    once = F.col("a.bin") == F.floor(F.greatest("a.x1", "b.x1") / width)
     near = (F.least("a.y1", "a.y2") <= F.greatest("b.y1", "b.y2")) & (F.least("b.y1", "b.y2") <= F.greatest("a.y1", "a.y2"))
     x = F.col("a.x1") + F.try_divide(_at(F.col("a.x1"), "b.") - F.col("a.y1"), turn)
     met = a.join(b, same & once & near & (F.abs(turn) > 1e-12)).select(F.col("a.plan").alias("plan"), F.round(x, DECIMALS).alias("x"), F.greatest("a.x1", "b.x1").alias("low"), F.least("a.x2", "b.x2").alias("high"))
     return met.where("x > low and x < high").select("plan", "x")
 
 
-def cells(rings: DataFrame) -> DataFrame:
+def cells(rings: DataFrame, width: float | None = None) -> DataFrame:
     """Trapezoids (plan, xa, xb, low_a, low_b, high_a, high_b, middle height h, depth0, depth1) with their depths.
 
-    depth0 and depth1 are how many polygons of layer 0 and 1 cover the trapezoid; those under none are left out.
+    depth0 and depth1 are how many polygons of layer 0 and 1 cover the trapezoid; those under none are left out.  width is
+    that of a bin of x: about the length of an edge, so that an edge lies in few.
     """
+    width = width or BIN
     every = edges(rings)
-    slanting = every.where("x1 < x2").withColumn("m", F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))).withColumn("bin", F.explode(_bins(F.col("x1"), F.col("x2"))))
-    cuts = every.select("plan", F.explode(F.array("x1", "x2")).alias("x")).unionByName(crossings(slanting)).distinct()
+    slanting = every.where("x1 < x2").withColumn("m", F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))).withColumn("bin", F.explode(bins(F.col("x1"), F.col("x2"), width)))
+    cuts = every.select("plan", F.explode(F.array("x1", "x2")).alias("x")).unionByName(crossings(slanting, width)).distinct()
     slabs = cuts.select("plan", F.col("x").alias("xa"), F.lead("x").over(Window.partitionBy("plan").orderBy("x")).alias("xb")).where("xb is not null")
-    slabs = slabs.withColumn("bin", F.floor(F.col("xa") / BIN))
+    slabs = slabs.withColumn("bin", F.floor(F.col("xa") / width))
     spans = slabs.join(slanting, ["plan", "bin"]).where("x1 <= xa and x2 >= xb")
     middle = (F.col("xa") + F.col("xb")) / 2
     # Dealt by slab, which serves both windows.
@@ -94,10 +96,11 @@ def scores(found: DataFrame) -> DataFrame:
     return p.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
-def inside_cells(points: DataFrame, found: DataFrame) -> DataFrame:
+def inside_cells(points: DataFrame, found: DataFrame, width: float | None = None) -> DataFrame:
     """Points (plan, ord, x, y) that lie in a trapezoid of `found`; upper and right borders are outside."""
-    binned = found.withColumn("bin", F.explode(_bins(F.col("xa"), F.col("xb"))))
-    at = points.withColumn("bin", F.floor(F.col("x") / BIN)).alias("p")
+    width = width or BIN
+    binned = found.withColumn("bin", F.explode(bins(F.col("xa"), F.col("xb"), width)))
+    at = points.withColumn("bin", F.floor(F.col("x") / width)).alias("p")
     share = F.try_divide(F.col("x") - F.col("xa"), F.col("xb") - F.col("xa"))
     low, high = (F.col(f"{k}_a") + share * (F.col(f"{k}_b") - F.col(f"{k}_a")) for k in ("low", "high"))
     met = at.join(binned, ["plan", "bin"]).where((F.col("xa") <= F.col("x")) & (F.col("x") < F.col("xb")) & (low <= F.col("y")) & (F.col("y") < high))
