@@ -164,21 +164,24 @@ def first_kept(items: DataFrame, clashes: DataFrame) -> DataFrame:
     return free if kept is None else free.unionByName(kept)
 
 
-def dedupe(items: DataFrame) -> DataFrame:
+def dedupe(items: DataFrame, same_kind: bool = True, of_both: bool = False, part: float = NEAR_PART, most: int = MOST) -> DataFrame:
     """Items without those that lie too near a kept larger one of the same category; of equally large ones the first stays.
 
-    At most MOST items of a plan stay, the largest.
+    Too near is less than `part` of the item's shorter side, or (of_both) of the shorter side of both, and NEAR at least.
+    Without same_kind any larger item counts.  At most `most` items of a plan stay, the largest.
     """
     place = F.row_number().over(Window.partitionBy("plan").orderBy(F.desc(F.col("w") * F.col("d")), "ord"))
     ranked = settle(items.withColumn("nth", place), "ranked")
     a, b = ranked.alias("a"), ranked.alias("b")
-    limit = F.greatest(F.lit(NEAR), F.least("b.w", "b.d") * NEAR_PART)
+    side = F.least("a.w", "a.d", "b.w", "b.d") if of_both else F.least("b.w", "b.d")
+    limit = F.greatest(F.lit(NEAR), side * part)
+    kind = F.col("a.category") == F.col("b.category") if same_kind else F.lit(True)
     near = G.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) < limit
-    met = a.join(b, (F.col("a.plan") == F.col("b.plan")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.nth") < F.col("b.nth")) & near)
+    met = a.join(b, (F.col("a.plan") == F.col("b.plan")) & kind & (F.col("a.nth") < F.col("b.nth")) & near)
     clashes = met.select(F.col("a.plan").alias("plan"), F.col("a.ord").alias("early"), F.col("b.ord").alias("late"))
     stays = ranked.join(first_kept(ranked, clashes), ["plan", "ord"])
     nth = F.row_number().over(Window.partitionBy("plan").orderBy("nth"))
-    return stays.withColumn("nth", nth).where(F.col("nth") <= MOST).drop("nth")
+    return stays.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
 
 def rectangles(rooms: DataFrame) -> DataFrame:

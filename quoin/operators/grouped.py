@@ -15,9 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.operators.bands import best_first
+from quoin.operators.furnishing import dedupe
 from quoin.plans.bindings import bound
 from quoin.registry import query
 
+# Fixed value: share of their union that two rooms have in common if they match.
+ROOM_SHARE = 0.5
+
 
 class Part:
     """The rows of one plan: a stretch of a batch's columns, each taken from the frame once a batch."""
@@ -72,56 +77,29 @@ def per_plan(rows: DataFrame, f, schema: str) -> DataFrame:
     return rows.where("plan is not null").withColumn("nth", in_order).mapInPandas(run, schema)
 
 
-def greedy_pairs(edges: list[tuple]) -> list[tuple]:
-    """One-to-one pairs: (score, a, b) ascending, each side used once."""
-    left, right, out = set(), set(), []
-    for score, a, b in sorted(edges):
-        if a not in left and b not in right:
-            left.add(a)
-            right.add(b)
-            out.append((a, b, score))
-    return out
-
-
 def most_pairs(edges: list[tuple]) -> list[tuple]:
     """A maximum-cardinality matching by augmenting paths; of a node's edges the best (lowest score) is tried first."""
     near: dict = {}
     for score, a, b in sorted(edges):
         near.setdefault(a, []).append(b)
     owner: dict = {}
-
-    def place(a, seen) -> bool:
-        for b in near[a]:
-            if b not in seen:
-                seen.add(b)
-                if b not in owner or place(owner[b], seen):
-                    owner[b] = a
-                    return True
-        return False
-
-    for a in near:
-        place(a, set())
-    return sorted((a, b) for b, a in owner.items())
-
-
-def suppressed(items: list[tuple], same_kind: bool, both_sides: bool, cap: int) -> list:
-    """Largest first; an item goes if a kept one is nearer than half (.55) its shorter side, .25 m at least.
-
-    items: (ord, kind, x, y, w, d); both_sides takes the shorter side of both items with .5.
-    """
-    kept: list[tuple] = []
-    for item in sorted(items, key=lambda i: (-i[4] * i[5], i[0])):
-        for other in kept:
-            if same_kind and other[1] != item[1]:
+    for root in near:
+        # A walk of (node, its untried neighbours); what it has passed is taken over from the end when a free one is met.
+        walk, passed, seen = [(root, iter(near[root]))], [], set()
+        while walk:
+            b = next((b for b in walk[-1][1] if b not in seen), None)
+            if b is None:
+                walk.pop()
+                passed = passed[: max(0, len(walk) - 1)]
                 continue
-            side = min(item[4], item[5], *((other[4], other[5]) if both_sides else ()))
-            if ((item[2] - other[2]) ** 2 + (item[3] - other[3]) ** 2) ** 0.5 < max(0.25, (0.5 if both_sides else 0.55) * side):
+            seen.add(b)
+            passed.append(b)
+            if b not in owner:
+                for (a, _), taken in zip(walk, passed):
+                    owner[taken] = a
                 break
-        else:
-            kept.append(item)
-            if len(kept) == cap:
-                break
-    return [k[0] for k in kept]
+            walk.append((owner[b], iter(near[owner[b]])))
+    return sorted((a, b) for b, a in owner.items())
 
 
 def line_gaps(walls: list[tuple], tolerance: float) -> list[tuple]:
@@ -270,16 +248,21 @@ def _free(part) -> set:
     return {(x, y) for x in range(SIDE) for y in range(SIDE)} - blocked_cells(part) | {(0, 0)}
 
 
-@query("greedy_match", (119,), None)
+@query("greedy_match", (119,), """
+WITH RECURSIVE c AS (SELECT a.plan, a.ord AS hint, b.ord AS item, round((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), 9) AS score FROM {furniture} a JOIN {furniture} b ON a.plan = b.plan AND a.ord % 2 = 1 AND b.ord % 2 = 0 AND abs(a.x-b.x) <= 2 AND abs(a.y-b.y) <= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY score, hint, item) AS n FROM c),
+g AS (SELECT DISTINCT plan, CAST(0 AS BIGINT) AS n, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS hint, CAST(NULL AS INTEGER) AS item, CAST(NULL AS DOUBLE) AS score FROM o UNION ALL
+ SELECT o.plan, o.n, CASE WHEN list_has_any(used, [o.hint, o.item]) THEN used ELSE list_concat(used, [o.hint, o.item]) END, CASE WHEN NOT list_has_any(used, [o.hint, o.item]) THEN o.hint END, o.item, o.score FROM g JOIN o ON o.plan = g.plan AND o.n = g.n + 1)
+SELECT plan, hint, item, score FROM g WHERE hint IS NOT NULL""")
 def greedy_match(spark, d):
     """Hints (odd places) to footprints (even places) of a plan, nearest first, each used once."""
-
-    def run(part):
-        rows = list(part[["ord", "x", "y"]].itertuples(index=False))
-        edges = [(round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 9), int(a.ord), int(b.ord)) for a in rows if a.ord % 2 for b in rows if not b.ord % 2 and abs(a.x - b.x) <= 2 and abs(a.y - b.y) <= 2]
-        return [(a, b, float(s)) for a, b, s in greedy_pairs(edges)]
-
-    return per_plan(bound(spark, d, "furniture"), run, "plan long, hint int, item int, score double")
+    f = bound(spark, d, "furniture").select("plan", "ord", "x", "y")
+    a, b = f.where("ord % 2 = 1").alias("a"), f.where("ord % 2 = 0").alias("b")
+    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
+    near = a.join(b, (F.col("a.plan") == F.col("b.plan")) & (F.abs(dx) <= 2) & (F.abs(dy) <= 2))
+    # Places and distances below 0: the best pair is the nearest one, of equal ones that of the smaller places.
+    pairs = near.select(F.col("a.plan").alias("plan"), (-F.col("a.ord")).alias("a"), (-F.col("b.ord")).alias("b"), (-F.round(dx * dx + dy * dy, 9)).alias("score"))
+    return best_first(pairs).select("plan", (-F.col("a")).alias("hint"), (-F.col("b")).alias("item"), (-F.col("score")).alias("score"))
 
 
 @query("maximum_match", (120,), None)
@@ -294,27 +277,30 @@ def maximum_match(spark, d):
                 if a.ord % 2 and not b.ord % 2:
                     both = max(0, min(a.x1, b.x1) - max(a.x0, b.x0)) * max(0, min(a.y1, b.y1) - max(a.y0, b.y0))
                     union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - both
-                    if both / union >= 0.1:
+                    if both / union >= ROOM_SHARE:
                         edges.append((-both / union, int(a.ord), int(b.ord)))
         return most_pairs(edges)
 
     return per_plan(bound(spark, d, "rooms"), run, "plan long, a int, b int")
 
 
-@query("suppress_fit", (161, 191), None)
-def suppress_fit(spark, d):
-    def run(part):
-        return [(o,) for o in suppressed(list(part[["ord", "category", "x", "y", "w", "d"]].itertuples(index=False, name=None)), True, False, 100)]
+_KEPT = """WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY w*d DESC, ord) AS nth FROM {{furniture}}),
+g AS (SELECT DISTINCT plan, CAST(0 AS BIGINT) AS nth, CAST([] AS STRUCT(c VARCHAR, x DOUBLE, y DOUBLE, s DOUBLE)[]) AS kept, CAST(NULL AS INTEGER) AS taken FROM i UNION ALL
+ SELECT plan, nth, CASE WHEN near OR len(kept) = {most} THEN kept ELSE list_append(kept, struct_pack(c := category, x := x, y := y, s := least(w, d))) END, CASE WHEN near OR len(kept) = {most} THEN NULL ELSE ord END
+ FROM (SELECT i.*, kept, len(list_filter(kept, lambda h: {kind} AND sqrt((h.x-i.x)*(h.x-i.x) + (h.y-i.y)*(h.y-i.y)) < greatest(0.25, {side}))) > 0 AS near FROM g JOIN i ON i.plan = g.plan AND i.nth = g.nth + 1))
+SELECT plan, taken AS ord FROM g WHERE taken IS NOT NULL"""
 
-    return per_plan(bound(spark, d, "furniture"), run, "plan long, ord int")
 
+@query("suppress_fit", (161, 191), _KEPT.format(most=100, kind="h.c = i.category", side="least(i.w, i.d)*0.55"))
+def suppress_fit(spark, d):
+    """Furniture less what lies too near a kept larger piece of its kind."""
+    return dedupe(bound(spark, d, "furniture")).select("plan", "ord")
 
-@query("suppress_detect", (162,), None)
-def suppress_detect(spark, d):
-    def run(part):
-        return [(o,) for o in suppressed(list(part[["ord", "category", "x", "y", "w", "d"]].itertuples(index=False, name=None)), False, True, 80)]
 
-    return per_plan(bound(spark, d, "furniture"), run, "plan long, ord int")
+@query("suppress_detect", (162,), _KEPT.format(most=80, kind="true", side="least(h.s, i.w, i.d)*0.5"))
+def suppress_detect(spark, d):
+    """Detected pieces less what lies too near a kept larger one of any kind, by the shorter side of both."""
+    return dedupe(bound(spark, d, "furniture"), same_kind=False, of_both=True, part=0.5, most=80).select("plan", "ord")
 
 
 @query("merge_collinear", (142, 143, 144), None)
@@ -335,7 +321,12 @@ def merge_collinear(spark, d):
     return per_plan(bound(spark, d, "walls"), run, "plan long, ord int, n int, horizontal boolean, line double, s double, e double, thickness double")
 
 
-@query("grid_distance", (235, 237), None)
+@query("grid_distance", (235, 237), """
+WITH RECURSIVE w AS (SELECT l_partkey AS plan, list(DISTINCT CAST((l_suppkey*5 + l_linenumber) % 16 * 16 + (l_suppkey + CAST(l_quantity AS INTEGER) + l_linenumber*7) % 16 AS INTEGER)) AS walls FROM lineitem GROUP BY l_partkey),
+b AS (SELECT plan, walls, CAST(0 AS INTEGER) AS steps, [CAST(0 AS BIGINT)] AS edge, [CAST(0 AS BIGINT)] AS seen FROM w UNION ALL
+ SELECT plan, walls, steps + 1, n, list_concat(seen, n) FROM (SELECT *, list_distinct(list_filter(flatten(list_transform(edge, lambda c: [CASE WHEN c >= 16 THEN c - 16 END, CASE WHEN c < 240 THEN c + 16 END, CASE WHEN c % 16 > 0 THEN c - 1 END, CASE WHEN c % 16 < 15 THEN c + 1 END])),
+  lambda c: c IS NOT NULL AND NOT list_contains(walls, c) AND NOT list_contains(seen, c))) AS n FROM b) WHERE len(n) > 0)
+SELECT plan, CAST(c // 16 AS INTEGER) AS gx, CAST(c % 16 AS INTEGER) AS gy, steps FROM (SELECT plan, steps, unnest(edge) AS c FROM b)""")
 def grid_distance(spark, d):
     """Steps from the corner to every free cell that can be reached."""
     return per_plan(_grid(spark, d), lambda part: [(x, y, n) for (x, y), n in sorted(breadth_first(_free(part), (0, 0)).items())], "plan long, gx int, gy int, steps int")
@@ -362,7 +353,11 @@ def grid_route(spark, d):
     return per_plan(_grid(spark, d), run, "plan long, step int, gx int, gy int, length int")
 
 
-@query("tour_nearest_first", (192,), None)
+@query("tour_nearest_first", (192,), """
+WITH RECURSIVE r AS (SELECT plan, list(struct_pack(o := ord, x := (x0+x1)/2, y := (y0+y1)/2)) AS rooms FROM {rooms} GROUP BY plan),
+t AS (SELECT plan, -1 AS stop, rooms, 0e0 AS x, 0e0 AS y, CAST(NULL AS INTEGER) AS room FROM r UNION ALL
+ SELECT plan, stop + 1, list_filter(rooms, lambda v: v.o <> b.o), b.x, b.y, b.o FROM (SELECT plan, stop, rooms, list_sort(list_transform(rooms, lambda v: struct_pack(d := (v.x-x)*(v.x-x) + (v.y-y)*(v.y-y), o := v.o, x := v.x, y := v.y)))[1] AS b FROM t WHERE len(rooms) > 0))
+SELECT plan, stop, room FROM t WHERE stop >= 0""")
 def tour_nearest_first(spark, d):
     """Rooms in the order of a walk that goes to the nearest unvisited middle each time."""
 

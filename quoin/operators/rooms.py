@@ -1,68 +1,25 @@
-"""From walls to rooms: reconstruction of walls, faces that become rooms, names that carry over, closure of the outline."""
+"""From walls to rooms: faces that become rooms, names that carry over, closure of the outline."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.operators.grouped import line_gaps, merged, per_plan
-from quoin.operators.polygons import clipped, faces, ring_area
+from quoin.operators import overlay
+from quoin.operators.grouped import line_gaps, per_plan
+from quoin.operators.polygons import faces, ring_area
+from quoin.operators.swings import dealt_in_order
 from quoin.plans.bindings import bound
 from quoin.registry import query
+from quoin.sources.folders import settle
 
-# Fixed values in metres, square metres and degrees: least wall and room, snap of junctions, thickness and its factors.
-WALL_LEAST, ROOM_LEAST, SNAP, ANGLE = 0.20, 0.45, 0.20, 7.0
-THICKNESS, MERGE_FACTOR, GAP_FACTOR = 0.12, 1.5, 2.5
+# Fixed values in square metres and metres: least room, snap of junctions, thickness; shares that count as the same room and as full.
+ROOM_LEAST, SNAP, THICKNESS = 0.45, 0.20, 0.12
 OVERLAP, FULL_COVER = 0.5, 0.70
 
 
-def turned_to_axis(x1: float, y1: float, x2: float, y2: float, degrees: float = ANGLE) -> tuple[float, float, float, float]:
-    """A segment within some degrees of an axis, laid along it through its middle."""
-    angle = math.degrees(math.atan2(abs(y2 - y1), abs(x2 - x1)))
-    if angle <= degrees:
-        return x1, (y1 + y2) / 2, x2, (y1 + y2) / 2
-    if angle >= 90 - degrees:
-        return (x1 + x2) / 2, y1, (x1 + x2) / 2, y2
-    return x1, y1, x2, y2
-
-
-def joined_lines(walls: list[tuple], reach: float, gap: float) -> list[tuple]:
-    """Level and upright walls (x1, y1, x2, y2, thickness) merged along their lines; slanting ones stay."""
-    out = [w for w in walls if w[0] != w[2] and w[1] != w[3]]
-    for flat in (True, False):
-        a, b, line = (0, 2, 1) if flat else (1, 3, 0)
-        mine = [(i, w[line], min(w[a], w[b]), max(w[a], w[b]), w[4]) for i, w in enumerate(walls) if (w[1] == w[3] if flat else w[0] == w[2] and w[1] != w[3])]
-        for _, _, c, s, e, t in merged(mine, reach, gap):
-            out.append((s, c, e, c, t) if flat else (c, s, c, e, t))
-    return out
-
-
-def at_crossings(walls: list[tuple], reach: float) -> list[tuple]:
-    """Level and upright walls whose ends come near a perpendicular wall's line end on it."""
-    out = [list(w) for w in walls]
-    for h in out:
-        if h[1] != h[3]:
-            continue
-        for v in out:
-            if v[0] != v[2] or v[1] == v[3]:
-                continue
-            (hx0, hx1), (vy0, vy1), x, y = sorted((h[0], h[2])), sorted((v[1], v[3])), v[0], h[1]
-            if hx0 - reach <= x <= hx1 + reach and vy0 - reach <= y <= vy1 + reach:
-                h[0], h[2] = x if abs(x - hx0) <= reach else hx0, x if abs(x - hx1) <= reach else hx1
-                v[1], v[3] = y if abs(y - vy0) <= reach else vy0, y if abs(y - vy1) <= reach else vy1
-    return [tuple(w) for w in out]
-
-
-def reconstructed(walls: list[tuple], thickness: float = THICKNESS) -> list[tuple]:
-    """Detected segments as walls: laid along the axes, merged, drawn to their crossings, merged again, in reading order."""
-    reach, gap = max(thickness * MERGE_FACTOR, 0.04), max(thickness * GAP_FACTOR, 0.08)
-    long_enough = lambda rows: [w for w in rows if math.hypot(w[2] - w[0], w[3] - w[1]) >= WALL_LEAST]
-    rows = long_enough(joined_lines([(*turned_to_axis(*w[:4]), w[4]) for w in walls], reach, gap))
-    rows = long_enough(joined_lines(at_crossings(rows, gap), reach, 0.01))
-    return sorted(rows, key=lambda w: (round(w[1], 4), round(w[0], 4), round(w[3], 4), round(w[2], 4)))
-
-
 def snapped_ends(walls: list[tuple], reach: float = SNAP) -> list[tuple]:
     """Walls (x1, y1, x2, y2, ...) with both ends moved to the nearest other wall within reach; all by the walls as given."""
     out = []
@@ -98,45 +55,9 @@ def rooms_of(walls: list[tuple]) -> list[list[tuple]]:
     return [ring for ring in faces(lines) if ring_area(ring) >= ROOM_LEAST]
 
 
-def common_area(ring: list[tuple], box: tuple) -> float:
-    """Area common to a counter-clockwise ring and a box (x0, y0, x1, y1)."""
-    x0, y0, x1, y1 = box
-    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-    for a, b in zip(corners, corners[1:] + corners[:1]):
-        ring = clipped(ring, a, b)
-    return abs(ring_area(ring)) if len(ring) >= 3 else 0.0
-
-
-def carried(rings: list[list[tuple]], boxes: list[tuple]) -> list[int | None]:
-    """For each face, the largest first, the unused earlier room that shares most of the smaller area, OVERLAP at least."""
-    used, out = set(), []
-    for ring in rings:
-        best = None
-        for k, box in enumerate(boxes):
-            smaller = min(ring_area(ring), (box[2] - box[0]) * (box[3] - box[1]))
-            if k in used or smaller <= 0:
-                continue
-            share = common_area(ring, box) / smaller
-            if share >= OVERLAP and (best is None or share > best[0]):
-                best = (share, k)
-        out.append(best and best[1])
-        used.add(best and best[1])
-    return out
-
-
 WALL = ["x1", "y1", "x2", "y2", "thickness"]
 
 
-@query("reconstructed_walls", (145, 146), None)
-def reconstructed_walls(spark, d):
-    """The walls of each plan, reconstructed, in reading order."""
-
-    def run(part):
-        return [(i, *w) for i, w in enumerate(reconstructed(list(part[WALL].itertuples(name=None))))]
-
-    return per_plan(bound(spark, d, "axis_walls"), run, "plan long, place int, x1 double, y1 double, x2 double, y2 double, thickness double")
-
-
 @query("rooms_from_walls", (229,), None)
 def rooms_from_walls(spark, d):
     """Rooms as faces of each plan's wall graph, the largest first: corners, area, and its bounds."""
@@ -164,16 +85,32 @@ def exterior_closure(spark, d):
     return per_plan(bound(spark, d, "room_walls"), run, "plan long, closure double")
 
 
+def carried(faces_, rooms) -> DataFrame:
+    """(plan, face, room): faces, the largest first, each with the earlier room left over that shares most with it.
+
+    faces_: plan, face, ring, from the largest on; rooms: plan, room, ring.  What counts is the common area's part of the
+    smaller one, OVERLAP at least; of equal ones the first room is taken.
+    """
+    pairs = faces_.select("plan", "face", F.col("ring").alias("a")).join(rooms.select("plan", "room", F.col("ring").alias("b")), "plan")
+    edge = lambda r, c, f: f(F.transform(r, lambda p: p[c]))
+    near = [(edge("a", c, F.array_min) < edge("b", c, F.array_max)) & (edge("b", c, F.array_min) < edge("a", c, F.array_max)) for c in "xy"]
+    pairs = settle(pairs.where(near[0] & near[1]).select(F.struct("plan", "face", "room").alias("plan"), "a", "b"), "pairs")
+    layer = lambda n, ring: pairs.select("plan", F.lit(n).alias("layer"), F.lit(0).alias("poly"), F.lit(0).alias("part"), F.col(ring).alias("ring"))
+    area = overlay.areas(overlay.cells(layer(0, "a").unionByName(layer(1, "b"))))
+    share = F.try_divide(F.col("both"), F.least("first", "second"))
+    wishes = area.select("plan.plan", F.col("plan.face").alias("taker"), F.col("plan.room").alias("given"), share.alias("value")).where(F.col("value") >= OVERLAP)
+    return dealt_in_order(wishes).select("plan", F.col("taker").alias("face"), F.col("given").alias("room"))
+
+
 @query("carried_rooms", (117,), None)
 def carried_rooms(spark, d):
     """Faces of each plan's walls with the earlier room whose name they keep, if any."""
-    walls = bound(spark, d, "room_walls").select("plan", "ord", F.lit(True).alias("wall"), *WALL)
-    rooms = bound(spark, d, "rooms").select("plan", (F.col("ord") + 1000).alias("ord"), F.lit(False).alias("wall"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.lit(0.0).alias("thickness"))
 
     def run(part):
-        rows = list(part[["wall", "ord", *WALL]].itertuples(name=None))
-        rings = rooms_of([r[2:] for r in rows if r[0]])
-        before = [r for r in rows if not r[0]]
-        return [(i, None if k is None else int(before[k][1]) - 1000) for i, k in enumerate(carried(rings, [r[2:6] for r in before]))]
+        return [(i, [{"x": x, "y": y} for x, y in ring]) for i, ring in enumerate(rooms_of(list(part[WALL].itertuples(name=None))))]
 
-    return per_plan(walls.unionByName(rooms), run, "plan long, face int, room int")
+    found = settle(per_plan(bound(spark, d, "room_walls"), run, "plan long, face int, ring array<struct<x:double,y:double>>"), "faces")
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+    rooms = bound(spark, d, "rooms").select("plan", F.col("ord").alias("room"), ring.alias("ring"))
+    return found.select("plan", "face").join(carried(found, rooms), ["plan", "face"], "left")

@@ -53,7 +53,7 @@ def fold(events: DataFrame, limit: float | None = None) -> DataFrame:
     A job that works for more than `limit` seconds when its next event comes has run into its timeout before that.
     """
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         state, before, version, taken, since = "created", "created", 0, 0, 0.0
         for at, event in part.sort_values(["ts", "event_id"])[["ts", "event"]].itertuples(index=False):
             if limit is not None and state in WORKING and at - since > limit:
@@ -76,7 +76,7 @@ def fold_stream(events: DataFrame, limit: float | None = None) -> DataFrame:
 
     columns = ["job", "state", "version", "taken", "refused"]
 
-    def run(key, parts: Iterator[pd.DataFrame], held: GroupState):
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, before, version, taken, refused = held.get if held.exists else ("created", "created", 0, 0, 0)
         if held.hasTimedOut:
             state, before, version, _ = step(state, before, int(version), "timeout")
@@ -104,7 +104,19 @@ def job_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("job"), seconds.alias("ts"), "event_id", F.get(F.array(*map(F.lit, kinds)), which.cast("int")).alias("event"))
 
 
-@query("job_fsm", (275, 276, 277, 278, 280, 281, 306, 307), None)
+_STATES = ", ".join(f"('{event}', '{state}', '{to}', {int(bump)})" for (event, state), (to, bump) in TABLE.items())
+_RESTART = ", ".join(f"('restart', '{state}', '{to}', 0)" for state, to in RESTART.items())
+
+
+@query("job_fsm", (275, 276, 277, 278, 280, 281, 306, 307), f"""
+WITH RECURSIVE e AS (SELECT user_id AS job, epoch_us(ts)/1e6 AS secs, CASE WHEN event_id % 3 = 0 THEN 'start' ELSE ['upload_invalid', 'discard', 'start', 'worker_ok', 'worker_failed', 'save', 'save_ok', 'save_failed', 'generate', 'generate_ok', 'generate_blocked', 'generate_failed', 'restart'][(event_id*7 + user_id) % 13 + 1] END AS event,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), t(event, state, goal, bump) AS (VALUES {_STATES}, {_RESTART}),
+j AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, 'created' AS state, 'created' AS before, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS refused, 0e0 AS since FROM e UNION ALL
+ SELECT x.job, x.n, CASE WHEN t.goal IS NULL THEN s WHEN t.goal = 'restored' THEN before ELSE t.goal END, CASE WHEN t.goal = 'saving_corrections' THEN s ELSE before END, version + coalesce(t.bump, 0),
+  taken + CASE WHEN t.goal IS NULL THEN 0 ELSE 1 END, refused + CASE WHEN t.goal IS NULL THEN 1 ELSE 0 END, CASE WHEN t.goal IS NULL OR CASE WHEN t.goal = 'restored' THEN before ELSE t.goal END = s THEN since ELSE secs END
+ FROM (SELECT e.*, j.before, j.version, j.taken, j.refused, j.since, CASE WHEN j.state = 'processing' AND e.secs - j.since > {LIMIT * 3600} THEN 'failed' WHEN j.state = 'generating' AND e.secs - j.since > {LIMIT * 3600} THEN 'generation_failed' ELSE j.state END AS s FROM j JOIN e ON e.job = j.job AND e.n = j.n + 1) x
+ LEFT JOIN t ON t.event = x.event AND t.state = x.s)
+SELECT job, state, version, taken, refused FROM j QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1""")
 def job_fsm(spark, d):
     return fold(job_events(bound(spark, d, "events")), LIMIT * 3600)  # events lie hours apart
 

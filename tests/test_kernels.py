@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import random
 
 import numpy as np
 import pytest
@@ -75,8 +77,15 @@ def test_scale_tiers(spark):
 
 def test_matching():
     edges = [(1, "a", "x"), (2, "a", "y"), (3, "b", "x")]
-    assert grouped.greedy_pairs(edges) == [("a", "x", 1)]
     assert grouped.most_pairs(edges) == [("a", "y"), ("b", "x")]
+    chain = [e for k in range(3000) for e in ((k, k, k), (k + 0.5, k, k - 1 if k else 3000))][::-1]
+    assert len(grouped.most_pairs(chain)) == 3000
+    r = random.Random(4)
+    for _ in range(300):  # as many pairs as any set of edges without a common end has
+        few = [(r.random(), a, b) for a in range(r.randint(1, 5)) for b in range(4) if r.random() < 0.5]
+        got = grouped.most_pairs(few)
+        most = max(len(c) for n in range(len(few) + 1) for c in itertools.combinations(few, n) if len({x[1] for x in c}) == len({x[2] for x in c}) == n) if len(few) < 12 else len(got)
+        assert len(got) == most and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) and set(got) <= {(a, b) for _, a, b in few}
 
 
 def test_line_gaps():
@@ -166,9 +175,14 @@ def test_masks():
     assert polygons.drawn([(1.0, 1.0, 5.0, 1.0, 0.5)], 6, 1.0)[0:2, 1:5].any()
 
 
-def test_suppression_and_merging():
-    items = [(0, "a", 0.0, 0.0, 2.0, 2.0), (1, "a", 0.1, 0.0, 1.0, 1.0), (2, "b", 0.1, 0.0, 1.0, 1.0)]
-    assert grouped.suppressed(items, True, False, 100) == [0, 2] and grouped.suppressed(items, False, True, 80) == [0]
+def test_suppression_and_merging(spark):
+    from quoin.operators.furnishing import dedupe
+
+    items = [(1, 0, "a", 0.0, 0.0, 2.0, 2.0), (1, 1, "a", 0.1, 0.0, 1.0, 1.0), (1, 2, "b", 0.1, 0.0, 1.0, 1.0)]
+    given = spark.createDataFrame(items, "plan long, ord int, category string, x double, y double, w double, d double")
+    assert sorted(r.ord for r in dedupe(given).collect()) == [0, 2]
+    assert [r.ord for r in dedupe(given, same_kind=False, of_both=True, part=0.5, most=80).collect()] == [0]
+    assert [r.ord for r in dedupe(given, most=1).collect()] == [0]
     walls = [(0, 0.0, 0.0, 1.0, 0.1), (1, 0.1, 1.1, 2.0, 0.3), (2, 3.0, 0.0, 1.0, 0.1)]
     assert [m[:2] for m in grouped.merged(walls, 0.2, 0.15)] == [(0, 2), (2, 1)]
     assert grouped.pulled([(0, 0), (1, 0), (2, 0)], lambda p, q: True) == [(0, 0), (2, 0)]
@@ -189,16 +203,32 @@ def test_affine_texts():
     assert affine("scale()") is affine("rotate(1 2)") is affine("skewX(1)") is affine("scale(2) rest") is affine("scale(nan)") is None
 
 
-def test_walls_are_reconstructed():
-    from quoin.operators import rooms
+def test_walls_are_reconstructed(spark):
+    from quoin.operators import reconstruction, rooms
 
     raw = [(0, 0, 2, 0.05, 0.1), (2.1, 0, 4, 0, 0.2), (4.05, -0.1, 4.05, 3, 0.1), (0, 3, 4.2, 3, 0.1), (0, 0.1, 0, 2.9, 0.1), (1, 1, 1.1, 1, 0.1)]
-    got = rooms.reconstructed([(*map(float, w),) for w in raw])
-    assert len(got) == 4 and got[0][4] == 0.2 and (got[0][0], got[0][2]) == (0, 4.05)
+    slanting = [(10.0, 0.0, 12.0, 1.0, 0.1), (12.1, 0.05, 14.0, 0.0, 0.3), (11.0, -0.2, 11.5, 5.0, 0.1), (14.2, 0.1, 14.2, 0.2, 0.1)]
+    walls = spark.createDataFrame([(p, i, *map(float, w)) for p, rows in ((1, raw), (2, slanting)) for i, w in enumerate(rows)], "plan long, ord int, x1 double, y1 double, x2 double, y2 double, thickness double")
+    found = {p: sorted((w.level, *(round(v, 6) for v in (w.line, w.s, w.e, w.thickness))) for w in reconstruction.reconstruct(walls).collect() if w.plan == p) for p in (1, 2)}
+    assert found[1] == [(False, 0.0, 0.0125, 3.0, 0.1), (False, 4.05, 0.0125, 3.0, 0.1), (True, 0.0125, 0.0, 4.05, 0.2), (True, 3.0, 0.0, 4.05, 0.1)]
+    # A slanting wall merges by its lower end's line; an upright one that is near enough is drawn onto it.
+    assert found[2] == [(False, 11.25, 0.0125, 5.0, 0.1), (True, 0.0125, 10.0, 14.0, 0.3)]
+    assert reconstruction.reconstruct(walls.limit(0)).count() == 0
+    got = [(s, c, e, c, t) if level else (c, s, c, e, t) for level, c, s, e, t in found[1]]
     (ring,) = rooms.rooms_of(got)
     assert len(ring) >= 4 and abs(rooms.ring_area(ring) - 4.05 * 3) < 0.3
-    assert rooms.carried([ring], [(9, 9, 10, 10), (0, 0, 4, 3)]) == [1] and rooms.carried([ring], []) == [None]
-    assert abs(rooms.common_area(ring, (1, 1, 2, 2)) - 1) < 1e-9
+
+
+def test_faces_keep_the_names_of_rooms(spark):
+    from quoin.operators import rooms
+
+    box = lambda x0, y0, x1, y1: [(float(x), float(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    faces = [(1, 0, box(0, 0, 4, 4)), (1, 1, box(4, 0, 7, 4)), (1, 2, box(0, 4, 2, 6)), (2, 0, box(0, 0, 1, 1))]
+    before = [(1, 0, box(9, 9, 10, 10)), (1, 1, box(0, 0, 4, 3)), (1, 2, box(0, 0, 4, 4)), (1, 3, box(3, 0, 6, 4)), (1, 4, box(1, 1, 3, 5))]
+    ring = "ring array<struct<x:double,y:double>>"
+    got = rooms.carried(spark.createDataFrame(faces, f"plan long, face int, {ring}"), spark.createDataFrame(before, f"plan long, room int, {ring}"))
+    # Rooms 1 and 2 lie wholly in the largest face, which takes the first; the next takes what shares two thirds of it.
+    assert {tuple(x) for x in got.collect()} == {(1, 0, 1), (1, 1, 3)}
 
 
 def test_rooms_need_closed_walls():
