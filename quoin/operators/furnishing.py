@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as G
+from quoin.functions.text import let
 from quoin.plans.bindings import bound
 from quoin.registry import query
 from quoin.sources.folders import settle
@@ -107,24 +108,34 @@ def fit(items: DataFrame, rooms: DataFrame) -> DataFrame:
     """
     rooms = settle(bounds(rooms), "rooms")
     usable = rooms.join(safe_points(rooms), ["plan", "room"]).where((F.col("width") > 2 * MARGIN) & (F.col("depth") > 2 * MARGIN) & (F.col("clear") > MARGIN))
-    mine = items.join(rooms_of(items, rooms), ["plan", "ord"]).join(usable.select("plan", "room", "sx", "sy", "width", "depth"), ["plan", "room"])
+    mine = items.join(rooms_of(items, rooms), ["plan", "ord"]).join(usable.select("plan", "room", "sx", "sy", "left", "bottom", "right", "top", "width", "depth"), ["plan", "room"])
     side = lambda own, room: F.least(own, F.greatest(F.lit(LEAST_SIDE), room - 2 * MARGIN), F.greatest(F.lit(LEAST_SIDE), room * PART_OF_ROOM))
-    sized = mine.withColumns({"w0": side(F.col("w"), F.col("width")), "d0": side(F.col("d"), F.col("depth"))})
+    sized = settle(mine.withColumns({"w0": side(F.col("w"), F.col("width")), "d0": side(F.col("d"), F.col("depth")), "c": F.cos(F.radians("rot")), "s": F.sin(F.radians("rot"))}), "sized")
     tries = F.array(*[F.struct(F.lit(len(SCALES) * i + j).alias("k"), F.lit(m).alias("move"), F.lit(s).alias("scale")) for i, m in enumerate(MOVES) for j, s in enumerate(SCALES)])
     tried = sized.select("*", F.explode(tries).alias("t")).withColumns({
         "cx": F.col("x") + (F.col("sx") - F.col("x")) * F.col("t.move"), "cy": F.col("y") + (F.col("sy") - F.col("y")) * F.col("t.move"),
         "fw": F.greatest(F.lit(LEAST_SIDE), F.col("w0") * F.col("t.scale")), "fd": F.greatest(F.lit(LEAST_SIDE), F.col("d0") * F.col("t.scale")),
-    }).select("plan", "ord", "room", F.col("t.k").alias("k"), "cx", "cy", "fw", "fd", F.cos(F.radians("rot")).alias("c"), F.sin(F.radians("rot")).alias("s"))
-    # In the item's own frame its footprint is a box about 0, and a side of the room a segment.
-    met = tried.join(sides(rooms), ["plan", "room"])
+    }).select("plan", "ord", "room", F.col("t.k").alias("k"), "cx", "cy", "fw", "fd", "left", "bottom", "right", "top", "c", "s")
+    # What does not fit into the room's bounds, turned as it is, needs no further look.
+    reach = [(F.abs(F.col(a)) * F.col("fw") + F.abs(F.col(b)) * F.col("fd")) / 2 + MARGIN - SLACK for a, b in (("c", "s"), ("s", "c"))]
+    tried = settle(tried.where(F.col("cx").between(F.col("left") + reach[0], F.col("right") - reach[0]) & F.col("cy").between(F.col("bottom") + reach[1], F.col("top") - reach[1])), "tried")
+    # In the item's own frame its footprint is a box about 0, and a side of the room a segment.  Rows are few bytes and much
+    # work, so they are dealt to all cores, by room, whatever their size.
+    spark = items.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    met = tried.repartition(n, "plan", "room").join(sides(rooms), ["plan", "room"])
     local = {k: ((F.col(f"x{k}") - F.col("cx")) * F.col("c") + (F.col(f"y{k}") - F.col("cy")) * F.col("s"), (F.col(f"y{k}") - F.col("cy")) * F.col("c") - (F.col(f"x{k}") - F.col("cx")) * F.col("s")) for k in (1, 2)}
-    met = met.withColumns({"odd": _crossed(F.col("cx"), F.col("cy")), "ax": local[1][0], "ay": local[1][1], "bx": local[2][0], "by": local[2][1], "hx": F.col("fw") / 2, "hy": F.col("fd") / 2})
-    fitting = met.groupBy("plan", "ord", "room", "k", "cx", "cy", "fw", "fd").agg(F.min(_box_gap()).alias("gap"), (F.sum("odd") % 2).alias("odd")).where((F.col("gap") >= MARGIN - SLACK) & (F.col("odd") == 1))
-    first = fitting.groupBy("plan", "ord", "room").agg(F.min(F.struct("k", "cx", "cy", "fw", "fd")).alias("p"))
+    frame = F.struct(_crossed(F.col("cx"), F.col("cy")).alias("odd"), *[c.alias(n) for n, c in zip(("ax", "ay", "bx", "by"), (*local[1], *local[2]))], (F.col("fw") / 2).alias("hx"), (F.col("fd") / 2).alias("hy"))
+    # Behind a generator, so that the ends' places are not copied into every step of the distance.
+    met = met.select("plan", "ord", "room", "k", "cx", "cy", "fw", "fd", F.inline(F.array(frame)))
+    gaps = met.select("plan", "ord", "room", "k", F.inline(F.array(F.struct("odd", box_gap().alias("gap")))))
+    fitting = gaps.groupBy("plan", "ord", "room", "k").agg(F.min("gap").alias("gap"), F.sum("odd").alias("odd")).where((F.col("gap") >= MARGIN - SLACK) & (F.col("odd") % 2 == 1))
+    first = fitting.groupBy("plan", "ord", "room").agg(F.min("k").alias("k")).join(tried, ["plan", "ord", "room", "k"])
+    first = first.select("plan", "ord", "room", F.struct("cx", "cy", "fw", "fd").alias("p"))
     return items.drop("x", "y", "w", "d").join(first, ["plan", "ord"]).select("plan", "ord", "room", "category", F.col("p.cx").alias("x"), F.col("p.cy").alias("y"), F.col("p.fw").alias("w"), F.col("p.fd").alias("d"), "rot")
 
 
-def _box_gap() -> Column:
+def box_gap() -> Column:
     """Distance of the segment (ax, ay)-(bx, by) to the box of half sides hx, hy about 0; 0 if they meet."""
     ax, ay, bx, by, hx, hy = (F.col(c) for c in ("ax", "ay", "bx", "by", "hx", "hy"))
 
@@ -138,11 +149,12 @@ def _box_gap() -> Column:
     out = lambda x, y: F.sqrt(F.pow(F.greatest(F.abs(x) - hx, F.lit(0.0)), 2) + F.pow(F.greatest(F.abs(y) - hy, F.lit(0.0)), 2))
     length = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
 
-    def corner(i, j):
-        t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((i * hx - ax) * (bx - ax) + (j * hy - ay) * (by - ay), length))), F.lit(0.0))
-        return G.distance(i * hx, j * hy, ax + t * (bx - ax), ay + t * (by - ay))
+    def corner(p):  # one function for all corners: written out four times it would be too long for the JVM to compile
+        t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((p["x"] - ax) * (bx - ax) + (p["y"] - ay) * (by - ay), length))), F.lit(0.0))
+        return let(t, lambda t: G.distance(p["x"], p["y"], ax + t * (bx - ax), ay + t * (by - ay)))
 
-    return F.when(meets, 0.0).otherwise(F.least(out(ax, ay), out(bx, by), *[corner(i, j) for i in (-1, 1) for j in (-1, 1)]))
+    corners = F.array(*[F.struct((i * hx).alias("x"), (j * hy).alias("y")) for i in (-1, 1) for j in (-1, 1)])
+    return F.when(meets, 0.0).otherwise(F.least(out(ax, ay), out(bx, by), F.array_min(F.transform(corners, corner))))
 
 
 def first_kept(items: DataFrame, clashes: DataFrame) -> DataFrame:

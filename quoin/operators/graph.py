@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as G
+from quoin.functions.text import let
+from quoin.operators.furnishing import box_gap
 from quoin.plans.bindings import bound
 from quoin.registry import query
 
@@ -29,12 +31,21 @@ def wall_ends(walls: DataFrame) -> DataFrame:
     return walls.select("plan", "ord", level().alias("level"), F.inline(ends))
 
 
-def beside(points: DataFrame, walls: DataFrame) -> DataFrame:
-    """Each point with every other wall of its plan: target, target_level, px, py (nearest place on its line), dist."""
+def beside(points: DataFrame, walls: DataFrame, within: float | None = None) -> DataFrame:
+    """Each point with every other wall of its plan: target, target_level, px, py (nearest place on its line), dist.
+
+    within: only walls whose box comes that near, in both directions, which spares most pairs the distance.
+    """
     t = walls.select("plan", F.col("ord").alias("target"), level().alias("target_level"), *ENDS)
     ends = [F.col(c) for c in ENDS]
     at = G.at_offset(G.offset(F.col("x"), F.col("y"), *ends), *ends)
-    joined = points.join(t, "plan").where("ord <> target").withColumn("at", at)
+    joined = points.join(t, "plan").where("ord <> target")
+    if within is not None:
+        joined = joined.where(F.col("x").between(F.least("x1", "x2") - within, F.greatest("x1", "x2") + within) & F.col("y").between(F.least("y1", "y2") - within, F.greatest("y1", "y2") + within))
+        # Behind a generator: a later filter on the distance would move the whole expression into the join.
+        near = let(at, lambda at: F.struct(at["x"].alias("px"), at["y"].alias("py"), G.distance(F.col("x"), F.col("y"), at["x"], at["y"]).alias("dist")))
+        return joined.select(*points.columns, "target", "target_level", F.inline(F.array(near)))
+    joined = joined.withColumn("at", at)
     return joined.select(*points.columns, "target", "target_level", F.col("at.x").alias("px"), F.col("at.y").alias("py"), G.distance(F.col("x"), F.col("y"), F.col("at.x"), F.col("at.y")).alias("dist"))
 
 
@@ -75,7 +86,7 @@ FROM g LEFT JOIN m a ON a.plan = g.plan AND a.ord = g.ord AND a.k = 0 LEFT JOIN
 def endpoint_snap(spark, d):
     """Both ends of every wall move to the nearest other centre line within SNAP; all distances use the walls as given."""
     w = bound(spark, d, "walls")
-    near = beside(wall_ends(w), w).where(F.col("dist") <= SNAP)
+    near = beside(wall_ends(w), w, SNAP + 1e-6).where(F.col("dist") <= SNAP)
     best = near.groupBy("plan", "ord", "k").agg(F.min(F.struct("dist", "target", "px", "py")).alias("b")).where("b.dist > 1e-9")
     moved = best.groupBy("plan", "ord").agg(*[F.max(F.when(F.col("k") == k, F.col(f"b.p{c}"))).alias(f"n{c}{k + 1}") for k in (0, 1) for c in "xy"])
     joined = w.where(G.distance(*[F.col(c) for c in ENDS]) > 0).join(moved, ["plan", "ord"], "left")
@@ -298,16 +309,6 @@ def footprint_clearance(spark, d):
     c, s = F.cos("turn"), F.sin("turn")
     local = lambda x, y: ((x - F.col("fx")) * c - (y - F.col("fy")) * s, (x - F.col("fx")) * s + (y - F.col("fy")) * c)
     (ax, ay), (bx, by) = local(F.col("x"), F.col("y")), local(F.lit(0.0), F.lit(0.0))
-    k = j.select("plan", "ord", "item", "hx", "hy", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
-    ax, ay, bx, by, hx, hy = (F.col(v) for v in ("ax", "ay", "bx", "by", "hx", "hy"))
-
-    def slab(a, b, half):
-        low, high = F.try_divide(-half - a, b - a), F.try_divide(half - a, b - a)
-        return F.when(a == b, F.when(F.abs(a) > half, 2.0).otherwise(0.0)).otherwise(F.least(low, high)), F.when(a == b, 1.0).otherwise(F.greatest(low, high))
-
-    (x0, x1), (y0, y1) = slab(ax, bx, hx), slab(ay, by, hy)
-    corner = F.least(*[G.segment_distance(sx * hx, sy * hy, ax, ay, bx, by) for sx in (-1, 1) for sy in (-1, 1)])
-    beyond = lambda a, half: F.greatest(F.abs(a) - half, F.lit(0.0))
-    ends = [F.sqrt(beyond(x, hx) ** 2 + beyond(y, hy) ** 2) for x, y in ((ax, ay), (bx, by))]
-    clear = F.when(F.greatest(x0, y0, F.lit(0.0)) <= F.least(x1, y1, F.lit(1.0)), 0.0).otherwise(F.least(corner, *ends))
-    return k.select("plan", "ord", "item", (F.round(clear, 5) + 0.0).alias("clearance"))
+    # Behind a generator, so that the ends' places are not copied into every step below.
+    k = j.select("plan", "ord", "item", "hx", "hy", F.inline(F.array(F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")))))
+    return k.select("plan", "ord", "item", (F.round(box_gap(), 5) + 0.0).alias("clearance"))
