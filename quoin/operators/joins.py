@@ -220,27 +220,6 @@ def resumed_run(spark, d):
     return m.join(r, "doc_id", "left_anti").join(F.broadcast(strange)).where("strange = 0").select("doc_id", "split")
 
 
-@query("hamming_pairs", (132,), """
-WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS bits FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(CAST(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT)) AS BIGINT)) AS INTEGER) AS distance
-FROM b a JOIN b b ON a.vec_id < b.vec_id WHERE bit_count(CAST(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT)) AS BIGINT)) <= 6""")
-def hamming_pairs(spark, d):
-    """Pairs of 32-bit fingerprints at most six bits apart.
-
-    Seven parts of the bits: two fingerprints with at most six differing bits agree on one part, so they share a bucket.
-    """
-    v = bound(spark, d, "embeddings")
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
-    keyed = v.select("vec_id", bits.alias("bits"))
-    edges = [0, 5, 10, 15, 20, 24, 28, 32]
-    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftright("bits", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("key")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    rows = keyed.select("vec_id", "bits", F.explode(parts).alias("p")).select("vec_id", "bits", "p.part", "p.key")
-    other = rows.select(F.col("vec_id").alias("other"), F.col("bits").alias("bits2"), "part", "key")
-    distance = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
-    near = rows.join(other, ["part", "key"]).where(F.col("vec_id") < F.col("other")).withColumn("distance", distance).where("distance <= 6")
-    return near.select(F.col("vec_id").alias("a"), F.col("other").alias("b"), "distance").distinct()
-
-
 @query("wall_crossings", (231,), """
 WITH p AS (SELECT a.plan, a.ord AS a, b.ord AS b, a.x1 ax, a.y1 ay, a.x2 bx, a.y2 by_, b.x1 cx, b.y1 cy, b.x2 dx, b.y2 dy FROM {walls} a JOIN {walls} b ON a.plan = b.plan AND a.ord < b.ord)
 SELECT plan, a, b FROM p WHERE ((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))*((bx-ax)*(dy-ay)-(by_-ay)*(dx-ax)) < 0
