@@ -5,6 +5,10 @@ level.  A passage is a line's content with runs of white space made one space an
 links it.  A quoted passage comes from the first message of its conversation, before the quoting one, whose own
 lines (level 0) hold that passage.  A message replies to the source of most of its shallowest linked level (ties:
 the later turn), otherwise to the turn whose number is one less, if there is one.
+
+Messages and the messages they reply to are trees.  A conversation is told in the order of its replies: every message
+is followed by its first reply with all that follows from it, then by the next reply; replies to one message, and
+messages that reply to none, go by turn.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from quoin.llm import common
 
 QUOTE = r"^[ \t]*(?:>[ \t]*)+"
-#: Turns in a block when positions are counted.
+#: Places in a block when positions are counted.
 BLOCK = 4096
 
 
@@ -31,14 +35,64 @@ def _lines(messages: DataFrame) -> DataFrame:
     )
 
 
+def reply_order(replies: DataFrame) -> DataFrame:
+    """(conv_id, turn, place, depth) of messages (conv_id, turn, reply_to), one row a turn, that reply to earlier turns.
+
+    place counts from 0 through the conversation in the order of its replies; depth is 0 for a message that replies to
+    none.  A walk around the trees enters and leaves every message once.  Each step of it knows the next one, and in
+    every round learns the sums up to twice as far ahead, so there are as many rounds as the longest walk has binary
+    digits, and no task ever holds a conversation.  A reply_to without a message counts as none.
+    """
+    replies = common.settle(replies, "replies")
+    turns = replies.select("conv_id", "turn")
+    parents = turns.select("conv_id", F.col("turn").alias("reply_to"), F.lit(True).alias("there"))
+    known = common.lookup(replies, parents, ["conv_id", "reply_to"], ["turn"]).select(
+        "conv_id", "turn", F.col("there").isNull().alias("top"), F.when(F.col("there"), F.col("reply_to")).otherwise(0).alias("parent")
+    )
+    siblings = common.settle(common.ranked(common.settle(known, "known"), ["conv_id", "top", "parent"], F.floor(F.col("turn") / BLOCK), ["turn"], "nth"), "siblings")
+    child = siblings.where("nth = 0 and not top").select("conv_id", F.col("parent").alias("turn"), F.col("turn").alias("first_reply"))
+    later = siblings.select("conv_id", "top", "parent", (F.col("nth") - 1).alias("nth"), F.col("turn").alias("sibling"))
+    around = siblings.join(child, ["conv_id", "turn"], "left").join(later, ["conv_id", "top", "parent", "nth"], "left")
+
+    def step(turn, enters):
+        return F.struct(turn.alias("turn"), F.lit(enters).alias("enters"))
+
+    entering = F.struct(
+        step(F.col("turn"), True).alias("step"),
+        F.when(F.col("first_reply").isNotNull(), step(F.col("first_reply"), True)).otherwise(step(F.col("turn"), False)).alias("next"),
+        F.lit(1).cast("long").alias("ahead"),
+        F.lit(1).cast("long").alias("level"),
+    )
+    leaving = F.struct(
+        step(F.col("turn"), False).alias("step"),
+        F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), True)).when(~F.col("top"), step(F.col("parent"), False)).alias("next"),
+        F.lit(0).cast("long").alias("ahead"),
+        F.lit(-1).cast("long").alias("level"),
+    )
+    walk = common.settle(around.select("conv_id", F.explode(F.array(entering, leaving)).alias("s")).select("conv_id", "s.*"), "walk")
+    while not walk.where("next is not null").isEmpty():
+        # Sums are those of the steps from here up to the next known one, without it.
+        onward = walk.select("conv_id", F.col("step").alias("next"), F.col("next").alias("next2"), F.col("ahead").alias("ahead2"), F.col("level").alias("level2"))
+        walk = common.settle(
+            walk.join(onward, ["conv_id", "next"], "left").select(
+                "conv_id", "step", F.col("next2").alias("next"),
+                (F.col("ahead") + F.coalesce("ahead2", F.lit(0))).alias("ahead"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level"),
+            ),
+            "walk",
+        )
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+    entered = common.lookup(walk.where("step.enters"), sizes, ["conv_id"], ["step"])
+    return entered.select("conv_id", "step.turn", (F.col("messages") - F.col("ahead")).alias("place"), (-F.col("level")).alias("depth"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """Messages without their quotes, in reply order.
 
     Takes conv_id, turn, role, text; one row out per row in: conv_id, turn, role, position (gapless from 0 in the
-    conversation; a reply always follows its source), reply_to (a turn or null), linked (whether a quote, not the
+    conversation, in reply order), depth (replies above the message), reply_to (a turn or null), linked (whether a quote, not the
     order, decided it), n_quoted, n_linked, quote_level (deepest), text (own lines).  Null text is empty; a message
-    of quotes alone keeps an empty text.  Rows that repeat (conv_id, turn) share reply_to and counts; rows with a
-    null conv_id or turn get no links.  Other columns are ignored; an empty table gives an empty result.
+    of quotes alone keeps an empty text.  Rows that repeat (conv_id, turn) share reply_to and counts and
+    stand together; rows with a null conv_id or turn get no links, depth 0, and go by turn, null turns first.  Other columns are ignored; an empty table gives an empty result.
     """
     base = messages.select("conv_id", "turn", "role", "text")
     lines = common.settle(_lines(base), "lines")
@@ -85,9 +139,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.coalesce("quote_level", F.lit(0)).cast("int").alias("quote_level"),
         "text",
     )
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text", "n_quoted"]
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**40)))
-    return common.ranked(common.settle(out, "messages"), ["conv_id"], block, order, "position")
+    out = common.settle(out, "messages")
+    placed = reply_order(out.where("conv_id is not null and turn is not null").select("conv_id", "turn", "reply_to").distinct())
+    told = common.settle(out.join(placed, ["conv_id", "turn"], "left"), "told")
+    order = [F.col("place").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text", "n_quoted"]
+    block = F.coalesce(F.floor(F.col("place") / BLOCK), F.floor(F.col("turn") / BLOCK), F.lit(-(2**40)))
+    numbered = common.ranked(told, ["conv_id"], block, order, "position").drop("place")
+    return numbered.withColumn("depth", F.coalesce("depth", F.lit(0)).cast("long"))
 
 
 def quoted_levels(lines: DataFrame) -> DataFrame:
@@ -99,7 +157,7 @@ def op2_chat_quotes(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations
 ), parsed AS (
   SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) AS level,
@@ -129,6 +187,11 @@ WITH lines AS (
            lambda l: NOT regexp_matches(l, '^[ \t]*(?:>[ \t]*)+')), chr(10)) AS text
   FROM conversations c LEFT JOIN best b USING (conv_id, turn) LEFT JOIN sums s USING (conv_id, turn)
   LEFT JOIN deep d USING (conv_id, turn) LEFT JOIN before x USING (conv_id, turn)
+), nodes AS (SELECT DISTINCT conv_id, turn, reply_to FROM j WHERE conv_id IS NOT NULL AND turn IS NOT NULL), tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM nodes WHERE reply_to IS NULL
+  UNION ALL SELECT n.conv_id, n.turn, list_append(t.path, n.turn) FROM tree t JOIN nodes n ON n.conv_id = t.conv_id AND n.reply_to = t.turn
 )
-SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text, n_quoted) - 1 AS position FROM j
+SELECT j.*, coalesce(len(path) - 1, 0) AS depth,
+  row_number() OVER (PARTITION BY conv_id ORDER BY path NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text, n_quoted) - 1 AS position
+FROM j LEFT JOIN tree USING (conv_id, turn)
 """

@@ -600,9 +600,47 @@ def test_quotes(spark):
         (1, 4): (3, False, 0, 0, 0), (1, 5): (4, False, 1, 0, 1), (2, 7): (None, False, 1, 0, 1), (3, 0): (None, False, 0, 0, 0),
     }
     assert got[1, 2].text == "But in place?" and got[1, 2].position == 2 and got[2, 7].text == ""
+    assert {k: r.depth for k, r in got.items()} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 1, (1, 4): 2, (1, 5): 3, (2, 7): 0, (3, 0): 0}
     assert chat_quotes.link_quotes(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_replies_are_told_before_later_turns(spark):
+    """A reply to an early message stands behind that message, and repeated and nameless rows keep their places."""
+    rows = [
+        (1, 0, "a", "first"), (1, 1, "b", "second"), (1, 2, "c", "> second\nof second"), (1, 3, "d", "> first\nof first"),
+        (1, 4, "e", "> of second\ndeep"), (1, 4, "e", "> of second\ndeep"), (1, 5, "f", "> second\nagain"), (1, 9, "g", "alone"),
+        (1, None, "h", "when"), (None, 3, "i", "where"), (None, 1, "j", "where"), (None, None, None, None),
+    ]
+    got = chat_quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    told = sorted((r.position, r.turn, r.depth) for r in got if r.conv_id == 1 and r.turn is not None)
+    assert told == [(1, 0, 0), (2, 1, 1), (3, 2, 2), (4, 4, 3), (5, 4, 3), (6, 5, 2), (7, 3, 1), (8, 9, 0)]
+    assert [(r.position, r.depth) for r in got if r.conv_id == 1 and r.turn is None] == [(0, 0)]
+    assert sorted((r.position, r.turn or -1) for r in got if r.conv_id is None) == [(0, -1), (1, 1), (2, 3)]
+
+
+def test_reply_order_is_depth_first(spark, monkeypatch):
+    """Random trees, a chain, a star and a reply to nowhere against a recursive walk, over several blocks of places."""
+    monkeypatch.setattr(chat_quotes, "BLOCK", 16)
+    rng, rows = random.Random(8), []
+    for conv in range(6):
+        rows += [(conv, t, rng.choice([None, *range(t)])) for t in range(rng.randrange(1, 40))]
+    rows += [(10, t, t - 1 if t else None) for t in range(150)] + [(11, 7 * t, 0 if t else None) for t in range(150)] + [(12, 3, 1), (12, 4, 3)]
+    expected = set()
+    for conv in {r[0] for r in rows}:
+        mine = {t: p for c, t, p in rows if c == conv}
+        replies, stack, place = defaultdict(list), [], 0
+        for t, p in mine.items():
+            replies[p if p in mine else None].append(t)
+        stack = [(t, 0) for t in sorted(replies[None], reverse=True)]
+        while stack:
+            t, depth = stack.pop()
+            expected.add((conv, t, place, depth))
+            place += 1
+            stack += [(c, depth + 1) for c in sorted(replies[t], reverse=True)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, reply_to long")
+    assert {tuple(r) for r in chat_quotes.reply_order(given).collect()} == expected
+
+
 def test_repeated_rows_are_worked_on_once(spark, monkeypatch):
     """500 equal rows, some without an id: only distinct texts are encoded or tiled, and lines are dropped once each."""
     shared, long = "a line that two documents share", prose(77, 40)
