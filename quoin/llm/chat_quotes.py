@@ -40,8 +40,8 @@ def reply_order(replies: DataFrame) -> DataFrame:
 
     place counts from 0 through the conversation in the order of its replies; depth is 0 for a message that replies to
     none.  A walk around the trees enters and leaves every message once.  Each step of it knows the next one, and in
-    every round learns the sums up to twice as far ahead, so there are as many rounds as the longest walk has binary
-    digits, and no task ever holds a conversation.  A reply_to without a message counts as none.
+    every round learns the sums up to twice as far ahead, so a conversation takes part in as many rounds as its walk has
+    binary digits, and no task ever holds a conversation.  A reply_to without a message counts as none.
     """
     replies = common.settle(replies, "replies")
     turns = replies.select("conv_id", "turn")
@@ -52,7 +52,8 @@ def reply_order(replies: DataFrame) -> DataFrame:
     siblings = common.settle(common.ranked(common.settle(known, "known"), ["conv_id", "top", "parent"], F.floor(F.col("turn") / BLOCK), ["turn"], "nth"), "siblings")
     child = siblings.where("nth = 0 and not top").select("conv_id", F.col("parent").alias("turn"), F.col("turn").alias("first_reply"))
     later = siblings.select("conv_id", "top", "parent", (F.col("nth") - 1).alias("nth"), F.col("turn").alias("sibling"))
-    around = siblings.join(child, ["conv_id", "turn"], "left").join(later, ["conv_id", "top", "parent", "nth"], "left")
+    sizes = common.settle(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages")), "sizes")
+    around = common.lookup(siblings, sizes, ["conv_id"], ["turn"]).join(child, ["conv_id", "turn"], "left").join(later, ["conv_id", "top", "parent", "nth"], "left")
 
     def step(turn, enters):
         return F.struct(turn.alias("turn"), F.lit(enters).alias("enters"))
@@ -69,20 +70,26 @@ def reply_order(replies: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("ahead"),
         F.lit(-1).cast("long").alias("level"),
     )
-    walk = common.settle(around.select("conv_id", F.explode(F.array(entering, leaving)).alias("s")).select("conv_id", "s.*"), "walk")
-    while not walk.where("next is not null").isEmpty():
+    walk = common.settle(around.select("conv_id", "messages", F.explode(F.array(entering, leaving)).alias("s")).select("conv_id", "messages", "s.*"), "walk")
+    known, longest = 1, 2 * (sizes.agg(F.max("messages")).first()[0] or 0)
+    walked = []
+    while known < longest:
+        # A walk of two steps a message is known to its end once that many are; only the longer ones go on.
+        walked.append(walk.where(F.col("messages") * 2 <= known))
+        walk = walk.where(F.col("messages") * 2 > known)
         # Sums are those of the steps from here up to the next known one, without it.
         onward = walk.select("conv_id", F.col("step").alias("next"), F.col("next").alias("next2"), F.col("ahead").alias("ahead2"), F.col("level").alias("level2"))
         walk = common.settle(
             walk.join(onward, ["conv_id", "next"], "left").select(
-                "conv_id", "step", F.col("next2").alias("next"),
+                "conv_id", "messages", "step", F.col("next2").alias("next"),
                 (F.col("ahead") + F.coalesce("ahead2", F.lit(0))).alias("ahead"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level"),
             ),
             "walk",
         )
-    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
-    entered = common.lookup(walk.where("step.enters"), sizes, ["conv_id"], ["step"])
-    return entered.select("conv_id", "step.turn", (F.col("messages") - F.col("ahead")).alias("place"), (-F.col("level")).alias("depth"))
+        known *= 2
+    for part in walked:
+        walk = walk.unionByName(part)
+    return walk.where("step.enters").select("conv_id", "step.turn", (F.col("messages") - F.col("ahead")).alias("place"), (-F.col("level")).alias("depth"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
