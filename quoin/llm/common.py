@@ -106,7 +106,8 @@ class ByteBpe:
     #: A space before one of these may belong to a longer run of white space.
     RUNS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
     WIDE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
-    CACHED = 400_000
+    #: Pieces of which the ids are kept, about 200 bytes each in every worker.
+    CACHED = 100_000
 
     def __init__(self, json_path: str, ranks_path: str | None = None):
         self.json_path, self._slow = json_path, None
@@ -180,6 +181,11 @@ def byte_bpe(json_path: str) -> ByteBpe:
     return _OPEN[json_path]
 
 
+def close_tokenizers() -> None:
+    """Workers are used again by later jobs; those that need the room call this."""
+    _OPEN.clear()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

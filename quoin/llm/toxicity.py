@@ -37,8 +37,8 @@ ORDER, START, STOP = 7, "^", "$"
 SHARE = 0.01
 PARTS, FIT_PARTS = 4, 3
 PREDICT_AT = 0.7
-#: Words or n-grams that a worker counts before it hands them on, and word scores that it keeps.
-HELD = 200_000
+#: Words or n-grams that a worker counts before it hands them on (about 150 bytes each), and word scores that it keeps.
+HELD, SCORES_HELD = 100_000, 200_000
 WORD = re.compile(r"\w+")
 
 
@@ -117,7 +117,7 @@ class Scorer:
         import numpy as np
 
         split = [words_of(t) for t in texts]
-        if len(self.known) > HELD:
+        if len(self.known) > SCORES_HELD:
             self.known.clear()
         new = list({w for words in split for w in words}.difference(self.known))
         ratio = np.clip(word_ratios(new, self.model), -30, 30)
@@ -139,44 +139,55 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(inside), "doc_id").select("text", "toxic", "part")
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(toxic, w, n): in how many rows (toxic, text) of each class each word is."""
+def tally(batches, most: int, keys) -> Iterator[pd.DataFrame]:
+    """Frames (toxic, key, n) of what keys(batch) gives as (toxic, strings, n), added up until `most` strings are held.
 
-    def run(batches):
-        from collections import Counter
+    Tokenizers that an earlier job left in this worker go first: their vocabularies and caches would stay beside the counts.
+    """
+    from collections import Counter
+
+    common.close_tokenizers()
+    held: dict[int, Counter] = {}
+
+    def frames():
+        while held:
+            toxic, found = held.popitem()
+            yield pd.DataFrame({"toxic": toxic, "key": list(found), "n": list(found.values())})
+
+    for batch in batches:
+        for toxic, strings, n in keys(batch):
+            counts = held.setdefault(toxic, Counter())
+            if n == 1:
+                counts.update(strings)
+            else:
+                for x in strings:
+                    counts[x] += n
+            if sum(map(len, held.values())) > most:
+                del counts
+                yield from frames()
+    yield from frames()
 
-        def frame(held):
-            return pd.DataFrame([(toxic, w, n) for toxic, found in held.items() for w, n in found.items()], columns=["toxic", "w", "n"])
 
-        held: dict[int, Counter] = {}
-        for batch in batches:
-            for toxic, text in zip(batch["toxic"], batch["text"]):
-                held.setdefault(toxic, Counter()).update(set(words_of(text)))
-                if sum(map(len, held.values())) > HELD:
-                    yield frame(held)
-                    held = {}
-        yield frame(held)
+def count_words(rows: DataFrame) -> DataFrame:
+    """(toxic, w, n): in how many rows (toxic, text) of each class each word is."""
+    most = HELD
 
-    return rows.select("toxic", "text").mapInPandas(run, "toxic int, w string, n long").groupBy("toxic", "w").agg(F.sum("n").alias("n"))
+    def words(batch):
+        return ((toxic, set(words_of(text)), 1) for toxic, text in zip(batch["toxic"].tolist(), batch["text"]))
+
+    found = rows.select("toxic", "text").mapInPandas(lambda batches: tally(batches, most, words), "toxic int, key string, n long")
+    return found.groupBy("toxic", F.col("key").alias("w")).agg(F.sum("n").alias("n"))
 
 
 def count_grams(words: DataFrame) -> DataFrame:
     """(toxic, gram, n) of the words (toxic, w, n)."""
+    most = HELD
 
-    def run(batches):
-        from collections import Counter
+    def grams(batch):
+        return ((toxic, grams_of(w), n) for toxic, w, n in zip(batch["toxic"].tolist(), batch["w"], batch["n"].tolist()))
 
-        held = Counter()
-        for batch in batches:
-            for toxic, w, n in zip(batch["toxic"].tolist(), batch["w"], batch["n"].tolist()):
-                for gram in grams_of(w):
-                    held[toxic, gram] += n
-                if len(held) > HELD:
-                    yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["toxic", "gram", "n"])
-                    held = Counter()
-        yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["toxic", "gram", "n"])
-
-    return words.mapInPandas(run, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+    found = words.select("toxic", "w", "n").mapInPandas(lambda batches: tally(batches, most, grams), "toxic int, key string, n long")
+    return found.groupBy("toxic", F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(n1: int, n2: int) -> float:

@@ -509,6 +509,38 @@ def test_toxicity_without_labels(spark, none):
     assert toxicity.toxicity(none, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 0
 
 
+class Local:
+    """Stands for a table: keeps the function that tasks would run."""
+
+    def mapInPandas(self, f, schema):
+        self.run = f
+        return self
+
+    select = groupBy = agg = lambda self, *a: self
+
+
+def test_toxicity_counts_make_room_in_their_worker(spark):
+    """Tokenizers that packing left in a worker go before words and n-grams are counted, and few counts are held."""
+    import pandas as pd
+
+    texts = [" ".join(f"{'abcdefghij'[i % 10]}{i}" for i in range(k, k + 900)) for k in range(0, 225_000, 900)]
+    words = [w for t in texts for w in t.split()]
+    for count, batches in (
+        (toxicity.count_words, [pd.DataFrame({"toxic": i % 2, "text": texts[i : i + 25]}) for i in range(0, len(texts), 25)]),
+        (toxicity.count_grams, [pd.DataFrame({"toxic": i % 2, "w": words[i : i + 1000], "n": 2}) for i in range(0, 100_000, 1000)]),
+    ):
+        assert common.byte_bpe(common.default_tokenizer()).packed("some words") and common._OPEN
+        table, total, most = Local(), 0, 0
+        count(table)
+        for frame in table.run(iter(batches)):
+            assert not common._OPEN
+            most = max(most, len(frame))
+            total += int(frame["n"].sum())
+        assert most <= 110_000
+        given = sum(len(set(t.split())) for t in texts) if count is toxicity.count_words else sum(2 * len(toxicity.grams_of(w)) for w in words[:100_000])
+        assert total == given
+
+
 def test_toxicity_is_kneser_ney(spark, monkeypatch):
     """Counts, shared backoff and log ratios against plain Python, with words of the corpus that no labelled text has."""
     monkeypatch.setattr(toxicity, "HELD", 150)
