@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -11,6 +12,7 @@ from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as the contracts spell it: space and \x09 to \x0D.
 WHITE = " \t\n\x0b\f\r"
@@ -50,6 +52,47 @@ def settle(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows.
+
+    createDataFrame([]) makes one from a Python RDD, for which each executor starts a Python daemon and workers besides
+    those of SQL; the daemon stays.
+    """
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
+#: What modules keep in a Python worker from task to task, by name.
+KEPT: dict[str, dict] = {}
+
+
+def make_room(keep: str | None = None) -> None:
+    """Let go of what is KEPT by other names than `keep`, and give the system the memory that was freed.
+
+    Workers are used again by later jobs and wait beside the JVM meanwhile; malloc and Arrow would hold on to what tasks
+    have freed.
+    """
+    import pyarrow as pa
+
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def roomy(run, keep: str | None = None):
+    """run(batches) for mapInPandas, with room made before and after."""
+
+    def made(batches):
+        make_room(keep)
+        yield from run(batches)
+        make_room(keep)
+
+    return made
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """A session setting for the jobs within; then as it was."""
@@ -172,6 +215,7 @@ class _Pieces(dict):
 
 
 _OPEN: dict[str, ByteBpe] = {}
+KEPT["tokenizers"] = _OPEN
 
 
 def byte_bpe(json_path: str) -> ByteBpe:
@@ -181,11 +225,6 @@ def byte_bpe(json_path: str) -> ByteBpe:
     return _OPEN[json_path]
 
 
-def close_tokenizers() -> None:
-    """Workers are used again by later jobs; those that need the room call this."""
-    _OPEN.clear()
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -192,7 +192,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 rows += [(seed, item_id, item_hash, n, len(words)) for seed, n in Counter(seeds_of(words, hashes, [seed_size(len(words))]).view("i8").tolist()).items()]
             yield pd.DataFrame(rows, columns=["seed", "item_id", "item_hash", "places", "n_words"])
 
-    return items.mapInPandas(run, "seed long, item_id long, item_hash long, places long, n_words long")
+    return items.mapInPandas(common.roomy(run), "seed long, item_id long, item_hash long, places long, n_words long")
 
 
 def seed_filter(seeds: DataFrame) -> bytes:
@@ -208,7 +208,7 @@ def seed_filter(seeds: DataFrame) -> bytes:
         yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
 
     out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in seeds.select("seed").mapInPandas(run, "bits binary").toLocalIterator():  # a row of 2 MB a task, one at a time
+    for r in seeds.select("seed").mapInPandas(common.roomy(run), "bits binary").toLocalIterator():  # a row of 2 MB a task, one at a time
         out |= np.frombuffer(r["bits"], dtype=np.uint8)
     return out.tobytes()
 
@@ -234,7 +234,7 @@ def document_seeds(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").take(at).to_numpy())
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, text_hash long, seed long")
+    return docs.mapInPandas(common.roomy(run), "doc_id long, text_hash long, seed long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -281,7 +281,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             out["doc_id"] = batch["doc_id"].astype("Int64").take(at).to_numpy()
             yield out
 
-    found = texts.join(asked, same).select("doc_id", "text_hash", "text", "item_id", "item").mapInPandas(run, HITS)
+    found = texts.join(asked, same).select("doc_id", "text_hash", "text", "item_id", "item").mapInPandas(common.roomy(run), HITS)
     best = F.max_by(F.struct("coverage", "tiles"), "coverage").alias("best")
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.*")
 

@@ -60,7 +60,7 @@ def references(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "digest", "lines"])
 
     ready = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    return ready.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, REFS)
+    return ready.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(common.roomy(run), REFS)
 
 
 def _shard(shards: int):
@@ -82,7 +82,7 @@ class LineIndex:
 
     def log(self) -> DataFrame:
         if not self.logs:
-            return self.spark.createDataFrame([], LOG)
+            return common.empty(self.spark, LOG)
         return self.spark.read.schema(LOG).parquet(*[f"{self.path}/{name}" for name in self.logs])
 
     def _append(self, rows: DataFrame, sign: int) -> None:
@@ -185,7 +185,7 @@ class LineIndex:
 
         names = [f.split()[0] for f in STATE.split(", ")]
         mine = keys.withColumn("shard", _shard(self.shards))
-        have = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, filter binary, n long")
+        have = self.filters if self.filters is not None else common.empty(self.spark, "shard int, filter binary, n long")
         return common.settle(mine.groupBy("shard").cogroup(have.groupBy("shard")).applyInPandas(run, STATE), "filters")
 
     def _rebuilt(self, digests: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ WORDS_HELD = 200_000
 BROADCAST_IDS = 500_000
 SIGNED = "doc_id long, text_hash long, n_shingles long, set_digest binary, bands array<long>"
 _WORDS: dict[bytes, int] = {}
+common.KEPT["words"] = _WORDS
 
 
 def shingle_hashes(text: str | None):
@@ -119,7 +120,7 @@ def signed(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return _keyed(docs).mapInPandas(run, SIGNED)
+    return _keyed(docs).mapInPandas(common.roomy(run), SIGNED)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def confirm(edges: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = common.lookup(edges, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), ["a"], ["b"])
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(common.roomy(run), "a long, b long")
 
 
 def forest(batches):
@@ -181,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.settle(edges.select("a", "b"), "edges")
     while True:
         tasks = -(-edges.count() // EDGES_A_TASK) or 1
-        trees = common.settle(edges.repartition(tasks).mapInPandas(forest, "id long, root long"), "forest")
+        trees = common.settle(edges.repartition(tasks).mapInPandas(common.roomy(forest), "id long, root long"), "forest")
         if tasks == 1:
             return trees.withColumnRenamed("root", "component")
         ends = common.settle(trees.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")), "ends")
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if texts.count() > n_nodes:  # rows that repeat id and text
         texts = common.settle(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
     spark = members.sparkSession
-    labels, tried = spark.createDataFrame([], "id long, component long"), None
+    labels, tried = common.empty(spark, "id long, component long"), None
 
     def joined(links: DataFrame) -> DataFrame:
         return components(links.unionByName(labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))

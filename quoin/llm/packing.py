@@ -134,7 +134,7 @@ def encode(docs: DataFrame, json_path: str) -> DataFrame:
             out["doc_id"] = batch["doc_id"].astype("Int64").to_numpy() if len(out) else out["doc_id"]
             yield out
 
-    return docs.mapInPandas(run, TOKENS)
+    return docs.mapInPandas(common.roomy(run, "tokenizers"), TOKENS)
 
 
 def pack(docs: DataFrame, window: int = 2048, targets: dict[str, float] | None = None, json_path: str | None = None) -> DataFrame:
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, window: int = 2048, targets: dict[str, float] | None =
                     rows, at = [], []
             yield _framed(pd.DataFrame(rows, columns=names), batch, at)
 
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("place"), "n_tokens", "ids").mapInPandas(run, PIECES)
+    return placed.select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("place"), "n_tokens", "ids").mapInPandas(common.roomy(run), PIECES)
 
 
 def runs(place: int, n: int, plan, window: int):
@@ -224,7 +224,7 @@ def laid_out(tokens: DataFrame, bases: DataFrame, plan: list[Phase], window: int
                     rows, at = [], []
             yield _framed(pd.DataFrame(rows, columns=names), batch, at)
 
-    found = placed.select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("place"), "n_tokens", "ids", "plan").mapInPandas(run, RUNS)
+    found = placed.select("doc_id", "queue", (F.col("base") + F.col("start_in_part")).alias("place"), "n_tokens", "ids", "plan").mapInPandas(common.roomy(run), RUNS)
     found = common.settle(found, "runs")
     sums = found.groupBy("phase", "round").agg(F.sum("length").alias("n")).withColumn("block", F.floor(F.col("round") / ROUNDS))
     sums = common.settle(sums, "rounds")

@@ -140,13 +140,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tally(batches, most: int, keys) -> Iterator[pd.DataFrame]:
-    """Frames (toxic, key, n) of what keys(batch) gives as (toxic, strings, n), added up until `most` strings are held.
-
-    Tokenizers that an earlier job left in this worker go first: their vocabularies and caches would stay beside the counts.
-    """
+    """Frames (toxic, key, n) of what keys(batch) gives as (toxic, strings, n), added up until `most` strings are held."""
     from collections import Counter
 
-    common.close_tokenizers()
     held: dict[int, Counter] = {}
 
     def frames():
@@ -175,7 +171,7 @@ def count_words(rows: DataFrame) -> DataFrame:
     def words(batch):
         return ((toxic, set(words_of(text)), 1) for toxic, text in zip(batch["toxic"].tolist(), batch["text"]))
 
-    found = rows.select("toxic", "text").mapInPandas(lambda batches: tally(batches, most, words), "toxic int, key string, n long")
+    found = rows.select("toxic", "text").mapInPandas(common.roomy(lambda batches: tally(batches, most, words)), "toxic int, key string, n long")
     return found.groupBy("toxic", F.col("key").alias("w")).agg(F.sum("n").alias("n"))
 
 
@@ -186,7 +182,7 @@ def count_grams(words: DataFrame) -> DataFrame:
     def grams(batch):
         return ((toxic, grams_of(w), n) for toxic, w, n in zip(batch["toxic"].tolist(), batch["w"], batch["n"].tolist()))
 
-    found = words.select("toxic", "w", "n").mapInPandas(lambda batches: tally(batches, most, grams), "toxic int, key string, n long")
+    found = words.select("toxic", "w", "n").mapInPandas(common.roomy(lambda batches: tally(batches, most, grams)), "toxic int, key string, n long")
     return found.groupBy("toxic", F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
 
 
@@ -281,9 +277,12 @@ def _difference(spark, model: Model):
 
     @F.pandas_udf("double")
     def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.make_room()
         scorer = Scorer(Model(*shared.value))
         for texts in batches:
             yield pd.Series(scorer(texts))
+        del scorer
+        common.make_room()
 
     return difference(F.col("text"))
 

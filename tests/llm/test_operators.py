@@ -699,3 +699,47 @@ def test_sharding_of_many_empty_texts(spark):
     assert len(got) == 6000 and max(size.values()) <= 1.05 * sum(size.values()) / 8
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_tables_without_rows_need_no_python_workers(spark):
+    """createDataFrame([]) goes through a Python RDD, whose daemon and workers stay in each executor."""
+    schema = "digest binary, doc_id long, sign int"
+    made = common.empty(spark, schema)
+    assert made.schema == spark.createDataFrame([], schema).schema and made.count() == 0
+    assert "ExistingRDD" not in made._jdf.queryExecution().toString()
+    plan = line_dedup.LineIndex(spark).log()._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "Range" in plan
+
+
+def test_tasks_leave_nothing_in_their_worker(spark):
+    """Words and tokenizers go before and after other work; packing's own tasks keep the tokenizer from one to the next."""
+    import pandas as pd
+    from pyspark import cloudpickle
+
+    def left():
+        return [name for name, kept in common.KEPT.items() if kept]
+
+    def tasks_of(make):
+        table = Local()
+        make(table)
+        return cloudpickle.loads(cloudpickle.dumps(table.run))  # as a worker gets it
+
+    text = prose(1, 60)
+    rows = pd.DataFrame({"doc_id": [1], "text_hash": [5], "toxic": [1], "queue": ["s"], "text": [text], "item_id": [1], "item": [text], "item_hash": [7]})
+    near_dup.shingle_hashes(text)
+    common.byte_bpe(common.default_tokenizer()).packed(text)
+    assert sorted(left()) == ["tokenizers", "words"]
+    held = tasks_of(toxicity.count_words)
+    near_dup.shingle_hashes(text)
+    for frame in held(iter([rows])):
+        assert not left() and len(frame)
+    for make in (lambda t: toxicity.count_words(t), lambda t: decontam.item_seeds(t)):
+        near_dup.shingle_hashes(text)
+        common.byte_bpe(common.default_tokenizer())
+        assert sum(len(f) for f in tasks_of(make)(iter([rows]))) and not left()
+    near_dup.shingle_hashes(text)
+    common.byte_bpe(common.default_tokenizer())
+    common.make_room("tokenizers")
+    assert left() == ["tokenizers"]
+    common.make_room()
+    assert not left()
