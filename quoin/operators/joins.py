@@ -19,11 +19,18 @@ REACH = 0.35
 
 
 def nearest_wall(points: DataFrame, walls: DataFrame, reach: float | None = REACH) -> DataFrame:
-    """plan, ord, wall, dist, at: the nearest wall in reach; of equals the first in list order."""
+    """plan, ord, wall, dist, at: the nearest wall in reach; of equals the first in list order.
+
+    The distance is px - x1 - t * (x2 - x1) in this order: adding up the foot of the perpendicular first would round
+    otherwise, and tell walls apart that are equally near.
+    """
     w = walls.select("plan", F.col("ord").alias("wall"), *ENDS)
     joined = points.join(w, "plan")
-    dist = G.segment_distance(F.col("px"), F.col("py"), *[F.col(c) for c in ENDS])
-    at = G.offset(F.col("px"), F.col("py"), *[F.col(c) for c in ENDS])
+    px, py, x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", *ENDS))
+    at, length = G.offset(px, py, x1, y1, x2, y2), G.distance(x1, y1, x2, y2)
+    t = F.when(length <= G.POINT_M, 0.0).otherwise(at / length)
+    dx, dy = px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1)
+    dist = F.sqrt(dx * dx + dy * dy)
     best = joined.groupBy("plan", "ord").agg(F.min(F.struct(dist.alias("dist"), F.col("wall"), at.alias("at"))).alias("b"))
     out = best.select("plan", "ord", "b.wall", "b.dist", "b.at")
     return out if reach is None else out.where(F.col("dist") <= reach)
