@@ -198,9 +198,12 @@ def faces_by_area(spark, d):
 WITH e AS (SELECT user_id, event_id, row_number() OVER w AS n, sum(CAST(value AS BIGINT) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))
 SELECT user_id, event_id, n <= 5 AND size <= 200 AS draft FROM e WHERE n <= 50""")
 def draft_cap(spark, d):
-    """The last 50 edits of a user; of these, drafts are the last five while their sizes add up to 200 at most."""
+    """The last 50 edits of a user; of these, drafts are the last five while their sizes add up to 200 at most.
+
+    A size is rounded to a whole number, halves to the even one.
+    """
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    size = F.sum(F.round("value").cast("long") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    size = F.sum(F.rint("value").cast("long") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
     e = bound(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"), size.alias("size"))
     return e.where("n <= 50").select("user_id", "event_id", ((F.col("n") <= 5) & (F.col("size") <= 200)).alias("draft"))
 

@@ -54,3 +54,10 @@ TIES = [
 
 def test_nearest_wall_rounds_as_its_sql(spark, tmp_path):
     assert agrees(spark, tmp_path, "nearest_wall", TIES)
+
+
+def test_draft_cap_rounds_halves_to_even(spark, tmp_path):
+    at = lambda k: DAY + datetime.timedelta(minutes=k)
+    rows = [(k, at(k), 1, "view", v, "") for k, v in enumerate((96.5, 102.5))] + [(k + 9, at(k), 2, "view", v, "") for k, v in enumerate((97.5, 102.5))]
+    got = agrees(spark, tmp_path, "draft_cap", [*rows, (20, at(1), 3, "view", None, "")], "events")
+    assert {r[0] for r in got} == {"True", "False", ""}
