@@ -218,9 +218,13 @@ def history_cap(spark, d):
 WITH e AS (SELECT user_id, event_id, epoch_ms(ts) // 60000 AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
 SELECT user_id, event_id, max(m - n) OVER (PARTITION BY user_id ORDER BY n) + n AS version FROM e""")
 def monotone_version(spark, d):
-    """version = max(now, previous + 1), unrolled: the running maximum of now - n, plus n."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = bound(spark, d, "events").select("user_id", "event_id", "ts", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000).alias("m")).withColumn("n", F.row_number().over(w))
+    """version = max(now, previous + 1), unrolled: the running maximum of now - n, plus n.
+
+    Events without a time or id come last.  now is in whole minutes, cut towards 1970 from both sides.
+    """
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    minute = F.call_function("div", F.unix_millis(F.col("ts").cast("timestamp")), F.lit(60000))
+    e = bound(spark, d, "events").select("user_id", "event_id", "ts", minute.alias("m")).withColumn("n", F.row_number().over(w))
     return e.withColumn("version", F.max(F.col("m") - F.col("n")).over(Window.partitionBy("user_id").orderBy("n")) + F.col("n")).select("user_id", "event_id", "version")
 
 

@@ -61,3 +61,9 @@ def test_draft_cap_rounds_halves_to_even(spark, tmp_path):
     rows = [(k, at(k), 1, "view", v, "") for k, v in enumerate((96.5, 102.5))] + [(k + 9, at(k), 2, "view", v, "") for k, v in enumerate((97.5, 102.5))]
     got = agrees(spark, tmp_path, "draft_cap", [*rows, (20, at(1), 3, "view", None, "")], "events")
     assert {r[0] for r in got} == {"True", "False", ""}
+
+
+def test_monotone_version_before_1970_and_without_a_time(spark, tmp_path):
+    old = datetime.datetime(1969, 12, 31, 23, 58, 59)
+    rows = [(1, old, 1, "view", 1.0, ""), (2, None, 1, "view", 1.0, ""), (3, DAY, 1, "view", 1.0, ""), (4, old, 2, "view", 1.0, ""), (None, DAY, 3, "view", 1.0, ""), (5, DAY, 3, "view", 1.0, "")]
+    assert len(agrees(spark, tmp_path, "monotone_version", rows, "events")) == 6
