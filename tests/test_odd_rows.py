@@ -8,6 +8,7 @@ import math
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__  # noqa: F401  it registers the queries
 from quoin import registry
@@ -67,3 +68,14 @@ def test_monotone_version_before_1970_and_without_a_time(spark, tmp_path):
     old = datetime.datetime(1969, 12, 31, 23, 58, 59)
     rows = [(1, old, 1, "view", 1.0, ""), (2, None, 1, "view", 1.0, ""), (3, DAY, 1, "view", 1.0, ""), (4, old, 2, "view", 1.0, ""), (None, DAY, 3, "view", 1.0, ""), (5, DAY, 3, "view", 1.0, "")]
     assert len(agrees(spark, tmp_path, "monotone_version", rows, "events")) == 6
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(5250, 160, 2, 7, "F"), (12279, 944, 3, 41, "F"), (9534, 7, 6, 28, "F"), (8670, 727, 7, 40, "O")],
+        [(101298, 5141, 3, 12, "F"), (116153, 5162, 4, 34, "O"), (105959, 5451, 4, 25, "F"), (109015, 5664, 6, 15, "O"), (117569, 5576, 7, 20, "O")],
+    ],
+)
+def test_fitted_furniture_ties_by_size_as_its_sql(spark, tmp_path, rows):
+    assert agrees(spark, tmp_path, "fitted_furniture", [line(889935, *r) for r in rows])
