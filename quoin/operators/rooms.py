@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.operators import overlay
+from quoin.operators import sweeps
 from quoin.operators.grouped import line_gaps, per_plan
 from quoin.operators.polygons import faces, ring_area
 from quoin.operators.swings import dealt_in_order
@@ -94,9 +94,8 @@ def carried(faces_, rooms) -> DataFrame:
     pairs = faces_.select("plan", "face", F.col("ring").alias("a")).join(rooms.select("plan", "room", F.col("ring").alias("b")), "plan")
     edge = lambda r, c, f: f(F.transform(r, lambda p: p[c]))
     near = [(edge("a", c, F.array_min) < edge("b", c, F.array_max)) & (edge("b", c, F.array_min) < edge("a", c, F.array_max)) for c in "xy"]
-    pairs = settle(pairs.where(near[0] & near[1]).select(F.struct("plan", "face", "room").alias("plan"), "a", "b"), "pairs")
-    layer = lambda n, ring: pairs.select("plan", F.lit(n).alias("layer"), F.lit(0).alias("poly"), F.lit(0).alias("part"), F.col(ring).alias("ring"))
-    area = overlay.areas(overlay.cells(layer(0, "a").unionByName(layer(1, "b"))))
+    pairs = pairs.where(near[0] & near[1]).select(F.struct("plan", "face", "room").alias("plan"), sweeps.laid_over(F.col("a"), F.col("b")))
+    area = sweeps.areas(pairs)
     share = F.try_divide(F.col("both"), F.least("first", "second"))
     wishes = area.select("plan.plan", F.col("plan.face").alias("taker"), F.col("plan.room").alias("given"), share.alias("value")).where(F.col("value") >= OVERLAP)
     return dealt_in_order(wishes).select("plan", F.col("taker").alias("face"), F.col("given").alias("room"))

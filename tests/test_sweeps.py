@@ -44,3 +44,11 @@ def test_lines_are_dealt_out_once(spark, name):
     """Edges, slabs and their bins stay in the task that has the plan: what is shuffled is the table's rows."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_faces_and_drawings_are_overlaid_without_dealing_out_edges(spark):
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2))])
+    pairs = spark.range(5).select(F.struct("id", (F.col("id") * 2).alias("k")).alias("plan"), sweeps.laid_over(ring, ring))
+    found = sweeps.areas(pairs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.plan.k, r.both, r.left) for r in found.collect()} == {(2 * k, 4.0, 0.0) for k in range(5)}
