@@ -136,17 +136,29 @@ WITH g AS (SELECT r.plan, r.ord, i*16 + j AS k, x0 + (x1-x0)*(i+0.5)/16 AS x, y0
  FROM {rooms} r, range(0, 16) a(i), range(0, 16) b(j))
 SELECT plan, ord, round(x, 6) AS x, round(y, 6) AS y, round(c, 6) AS clearance FROM g WHERE c >= 0.38 QUALIFY row_number() OVER (PARTITION BY plan, ord ORDER BY round(c, 9) DESC, k) = 1""")
 def safe_point(spark, d):
-    """Of a 16 x 16 grid in a room the first point with the largest clearance, .38 m at least; made and picked in one array."""
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-
-    def cell(k):
-        i, j = F.floor(k / 16), k % 16
-        c = F.least((x1 - x0) * (i + 0.5) / 16, (x1 - x0) * (15.5 - i) / 16, (y1 - y0) * (j + 0.5) / 16, (y1 - y0) * (15.5 - j) / 16)
-        return F.struct(F.round(-c, 9).alias("a"), k.alias("k"), (x0 + (x1 - x0) * (i + 0.5) / 16).alias("x"), (y0 + (y1 - y0) * (j + 0.5) / 16).alias("y"))
-
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(255)), cell))
-    r = bound(spark, d, "rooms").select("plan", "ord", best.alias("b")).where(-F.col("b.a") >= 0.38)
-    return r.select("plan", "ord", F.round("b.x", 6).alias("x"), F.round("b.y", 6).alias("y"), F.round(-F.col("b.a"), 6).alias("clearance"))
+    """Of a 16 x 16 grid in a room the first point with the largest clearance, .38 m at least.
+
+    A point's clearance is the lesser of those of its column and its row, which grow towards the middle: the middle point
+    has the largest, and the first column and the first row that reach it (to 9 decimals) meet in the first point.
+    """
+    n, half = 16, 7
+    x0, y0, width, height = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    away = lambda side, i: side * (i + 0.5) / n
+    r = bound(spark, d, "rooms").withColumn("most", F.least(away(width, half), away(height, half))).where("most >= 0.38")
+
+    def first(side):
+        def reaches(i):
+            a = away(side, i)
+            # Rounding is dear and only decides between neighbours.
+            same = F.when(a >= F.col("most"), True).when(a < F.col("most") - 2e-9, False).otherwise(F.round(a, 9) >= F.round("most", 9))
+            return (a >= 0.38) & same
+
+        return F.coalesce(*[F.when(reaches(i), i) for i in range(half + 1)])
+
+    r = r.withColumns({"i": first(width), "j": first(height)})
+    clear = F.least(away(width, F.col("i")), away(height, F.col("j")))
+    at = lambda low, side, i: F.round(low + side * (F.col(i) + 0.5) / n, 6)
+    return r.select("plan", "ord", at(x0, width, "i").alias("x"), at(y0, height, "j").alias("y"), F.round(clear, 6).alias("clearance"))
 
 
 @query("ceiling_without_voids", (251,), """

@@ -79,3 +79,10 @@ def test_monotone_version_before_1970_and_without_a_time(spark, tmp_path):
 )
 def test_fitted_furniture_ties_by_size_as_its_sql(spark, tmp_path, rows):
     assert agrees(spark, tmp_path, "fitted_furniture", [line(889935, *r) for r in rows])
+
+
+def test_safe_point_looks_at_a_column_and_a_row_and_not_at_every_point(spark, tmp_path):
+    rows = [line(k, 64 * k + k % 64, 64 * k + k // 3, k % 8, k % 51) for k in range(120)]
+    assert agrees(spark, tmp_path, "safe_point", rows)
+    plan = registry.QUERIES["safe_point"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "sequence(" not in plan
