@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions import geometry as G
 from quoin.functions import triangles as T
-from quoin.operators import overlay
+from quoin.operators import overlay, sweeps
 from quoin.plans.bindings import bound
 from quoin.registry import query
 
@@ -25,9 +24,14 @@ def floor_triangles(spark, d):
     n, zero = F.size("steps").cast("double"), F.lit(0.0)
     tops = F.flatten(F.transform(F.reverse("steps"), lambda s: F.array(_point(s["ord"] + 1.0, s["h"]), _point(s["ord"] + 0.0, s["h"] + s["rise"]))))
     ring = F.concat(F.array(_point(zero, zero), _point(n, zero)), tops)
-    cut = plans.select("plan", ring.alias("ring")).select("plan", F.size("ring").alias("corners"), T.ears(F.col("ring")).alias("t"))
-    areas = F.transform("t", G.signed_area)
-    return cut.select("plan", F.col("corners").cast("long").alias("corners"), F.aggregate(areas, F.lit(0.0), lambda a, b: a + b).alias("area"), (F.array_min(areas) <= 0).alias("thin"))
+    cut = plans.select("plan", (F.size("steps") * 2 + 2).cast("long").alias("corners"), T.ears(ring).alias("t"))
+
+    def half(t):
+        a, b, c = t[0], t[1], t[2]
+        return ((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])) / 2
+
+    sized = cut.select("plan", "corners", F.transform("t", half).alias("areas"))
+    return sized.select("plan", "corners", F.aggregate("areas", F.lit(0.0), lambda a, b: a + b).alias("area"), (F.array_min("areas") <= 0).alias("thin"))
 
 
 def contacts(rings: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def floors_with_voids(spark, d):
     x, y = F.col("x"), F.col("y")
     rings = ring(rooms, F.lit(0), *[F.col(c) for c in ("x0", "y0", "x1", "y1")]).unionByName(ring(voids, F.col("k") + 1, x - 0.25, y - 0.25, x + 0.25, y + 0.25))
     sound = rings.join(contacts(rings).select("plan"), "plan", "left_anti")
-    area = overlay.areas(overlay.cells(sound)).select("plan", F.round("first", 6).alias("area"))
+    area = sweeps.areas(sweeps.gathered(sound)).select("plan", F.round("first", 6).alias("area"))
     n = voids.groupBy("plan").agg(F.count(F.lit(1)).alias("voids"))
     out = rooms.select("plan").join(n, "plan", "left").join(area, "plan", "left")
     return out.select("plan.plan", "plan.ord", F.coalesce("voids", F.lit(0)).cast("long").alias("voids"), "area")

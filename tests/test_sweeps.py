@@ -52,3 +52,27 @@ def test_faces_and_drawings_are_overlaid_without_dealing_out_edges(spark):
     found = sweeps.areas(pairs)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.plan.k, r.both, r.left) for r in found.collect()} == {(2 * k, 4.0, 0.0) for k in range(5)}
+
+
+def test_ears_are_cut_side_by_side(monkeypatch):
+    """Rings of equally many corners go through each step together; how many at a time makes no difference."""
+    import pyarrow as pa
+
+    from quoin.functions import triangles
+
+    r = random.Random(5)
+    rings = []
+    for _ in range(200):
+        n = r.randint(1, 6)
+        tops = [(x, h) for k in reversed(range(n)) for h in [r.randint(1, 8)] for x in (k + 1, k)]
+        rings.append([{"x": float(x), "y": float(y)} for x, y in [(0, 0), (n, 0), *tops]][:: r.choice([1, -1])])
+    rings += [None, [], [{"x": None, "y": 0.0}] * 4]
+    given = pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    calls, first = [], triangles._first
+    monkeypatch.setattr(triangles, "_first", lambda *a: calls.append(1) or first(*a))
+    found = triangles._ears(given).to_pylist()
+    assert len(calls) < 60 and found[-3:] == [None, None, None]
+    size = lambda t: sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(t, t[1:] + t[:1])) / 2
+    assert all(abs(sum(map(size, t)) - abs(size(ring))) < 1e-9 for t, ring in zip(found[:200], rings))
+    monkeypatch.setattr(triangles, "CORNERS", 20)
+    assert triangles._ears(given).to_pylist() == found
