@@ -58,7 +58,8 @@ def footprints(objects):
 
     Too small ones go, and so do those whose middle lies near that of a kept larger one; at most OBJECTS of a drawing stay.
     """
-    boxes = objects.select("plan", "ord", least_box(F.col("points")).alias("b")).select("plan", "ord", "b.*")
+    # Behind a generator, as a filter on the boxes would otherwise have them found twice.
+    boxes = objects.select("plan", "ord", F.inline(F.array(least_box(F.col("points")))))
     # Sizes are rounded before they decide, so that equal boxes tie.
     boxes = boxes.withColumns({c: F.round(c, 6) + 0.0 for c in ("area", "x", "y", "width", "depth")})
     large = boxes.where((F.col("area") >= LEAST_AREA) & (F.col("depth") > LEAST_PIXELS))
@@ -81,10 +82,9 @@ SELECT i.plan, i.ord, x + 0.0 AS x, y + 0.0 AS y, width, depth, rotation + 0.0 A
 def object_footprints(spark, d):
     """The turned boxes of drawn objects, found again from points all over them."""
     f = {c: F.col(c) for c in ("x", "y", "w", "d", "rot")}
-    c, s = F.cos(F.radians(f["rot"])), F.sin(F.radians(f["rot"]))
-    points = []
-    for i in range(5):
-        for j in range(5):
-            u, v = (i / 4 - 0.5) * f["w"] * PPM, (j / 4 - 0.5) * f["d"] * PPM
-            points.append(F.struct((f["x"] * PPM + u * c - v * s).alias("x"), (f["y"] * PPM + u * s + v * c).alias("y")))
-    return footprints(bound(spark, d, "furniture").select("plan", "ord", F.array(*points).alias("points")))
+    turned = bound(spark, d, "furniture").withColumns({"c": F.cos(F.radians(f["rot"])), "s": F.sin(F.radians(f["rot"]))})
+    # Five steps along each side: their parts of x and y are columns, so that a point is only their sum.
+    steps = {f"{side}{i}{t}": (i / 4 - 0.5) * f[side] * PPM * F.col(t) for side in "wd" for i in range(5) for t in "cs"}
+    stepped = turned.select("plan", "ord", (f["x"] * PPM).alias("x"), (f["y"] * PPM).alias("y"), *[e.alias(n) for n, e in steps.items()])
+    points = [F.struct((F.col("x") + F.col(f"w{i}c") - F.col(f"d{j}s")).alias("x"), (F.col("y") + F.col(f"w{i}s") + F.col(f"d{j}c")).alias("y")) for i in range(5) for j in range(5)]
+    return footprints(stepped.select("plan", "ord", F.array(*points).alias("points")))

@@ -76,3 +76,16 @@ def test_ears_are_cut_side_by_side(monkeypatch):
     assert all(abs(sum(map(size, t)) - abs(size(ring))) < 1e-9 for t, ring in zip(found[:200], rings))
     monkeypatch.setattr(triangles, "CORNERS", 20)
     assert triangles._ears(given).to_pylist() == found
+
+
+def test_objects_are_boxed_side_by_side_and_once(spark):
+    """Rows of equally many points take their steps together, and a filter on the boxes does not find them again."""
+    plan = entry.queries()["object_footprints"].__globals__["footprints"](spark.createDataFrame([(1, 0, [(0.0, 0.0), (90.0, 0.0), (90.0, 60.0), (0.0, 60.0), (45.0, 30.0)]), (1, 1, [(0.0, 0.0), (1.0, 1.0)]), (1, 2, None)], "plan long, ord int, points array<struct<x:double,y:double>>"))
+    assert [(r.ord, r.x, r.y, r.width, r.depth, r.rotation) for r in plan.collect()] == [(0, 45.0, 30.0, 90.0, 60.0, 0.0)]
+    from quoin.functions.hulls import least_box
+
+    one = F.array(*[F.struct(F.lit(float(x)).alias("x"), (F.lit(float(y)) + F.col("id")).alias("y")) for x, y in ((0, 0), (3, 0), (3, 2), (0, 2), (1, 1))])
+    df = spark.range(3).select("id", F.inline(F.array(least_box(one)))).where("area > 1 and depth > 1")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and "transform" not in text
+    assert [(r.id, round(r.area, 9), round(r.y, 9)) for r in df.orderBy("id").collect()] == [(k, 6.0, k + 1.0) for k in range(3)]
