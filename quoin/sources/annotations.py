@@ -95,13 +95,10 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 def clipped(found: DataFrame, width: float, height: float) -> DataFrame:
     """SCHEMA and area: each polygon's area inside the image, by even-odd where it crosses itself; a polygon without area
     there is an error."""
-    from quoin.operators import overlay
+    from quoin.operators import sweeps
 
-    key = F.struct("path", "ord")
-    whole = found.where("ring is not null")
     image = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (width, 0), (width, height), (0, height))])
-    layer = lambda n, ring: whole.select(key.alias("plan"), F.lit(n).alias("layer"), F.lit(0).alias("poly"), F.lit(0).alias("part"), ring.alias("ring"))
-    area = overlay.areas(overlay.cells(layer(0, F.col("ring")).unionByName(layer(1, image)), width / 4)).select("plan.path", "plan.ord", F.col("both").alias("area"))
-    joined = found.join(area, ["path", "ord"], "left")
+    # Behind a generator, so that each file is read and each area found once.
+    joined = found.select("path", "ord", "category", "ring", "error", F.inline(F.array(F.struct(sweeps.common(F.col("ring"), image).alias("area")))))
     empty = F.col("ring").isNotNull() & ~(F.coalesce("area", F.lit(0.0)) > 1e-9)
     return joined.select("path", "ord", "category", "ring", F.when(empty, "no area in the image").otherwise(F.col("error")).alias("error"), F.when(~empty, F.col("area")).alias("area"))

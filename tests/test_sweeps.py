@@ -89,3 +89,15 @@ def test_objects_are_boxed_side_by_side_and_once(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert text.count("ArrowEvalPython") == 1 and "transform" not in text
     assert [(r.id, round(r.area, 9), round(r.y, 9)) for r in df.orderBy("id").collect()] == [(k, 6.0, k + 1.0) for k in range(3)]
+
+
+def test_drawings_are_read_once_to_be_clipped(spark):
+    from quoin.sources import annotations
+
+    square = [(-2.0, -2.0), (4.0, -2.0), (4.0, 3.0), (-2.0, 3.0)]
+    rows = [("a", 0, "walls", square, None), ("a", 1, "rooms", [(20.0, 0.0), (30.0, 0.0), (30.0, 5.0)], None), ("a", 2, "walls", None, "expected one direct polygon")]
+    given = spark.createDataFrame(rows, annotations.SCHEMA)
+    found = annotations.clipped(given, 10, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
+    assert [(r.ord, r.error, r.area) for r in sorted(found.collect())] == [(0, None, 12.0), (1, "no area in the image", None), (2, "expected one direct polygon", None)]
