@@ -53,18 +53,24 @@ s AS (SELECT plan, ord, i, CASE WHEN ord % 2 = 0 THEN x1 + (x2-x1)*i/8 ELSE x1 +
 h AS (SELECT DISTINCT s.plan, s.ord, s.i FROM s JOIN m ON m.plan = s.plan AND m.gx = floor(s.x) AND m.gy = floor(s.y))
 SELECT w.plan, w.ord, count(h.i) AS present, coalesce(string_agg(CAST(h.i AS VARCHAR), ',' ORDER BY h.i), '') AS steps FROM {axis_walls} w LEFT JOIN h USING (plan, ord) GROUP BY ALL""")
 def presence_profile(spark, d):
-    """At which of nine steps along a wall any of five lines beside each other meets a filled cell of the mask."""
+    """At which of nine steps along a wall any of five lines beside each other meets a filled cell of the mask.
+
+    A plan's cells come to each of its walls as one array, so that no point of a wall is a row.
+    """
     cell = lambda c: F.floor(c % 25 / 4)
-    mask = bound(spark, d, "lines").select(F.col("l_orderkey").alias("plan"), cell(F.col("l_partkey") * 7 + F.col("l_linenumber") * 13).alias("gx"), cell(F.col("l_suppkey") * 11).alias("gy")).distinct()
-    w = bound(spark, d, "axis_walls")
-    s = w.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("o", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-    along = lambda v: F.col(f"{v}1") + (F.col(f"{v}2") - F.col(f"{v}1")) * F.col("i") / 8
-    across = lambda v: F.col(f"{v}1") + F.col("o") * F.col("thickness") / 2
-    flat = F.col("ord") % 2 == 0
-    s = s.select("plan", "ord", "i", F.floor(F.when(flat, along("x")).otherwise(across("x"))).alias("gx"), F.floor(F.when(flat, across("y")).otherwise(along("y"))).alias("gy"))
-    hit = s.join(mask, ["plan", "gx", "gy"]).select("plan", "ord", "i").distinct()
-    steps = hit.groupBy("plan", "ord").agg(F.array_sort(F.collect_list("i")).alias("s"))
-    out = w.select("plan", "ord").join(steps, ["plan", "ord"], "left").withColumn("s", F.coalesce("s", F.array().cast("array<int>")))
+    number = lambda gx, gy: gx * (1 << 31) + gy
+    lines = bound(spark, d, "lines").select(F.col("l_orderkey").alias("plan"), number(cell(F.col("l_partkey") * 7 + F.col("l_linenumber") * 13), cell(F.col("l_suppkey") * 11)).alias("cell"))
+    mask = lines.groupBy("plan").agg(F.collect_set("cell").alias("cells"))
+    w = bound(spark, d, "axis_walls").select("plan", "ord", "x1", "y1", "x2", "y2", "thickness").join(mask, "plan", "left")
+    along = lambda v, i: F.col(f"{v}1") + (F.col(f"{v}2") - F.col(f"{v}1")) * i / 8
+    across = lambda v, o: F.col(f"{v}1") + o * F.col("thickness") / 2
+
+    def met(i):
+        flat = F.exists(F.sequence(F.lit(-2), F.lit(2)), lambda o: F.array_contains("cells", number(F.floor(along("x", i)), F.floor(across("y", o)))))
+        upright = F.exists(F.sequence(F.lit(-2), F.lit(2)), lambda o: F.array_contains("cells", number(F.floor(across("x", o)), F.floor(along("y", i)))))
+        return F.coalesce(F.when(F.col("ord") % 2 == 0, flat).otherwise(upright), F.lit(False))
+
+    out = w.select("plan", "ord", F.filter(F.sequence(F.lit(0), F.lit(8)), met).alias("s"))
     return out.select("plan", "ord", F.size("s").cast("long").alias("present"), F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("steps"))
 
 

@@ -101,3 +101,8 @@ def test_drawings_are_read_once_to_be_clipped(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
     assert [(r.ord, r.error, r.area) for r in sorted(found.collect())] == [(0, None, 12.0), (1, "no area in the image", None), (2, "expected one direct polygon", None)]
+
+
+def test_points_along_walls_are_no_rows(spark):
+    plan = entry.queries()["presence_profile"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") <= 3
